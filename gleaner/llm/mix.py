@@ -17,7 +17,7 @@ than the id, the source and the text are not read, so their names can't clash.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import WORD, cut, small_frame
@@ -26,13 +26,18 @@ HASH_BITS, LEVEL_BITS = 60, 12
 DEFAULT_WEIGHTS, DEFAULT_SHARE, MOST_TIMES = (3, 1, 2), 1.5, 2
 
 
+def document_hash(doc_id: Column) -> Column:
+    """HASH_BITS bits of the id's MD5, which any engine can compute."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """(doc_id, source, size, hash) of every document."""
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long").alias("hash"),
+        document_hash(F.col(doc_id)).alias("hash"),
     )
 
 
@@ -98,9 +103,8 @@ def thresholds(docs: DataFrame, plan: list[dict]) -> list[dict]:
     return state
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = DEFAULT_WEIGHTS, share: float = DEFAULT_SHARE, most: int = MOST_TIMES, **columns: str) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of every document."""
-    docs = cut(sized(docs, **columns))
+def shares(docs: DataFrame, weights: tuple[float, ...] = DEFAULT_WEIGHTS, share: float = DEFAULT_SHARE, most: int = MOST_TIMES) -> DataFrame:
+    """(p_source, source_size, target, times, threshold): what each source of a sized() frame gives."""
     sizes = {r["source"]: r["words"] for r in docs.groupBy("source").agg(F.sum("size").alias("words")).collect()}
     goal = targets(sizes, weights, share, most)
     plan = []
@@ -108,13 +112,30 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = DEFAULT_WEIGHTS, share: fl
         times = int(goal[s] // size) if size else 0
         plan.append({"source": s, "size": size, "target": goal[s], "times": times, "budget": goal[s] - times * size})
     plan = thresholds(docs, plan)
-    by_source = small_frame(docs.sparkSession, pa.table({
+    return small_frame(docs.sparkSession, pa.table({
         "p_source": pa.array([p["source"] for p in plan], pa.string()),
         "source_size": pa.array([p["size"] for p in plan], pa.int64()),
         "target": pa.array([p["target"] for p in plan], pa.float64()),
         "times": pa.array([p["times"] for p in plan], pa.int32()),
         "threshold": pa.array([p["threshold"] for p in plan], pa.int64()),
     }))
-    out = docs.join(by_source, F.col("source").eqNullSafe(F.col("p_source")))
-    copies = F.col("times") + F.when(F.col("hash") <= F.col("threshold"), 1).otherwise(0)
+
+
+def _copies(hash_: Column) -> Column:
+    return F.col("times") + F.when(hash_ <= F.col("threshold"), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = DEFAULT_WEIGHTS, share: float = DEFAULT_SHARE, most: int = MOST_TIMES, **columns: str) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) of every document."""
+    docs = cut(sized(docs, **columns))
+    out = docs.join(shares(docs, weights, share, most), F.col("source").eqNullSafe(F.col("p_source")))
+    copies = _copies(F.col("hash"))
     return out.select("doc_id", "source", "size", "source_size", "target", "hash", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def take(docs: DataFrame, weights: tuple[float, ...] = DEFAULT_WEIGHTS, share: float = DEFAULT_SHARE, most: int = MOST_TIMES, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, each as often as the mix takes it."""
+    plan = shares(cut(sized(docs, doc_id, source, text)), weights, share, most)
+    out = docs.join(plan.select("p_source", "times", "threshold"), F.col(source).eqNullSafe(F.col("p_source")))
+    rows = F.sequence(F.lit(1), _copies(document_hash(F.col(doc_id))))
+    return out.filter(_copies(document_hash(F.col(doc_id))) > 0).select(*[docs[c] for c in docs.columns], F.explode(rows).alias("x_copy")).drop("x_copy")

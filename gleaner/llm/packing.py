@@ -104,7 +104,7 @@ def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, costs: C
     # dealt by id and start: no source, language or length gathers in one task
     shards = partitions(docs.sparkSession)
     items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int"))
-    items = items.repartition(shards, "doc_id", "start").sortWithinPartitions("shard", F.desc("size"), "doc_id", "start")
+    items = items.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.desc("size"), "doc_id", "start")
     kind = items.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

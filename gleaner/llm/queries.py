@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import editprint, langid, mix, packing, pii, secrets, simhash, topk, urls
+from gleaner.llm import editprint, langid, mix, oracles, packing, pii, secrets, simhash, topk, transcripts, urls
 from gleaner.llm.common import table
 
 URL_RULES = [
@@ -38,6 +38,11 @@ def op4_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, carry=[F.col("doc_id"), held_out.alias("held_out")])
 
 
+def op5_transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "conversations")
+    return transcripts.parse(messages, transcripts.train(messages))
+
+
 def op6_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.compare_edits(table(spark, sf_dir, "documents"))
 
@@ -64,5 +69,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bestfit_packing, op2_source_mix, op3_pivot_topk, op4_compression_langid, op6_edit_fingerprints, op7_simhash_dedup, op8_url_filter, op9_pii_spans, op10_secret_scan)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_bestfit_packing, op2_source_mix, op3_pivot_topk, op4_compression_langid, op5_transcript_turns, op6_edit_fingerprints, op7_simhash_dedup, op8_url_filter, op9_pii_spans, op10_secret_scan)}
+ORACLES = {"op2_source_mix": oracles.OP2, "op3_pivot_topk": oracles.OP3, "op8_url_filter": oracles.OP8, "op10_secret_scan": oracles.OP10}

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,9 @@ BLOCK = 1 << 15
 DENSE = 256
 #: Estimated work: an index row against a pair to verify.
 ROW_COST, PAIR_COST = 100.0, 1.0
-PARTITIONS = (2, 3, 4, 5)
+PARTITIONS = (2, 3, 4, 5, 6)
+#: Keys of dropped rows are sent to every executor up to this many bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 # --- fingerprints ---
@@ -69,15 +71,15 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
-    ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    """(doc_id, digest, fp) of every row: digest is a hash of the text, fp the fingerprint as a signed long."""
+    ids = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t, shingle) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t, shingle) for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "digest", "fp"])
 
-    return ids.mapInArrow(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, fp long")
+    return ids.mapInArrow(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, digest long, fp long")
 
 
 # --- partitions and thresholds ---
@@ -312,14 +314,44 @@ def links(nodes: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
 
 
 def classes(prints: DataFrame, most: int = 4, block: int = BLOCK) -> DataFrame:
-    """(doc_id, fp, component_id) for (doc_id, fp) rows: fingerprints within `most` bits are linked."""
+    """(doc_id, digest, fp, root, component_id) for fingerprints() rows: fingerprints within `most` bits are linked.
+
+    `root` is the component's least fingerprint; `component_id` its least doc_id."""
     prints = cut(prints)
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes, most, block))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
-    by_fp = named.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return prints.join(by_fp, F.col("fp") == F.col("f"), "left").select("doc_id", "fp", "component_id")
+    by_fp = named.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id")
+    return prints.join(by_fp, F.col("fp") == F.col("f"), "left").select("doc_id", "digest", "fp", "root", "component_id")
+
+
+def bits_for(similarity: float) -> int:
+    """The most bits that may differ if the fingerprints' estimate of the Jaccard similarity of two shingle sets (of
+    like size) is to be at least `similarity`: a Jaccard similarity s is a cosine of 2s / (1 + s), and bits
+    differ in proportion to the angle."""
+    return int(BITS / pi * acos(2 * similarity / (1 + similarity)))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, less all but one of each component: the one with the least doc_id."""
+    found = cut(classes(fingerprints(docs, shingle, doc_id, text), bits_for(similarity)).select("root", "doc_id", "digest"))
+    # rows of equal id and text are one key; of each component's keys the least stays
+    keys = found.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
+    first = keys.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first")).withColumnRenamed("root", "r")
+    keys = cut(keys.join(first, F.col("root") == F.col("r")).select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest"), "n", (F.struct("doc_id", "digest") == F.col("first")).alias("stays")))
+    same = F.col(doc_id).eqNullSafe(F.col("k_id")) & (F.xxhash64(text) == F.col("k_digest"))
+    kept = docs.join(_sized(keys.filter(~F.col("stays")).select("k_id", "k_digest")), same, "left_anti")
+    often = cut(keys.filter(F.col("stays") & (F.col("n") > 1)).select("k_id", "k_digest"))
+    if often.isEmpty():
+        return kept
+    repeated = kept.join(_sized(often), same, "left_semi").dropDuplicates([doc_id, text])
+    return kept.join(_sized(often), same, "left_anti").unionByName(repeated)
+
+
+def _sized(keys: DataFrame) -> DataFrame:
+    """Marked for broadcast if small enough; beyond, Spark shuffles both sides of the join."""
+    return F.broadcast(keys) if keys.count() * 24 <= BROADCAST_BYTES else keys
 
 
 def as_hex(fp: Column) -> Column:
