@@ -2,9 +2,9 @@
 
 For each language labelled documents give raw text: a zstandard raw-content dictionary and a primer. A text,
 reduced to its lower-case words without immediate repetitions, is compressed with every dictionary; the
-language that leaves the fewest bytes is predicted. Texts up to SHORT_BYTES are compressed behind the
-language's primer, whose own compressed size is taken off: it settles zstandard's letter and length
-statistics, without which a few words would be stored as they are and all languages tie.
+language that leaves the fewest bytes is predicted. The text is compressed behind the language's primer,
+whose own compressed size is taken off: it settles zstandard's letter and length statistics, without
+which a few words would be stored as they are and all languages tie.
 
 The dictionaries are fitted on a bounded sample: about SAMPLE_TEXTS different texts of each language
 of at most SAMPLE_CHARS characters, chosen by a hash of the text, up to PRIMER_BYTES + DICTIONARY_BYTES; and
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_TEXTS, SAMPLE_CHARS, MOST_LANGUAGES = 300, 20_000, 256
-DICTIONARY_BYTES, PRIMER_BYTES, SHORT_BYTES, LEVEL = 110_000, 16_000, 2_500, 3
+DICTIONARY_BYTES, PRIMER_BYTES, LEVEL = 110_000, 16_000, 3
 UNKNOWN = "und"
 #: A margin is narrow if the runner-up needs less than this many bytes more.
 NARROW_BYTES = 1
@@ -92,10 +92,7 @@ class Classifier:
         raw = words(text)
         if not raw or not self.by_lang:
             return UNKNOWN, 0.0, 0
-        if len(raw) <= SHORT_BYTES:
-            sizes = [len(compress(primer + raw)) - own for _, primer, own, compress in self.by_lang]
-        else:
-            sizes = [len(compress(raw)) for *_, compress in self.by_lang]
+        sizes = [len(compress(primer + raw)) - own for _, primer, own, compress in self.by_lang]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         lead = min((s - sizes[best] for i, s in enumerate(sizes) if i != best), default=len(raw))
         return self.by_lang[best][0], 1 / sum(2.0 ** max(-60.0, 8 * EVIDENCE * (sizes[best] - s)) for s in sizes), lead
