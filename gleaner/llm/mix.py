@@ -121,21 +121,18 @@ def shares(docs: DataFrame, weights: tuple[float, ...] = DEFAULT_WEIGHTS, share:
     }))
 
 
-def _copies(hash_: Column) -> Column:
-    return F.col("times") + F.when(hash_ <= F.col("threshold"), 1).otherwise(0)
-
-
 def mix(docs: DataFrame, weights: tuple[float, ...] = DEFAULT_WEIGHTS, share: float = DEFAULT_SHARE, most: int = MOST_TIMES, **columns: str) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every document."""
     docs = cut(sized(docs, **columns))
     out = docs.join(shares(docs, weights, share, most), F.col("source").eqNullSafe(F.col("p_source")))
-    copies = _copies(F.col("hash"))
+    copies = F.col("times") + F.when(F.col("hash") <= F.col("threshold"), 1).otherwise(0)
     return out.select("doc_id", "source", "size", "source_size", "target", "hash", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def take(docs: DataFrame, weights: tuple[float, ...] = DEFAULT_WEIGHTS, share: float = DEFAULT_SHARE, most: int = MOST_TIMES, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, each as often as the mix takes it."""
     plan = shares(cut(sized(docs, doc_id, source, text)), weights, share, most)
-    out = docs.join(plan.select("p_source", "times", "threshold"), F.col(source).eqNullSafe(F.col("p_source")))
-    rows = F.sequence(F.lit(1), _copies(document_hash(F.col(doc_id))))
-    return out.filter(_copies(document_hash(F.col(doc_id))) > 0).select(*[docs[c] for c in docs.columns], F.explode(rows).alias("x_copy")).drop("x_copy")
+    plan = plan.select(F.col("p_source").alias("g_source"), F.col("times").alias("g_times"), F.col("threshold").alias("g_threshold"))
+    out = docs.join(plan, docs[source].eqNullSafe(plan["g_source"]))
+    copies = plan["g_times"] + F.when(document_hash(docs[doc_id]) <= plan["g_threshold"], 1).otherwise(0)
+    return out.filter(copies > 0).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies)).alias("g_copy")).drop("g_copy")

@@ -114,6 +114,9 @@ _DOTTED = re.compile(r"(?:\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}|\
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
 _AT_HINT = re.compile(r"[\[({<]\s{0,3}(?:at|@|dot|\.)\s{0,3}[\])}>]|\sdot\s", re.I)
 
+#: What a spoken address ends in ("name at host dot com"); with brackets or an @ any label may end it.
+_ENDINGS = frozenset("com net org edu gov mil int info biz io dev app ai co me tv eu uk us de fr es it nl be ch at pl pt se no dk fi ie ru ua cz ca mx br ar in cn jp kr au nz za".split())
+
 Edit = tuple[int, int, str]  # source start, source end, replacement
 Layer = list[tuple[int, int, int, int]]  # rewritten start and end, source start and end
 
@@ -182,7 +185,7 @@ def _spoken(text: str) -> list[Edit]:
             at = d.end()
         disguised = [x for x in dots if text[x[0] : x[1]] != "."]
         bare = token.strip().lower() == "at"  # prose says "at example.com"; only a spoken first dot makes it an address
-        if not dots or (bare and dots[0] not in disguised) or (token == "@" and not disguised):
+        if not dots or (bare and (dots[0] not in disguised or text[dots[-1][1] : at].lower() not in _ENDINGS)) or (token == "@" and not disguised):
             continue
         out += [(m.start(), m.end(), "@"), *disguised] if token != "@" else disguised
         done = at

@@ -14,7 +14,7 @@ rows with the least hashes: any choice gives the same result.
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, as query or as
 candidate; the first vector's dimension is expected of all, others raise; a candidate is not compared with
 its own id, so rows that share a query's id are left out for it; repeated rows are candidates as often as
-they occur; equal scores go to the smaller id; with fewer than k candidates all are returned; empty tables
+they occur, while a repeated query is answered once; equal scores go to the smaller id; with fewer than k candidates all are returned; empty tables
 give no rows. Columns other than the id and the vector are not read, so their names can't clash.
 """
 
@@ -146,7 +146,7 @@ def top_k(rows: DataFrame, query: Column, k: int, key: str = "vec_id", vector: s
     spread = lambda df, size, count: df.repartition(max(1, -(-count // size)), F.xxhash64("id"))
     few = max(256, min(CANDIDATES, -(-n // partitions(spark))))  # small tables: still a block for each core
     blocks = cut(_packed(spread(rows.select("id", "vector"), few, n), few, pivots))
-    asks = cut(_packed(spread(rows.filter("asks").select("id", "vector"), QUERIES, asking), QUERIES, pivots))
+    asks = cut(_packed(spread(rows.filter("asks").select("id", "vector").distinct(), QUERIES, asking), QUERIES, pivots))
     x, q = _numbered(blocks, "x"), _numbered(asks, "q")
     nx, nq = blocks.count(), asks.count()
     if not nq:
