@@ -9,7 +9,8 @@ random record times that the output reaches, so that texts of similar length sam
 whatever their length, and no text is cut off.
 
 `bands` groups the sampled bits into band keys; texts that share one are candidates. `likeness` verifies:
-the share of equal slots, less what chance gives.
+the share of equal slots, less what chance gives. `near_classes` does both over a table: equal fingerprints are
+one node, nodes that share a band are verified bucket by bucket, and linked ones get one class.
 
 `follow` hands every text its successor in descending id, with one shuffle of the texts: ids are cut into
 ranges at quantiles; the first text of each range is also sent to the range above it.
@@ -30,7 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import partitions
+from gleaner.llm import buckets
+from gleaner.llm.common import cut, partitions
+from gleaner.llm.components import components
 
 SLOTS, BITS, BAND = 256, 4, 8
 GRAM = 3
@@ -226,3 +229,34 @@ def compare_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, band_edited boolean, band_next boolean"
     return follow(docs, doc_id, text).mapInArrow(run, schema)
+
+
+def near_classes(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_id", text: str = "text", block: int = buckets.BLOCK) -> DataFrame:
+    """(doc_id, fingerprint, class_id) of every row: texts that share a band and are at least `least` alike are linked;
+    class_id is the least doc_id that links lead to."""
+    found = cut(prints(docs, doc_id, text).select("doc_id", "fingerprint", F.xxhash64("fingerprint").alias("node")))
+    nodes = cut(found.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.min("doc_id").alias("first")))
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [bands(from_hex(f)) for f in batch.column(1).to_pylist()]
+            n = SLOTS // BAND
+            flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
+            yield pa.record_batch([pa.array(np.tile(np.arange(n, dtype=np.int32), len(keys))), pa.array(flat), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n))], ["i", "band", "node"])
+
+    keyed = nodes.select("node", "fingerprint").mapInArrow(explode, "i int, band long, node long").select(F.xxhash64("i", "band").alias("key"), "node")
+    # fingerprints travel only to the bands that several nodes share
+    shared = cut(keyed).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    rows = keyed.join(shared, "key", "left_semi").join(nodes.select("node", F.unhex("fingerprint").alias("payload")), "node").select("key", "node", "payload")
+    chance = 2.0**-BITS
+    equal = (least * (1 - chance) + chance) * SLOTS
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        differ = a ^ b
+        return ((differ & 15) == 0).sum(axis=1) + ((differ >> 4) == 0).sum(axis=1) >= equal
+
+    roots = components(buckets.links(rows, near, block))
+    named = nodes.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("class_id")).withColumnRenamed("root", "r")
+    by_node = named.join(smallest, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "class_id")
+    return found.join(by_node, F.col("node") == F.col("n"), "left").select("doc_id", "fingerprint", "class_id")

@@ -10,10 +10,9 @@ with the least estimated work: index rows, and pairs to verify, which follow fro
 fingerprints agree in a partition (counted over all fingerprints) and from each bit's share of ones. A
 partition with threshold Ti is probed by masking every choice of Ti of its bits: two fingerprints within
 Ti bits there share a masked value. Within such a bucket distances are verified; only a spanning
-forest of the links is kept, so a dense bucket costs as many rows as it has members.
+forest of the links is kept, so a dense bucket costs as many rows as it has members (see buckets).
 
-Equal fingerprints are one node from the start, whatever number of documents has them. Buckets above
-BLOCK rows are cut into blocks that are compared block by block: no bucket is capped or dropped.
+Equal fingerprints are one node from the start, whatever number of documents has them.
 
 Defined cases: a null text, or one without words, has fingerprint 0, linked like any other; a text with fewer
 words than a shingle is one shingle; a component's id is its smallest doc_id (null only if all of its
@@ -30,17 +29,14 @@ from math import acos, comb, pi
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, partitions
+from gleaner.llm import buckets
+from gleaner.llm.common import cut
 from gleaner.llm.components import components
 
 BITS, SEED = 64, 42
-#: Rows of one bucket that are compared in one piece.
-BLOCK = 1 << 15
-#: Buckets up to this size are compared pair by pair at once, larger ones by walking from link to link.
-DENSE = 256
 #: Estimated work: an index row against a pair to verify.
 ROW_COST, PAIR_COST = 100.0, 1.0
 PARTITIONS = (2, 3, 4, 5, 6)
@@ -177,143 +173,20 @@ def plan(nodes: DataFrame, most: int) -> list[tuple[int, ...]]:
 # --- links ---
 
 
-def _near(a: np.ndarray, b, most: int) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64)) <= most  # of signed numbers it would count the absolute value's bits
-
-
-def _walk(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among `fps`: each reached fingerprint is compared with those not yet reached."""
-    out: list[tuple[int, int]] = []
-    left = fps
-    while len(left):
-        todo, left = [left[0]], left[1:]
-        while todo and len(left):
-            x = todo.pop()
-            near = _near(left, x, most)
-            if near.any():
-                hit = left[near]
-                left = left[~near]
-                out += [(int(x), int(y)) for y in hit]
-                todo += list(hit)
-    return out
-
-
-def _small_runs(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """All links within runs of equal keys, of neighbours at distance 1, 2, ... in the run."""
-    left, right = [], []
-    at = np.arange(len(fps))
-    for step in range(1, DENSE):
-        at = at[at + step < len(fps)]
-        at = at[keys[at] == keys[at + step]]
-        if not len(at):
-            break
-        hit = at[_near(fps[at], fps[at + step], most)]
-        left.append(fps[hit])
-        right.append(fps[hit + step])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """A spanning forest of links, so that dense runs don't return all their pairs."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (y := root.get(x, x)) != x:
-            root[x] = x = root.get(y, y)
-        return x
-
-    left, right = [], []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            left.append(x)
-            right.append(y)
-    return left, right
-
+def links(nodes: DataFrame, most: int, block: int = buckets.BLOCK) -> DataFrame:
+    """(a, b): links of fingerprints within `most` bits, that together join whatever is linked by steps."""
+    masks = plan(nodes, most)
+    # different masks, or values, that meet in one 64-bit bucket key only add pairs, which are verified
+    probe = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("m")) for i, m in enumerate(masks)])).alias("p")
+    rows = nodes.select("fp", probe).select(F.xxhash64("p.i", F.col("fp").bitwiseAND(F.col("p.m"))).alias("key"), F.col("fp").alias("node"))
 
-EDGE, HELD = 0, 1
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((a ^ b).view(np.uint64)) <= most  # of signed numbers it would count the absolute value's bits
 
+    return buckets.links(rows, near, block)
 
-def _link_runs(most: int, block: int):
-    """Batches of (key: bucket, fp), sorted by bucket, to (kind, a, b, part): links, or the rows of buckets above `block` rows with their block number."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = ["kind", "a", "b", "part"]
-
-        def out(kind: int, a, b, part) -> pa.RecordBatch:
-            a = np.asarray(a, np.int64)
-            return pa.record_batch([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(np.asarray(b, np.int64)), pa.array(np.asarray(part, np.int32))], schema)
-
-        def links(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """Of whole runs."""
-            if len(fps) < 2:
-                return
-            cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-            sizes = np.diff(cuts)
-            small = np.repeat(sizes <= DENSE, sizes)
-            a, b = _forest(*_small_runs(keys[small], fps[small], most))
-            yield out(EDGE, a, b, np.zeros(len(a)))
-            for i in np.flatnonzero(sizes > DENSE):
-                if found := _walk(fps[cuts[i] : cuts[i + 1]], most):
-                    x, y = zip(*found, strict=True)
-                    yield out(EDGE, x, y, np.zeros(len(x)))
-
-        held_keys, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        big, seen = None, 0  # the bucket that has passed the block size, and its rows so far
-        for batch in batches:
-            keys = np.concatenate([held_keys, batch.column(0).to_numpy(zero_copy_only=False)])
-            fps = np.concatenate([held, batch.column(1).to_numpy(zero_copy_only=False)])
-            if big is not None and len(keys):
-                n = int(np.searchsorted(keys != big, True)) if keys[-1] != big else len(keys)
-                yield out(HELD, np.full(n, big), fps[:n], (seen + np.arange(n)) // block)
-                seen += n
-                keys, fps = keys[n:], fps[n:]
-                big = big if not len(keys) else None
-            if not len(keys):
-                held_keys, held = keys, fps
-                continue
-            last = int(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[-1])
-            # whole runs of this batch that are too long, and the last run if it already is
-            cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-            sizes = np.diff(cuts)
-            long = np.repeat(sizes > block, sizes)
-            for i in np.flatnonzero(sizes > block):
-                n = int(sizes[i])
-                yield out(HELD, np.full(n, keys[cuts[i]]), fps[cuts[i] : cuts[i + 1]], np.arange(n) // block)
-                if cuts[i] == last:
-                    big, seen = keys[last], n
-            yield from links(keys[:last][~long[:last]], fps[:last][~long[:last]])
-            held_keys, held = (keys[last:], fps[last:]) if big is None else (keys[:0], fps[:0])
-        yield from links(held_keys, held)
-
-    return run
-
-
-def links(nodes: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): a spanning forest, at least, of every bucket's links; together they join whatever is within `most` bits by steps."""
-    spark: SparkSession = nodes.sparkSession
-    masks = plan(nodes, most)
-    # different masks, or values, that meet in one 64-bit bucket key only add pairs, which are verified
-    probe = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("m")) for i, m in enumerate(masks)])).alias("p")
-    rows = nodes.select("fp", probe).select(F.xxhash64("p.i", F.col("fp").bitwiseAND(F.col("p.m"))).alias("key"), "fp")
-    rows = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "fp")
-    found = cut(rows.mapInArrow(_link_runs(most, block), "kind int, a long, b long, part int"))
-    edges = found.filter(F.col("kind") == EDGE).select("a", "b")
-    held = found.filter(F.col("kind") == HELD).select(F.col("a").alias("key"), F.col("b").alias("fp"), "part")
-    if held.isEmpty():
-        return edges
-    # every two blocks of a bucket meet once, each pair of blocks in a bucket of its own
-    parts = held.groupBy("key").agg(F.max("part").alias("last")).withColumnRenamed("key", "k")
-    pairs = held.join(parts, F.col("key") == F.col("k")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    pairs = pairs.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "fp")
-    pairs = pairs.repartition(partitions(spark), "key").sortWithinPartitions("key", "fp")
-    more = pairs.mapInArrow(_link_runs(most, 4 * block), "kind int, a long, b long, part int")
-    return edges.unionByName(more.filter(F.col("kind") == EDGE).select("a", "b"))
-
-
-def classes(prints: DataFrame, most: int = 4, block: int = BLOCK) -> DataFrame:
+def classes(prints: DataFrame, most: int = 4, block: int = buckets.BLOCK) -> DataFrame:
     """(doc_id, digest, fp, root, component_id) for fingerprints() rows: fingerprints within `most` bits are linked.
 
     `root` is the component's least fingerprint; `component_id` its least doc_id."""

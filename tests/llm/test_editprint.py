@@ -119,3 +119,32 @@ def test_equal_texts(spark):
     docs = make_docs(spark, ["same words here"] * 3)
     assert editprint.prints(docs).select("fingerprint").distinct().count() == 1
     assert [r["near_next"] for r in editprint.compare_edits(docs).collect()] == [1.0] * 3
+
+
+@pytest.mark.parametrize("block", [2, 1 << 15])
+def test_near_classes(spark, embedding, block):
+    """Against all pairs: linked if they share a band and are alike enough."""
+    rng = random.Random(7)
+    texts = [words(rng, 120) for _ in range(12)]
+    for _ in range(60):
+        w = rng.choice(texts).split()
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = "zz"
+        texts.append(" ".join(w))
+    texts += ["", None, ""]
+    found = {r["doc_id"]: r["class_id"] for r in editprint.near_classes(make_docs(spark, texts), block=block).collect()}
+    made = [slots(embedding, t or "") for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (made[i] == made[j]).all() or editprint.share_band(made[i], made[j]) and editprint.likeness(made[i], made[j]) >= 0.8:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    assert [found[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+    assert len(set(found.values())) < 40

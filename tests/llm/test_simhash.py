@@ -100,7 +100,7 @@ def test_large_buckets_are_cut_into_blocks(spark):
     signed = np.array(prints, np.uint64).view(np.int64).tolist()
     df = spark.createDataFrame(list(zip(range(len(signed)), [0] * len(signed), signed, strict=True)), "doc_id long, digest long, fp long")
     want = slow_classes(list(range(len(prints))), prints, 4)
-    for block in (16, 100, 1 << 15):
+    for block in (16, 100, 400, 1 << 15):
         got = {r["doc_id"]: r["component_id"] for r in simhash.classes(df, 4, block).collect()}
         assert [got[i] for i in range(len(prints))] == want
     nodes = df.select("fp")
