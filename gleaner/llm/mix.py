@@ -2,15 +2,17 @@
 
 Every document has a 60-bit hash of its id. A source that must give `target` words out of `size` gives
 all its documents floor(target / size) times, and once more those whose hash is at most the source's
-threshold. The thresholds come from histograms: words summed by source and by the top 12 bits of the hash
+threshold. The threshold comes from histograms: words summed by source and by the top 12 bits of the hash
 show in which bucket the budget is crossed; only that boundary bucket is summed again by the next 12 bits,
-and so on until it holds a single hash. No documents are sorted, and a larger budget takes a superset
-of what a smaller one takes.
+and so on until it holds a single hash. No documents are sorted. What the document at the boundary
+would exceed is filled up in two further rounds, by documents beyond the threshold that are small enough: a source
+then has three nested thresholds, the later ones with a largest size. In the first round a larger budget
+takes a superset of what a smaller one takes.
 
 Defined cases: a null or empty text has size 0 and takes 0 words; a null source is a source of its
 own, last in order; documents with equal ids (or null ids) share a hash and are taken together; an empty
-table gives no rows. Thresholds fall where the words taken come nearest to the target, the smaller
-on a tie. The driver holds one row for each source, as the mixing weights themselves do. Columns other
+table gives no rows. The last threshold falls where the words taken come nearest to the target, the
+smaller on a tie; an earlier one may pass it by an EARLY-th of what would stay open. The driver holds one row for each source, as the mixing weights themselves do. Columns other
 than the id, the source and the text are not read, so their names can't clash.
 """
 
@@ -22,7 +24,10 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import WORD, cut, small_frame
 
-HASH_BITS, LEVEL_BITS = 60, 12
+HASH_BITS, LEVEL_BITS, ROUNDS = 60, 12, 3
+LARGEST = (1 << 63) - 1
+#: Before the last round a document may exceed the room if that leaves an error so many times smaller.
+EARLY = 8
 DEFAULT_WEIGHTS, DEFAULT_SHARE, MOST_TIMES = (3, 1, 2), 1.5, 2
 
 
@@ -31,12 +36,16 @@ def document_hash(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """(doc_id, source, size, hash) of every document."""
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        word_count(F.col(text)).alias("size"),
         document_hash(F.col(doc_id)).alias("hash"),
     )
 
@@ -56,55 +65,77 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = DEFAULT_W
     return out
 
 
-def thresholds(docs: DataFrame, plan: list[dict]) -> list[dict]:
-    """Find for each source the hash up to which its documents are taken once more.
+def thresholds(docs: DataFrame, plan: list[dict], rounds: int = ROUNDS) -> list[dict]:
+    """Find for each source up to which hash its documents are taken once more.
+
+    `docs` is a sized() frame that is cheap to read again; `plan` has source and budget. Returns the plan with
+    `steps`, `rounds` pairs of a threshold and a size: between the threshold before (-1 at first) and its own, a
+    pair takes the documents of at most its size. In the first round all sizes are taken up to the budget; in each
+    further one the documents that still fit into what is left of it."""
+    state = [p | {"room": float(p["budget"]), "after": -1, "steps": []} for p in plan]
+    for k in range(rounds):
+        for p in state:
+            p["cap"] = LARGEST if k == 0 else int(p["room"])
+            p["threshold"] = p["after"]
+        _search(docs, [p for p in state if p["room"] > 0 and p["cap"] > 0], patience=1 if k == rounds - 1 else EARLY)
+        for p in state:
+            p["steps"].append((p["threshold"], p["cap"]))
+            p["after"] = p["threshold"]
+    return state
 
-    `docs` is a sized() frame that is cheap to read again; `plan` has source and budget. Returns the
-    plan with `threshold` (-1: none).
-    """
-    spark = docs.sparkSession
-    state = [p | {"lead": 0, "before": 0, "threshold": -1, "open": p["budget"] > 0} for p in plan]
+
+def _search(docs: DataFrame, state: list[dict], patience: int) -> None:
+    """One round: set each source's threshold and take what it uses off its room.
+
+    The documents up to the threshold stay within the room, but that the last one may exceed it if what it
+    exceeds by is less than a `patience`-th of what would else stay open."""
+    for p in state:
+        p["lead"] = 0
+    now = state
     for bits in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
-        now = [p for p in state if p["open"]]
         if not now:
             break
-        level = small_frame(spark, pa.table({
+        level = small_frame(docs.sparkSession, pa.table({
             "l_source": pa.array([p["source"] for p in now], pa.string()),
             "lead": pa.array([p["lead"] for p in now], pa.int64()),
-            "room": pa.array([p["budget"] - p["before"] for p in now], pa.float64()),
+            "room": pa.array([p["room"] for p in now], pa.float64()),
+            "after": pa.array([p["after"] for p in now], pa.int64()),
+            "cap": pa.array([p["cap"] for p in now], pa.int64()),
         }))
-        inside = docs.filter(F.col("size") > 0).join(level, F.col("source").eqNullSafe(F.col("l_source")) & (F.shiftright("hash", bits + LEVEL_BITS) == F.col("lead")))
+        same = F.col("source").eqNullSafe(F.col("l_source")) & (F.shiftright("hash", bits + LEVEL_BITS) == F.col("lead"))
+        inside = docs.filter(F.col("size") > 0).join(level, same & (F.col("hash") > F.col("after")) & (F.col("size") <= F.col("cap")))
         sums = inside.groupBy("source", "room", F.shiftright("hash", bits).alias("bucket")).agg(F.sum("size").alias("words"), F.min("hash").alias("low"), F.max("hash").alias("high"))
         # at most 4096 sums for each source: the bucket where the running sum first exceeds the room
         crossing = sums.groupBy("source", "room").agg(F.array_sort(F.collect_list(F.struct("bucket", "words", "low", "high"))).alias("all"))
         walked = F.aggregate(
             "all",
-            F.struct(F.lit(0).cast("long").alias("before"), F.lit(-1).cast("long").alias("last"), F.lit(None).cast("struct<bucket:long,words:long,low:long,high:long>").alias("hit")),
+            F.struct(F.lit(0).cast("long").alias("used"), F.lit(-1).cast("long").alias("last"), F.lit(None).cast("struct<bucket:long,words:long,low:long,high:long>").alias("hit")),
             lambda acc, x: F.when(acc["hit"].isNotNull(), acc)
-            .when(acc["before"] + x["words"] <= F.col("room"), F.struct((acc["before"] + x["words"]).alias("before"), x["high"].alias("last"), acc["hit"].alias("hit")))
-            .otherwise(F.struct(acc["before"].alias("before"), acc["last"].alias("last"), x.alias("hit"))),
+            .when(acc["used"] + x["words"] <= F.col("room"), F.struct((acc["used"] + x["words"]).alias("used"), x["high"].alias("last"), acc["hit"].alias("hit")))
+            .otherwise(F.struct(acc["used"].alias("used"), acc["last"].alias("last"), x.alias("hit"))),
         )
         found = {r["source"]: r["w"] for r in crossing.select("source", walked.alias("w")).collect()}
+        open_ = []
         for p in now:
             w = found.get(p["source"])
-            p["open"] = False
             if w is None:
                 continue
             if w["last"] >= 0:
                 p["threshold"] = w["last"]
-            p["before"] += w["before"]
+            p["room"] -= w["used"]
             if w["hit"] is None:
                 continue
-            room = p["budget"] - p["before"]
             if w["hit"]["low"] < w["hit"]["high"]:
-                p["lead"], p["open"] = w["hit"]["bucket"], True
-            elif w["hit"]["words"] - room < room:  # a single hash: over by less than without it under
+                p["lead"] = w["hit"]["bucket"]
+                open_.append(p)
+            elif (w["hit"]["words"] - p["room"]) * patience < p["room"]:  # a single hash
                 p["threshold"] = w["hit"]["high"]
-    return state
+                p["room"] -= w["hit"]["words"]
+        now = open_
 
 
 def shares(docs: DataFrame, weights: tuple[float, ...] = DEFAULT_WEIGHTS, share: float = DEFAULT_SHARE, most: int = MOST_TIMES) -> DataFrame:
-    """(p_source, source_size, target, times, threshold): what each source of a sized() frame gives."""
+    """(p_source, source_size, target, times, steps): what each source of a sized() frame gives."""
     sizes = {r["source"]: r["words"] for r in docs.groupBy("source").agg(F.sum("size").alias("words")).collect()}
     goal = targets(sizes, weights, share, most)
     plan = []
@@ -117,22 +148,28 @@ def shares(docs: DataFrame, weights: tuple[float, ...] = DEFAULT_WEIGHTS, share:
         "source_size": pa.array([p["size"] for p in plan], pa.int64()),
         "target": pa.array([p["target"] for p in plan], pa.float64()),
         "times": pa.array([p["times"] for p in plan], pa.int32()),
-        "threshold": pa.array([p["threshold"] for p in plan], pa.int64()),
+        "steps": pa.array([[{"threshold": t, "most": m} for t, m in p["steps"]] for p in plan], pa.list_(pa.struct([("threshold", pa.int64()), ("most", pa.int64())]))),
     }))
 
 
+def _once_more(steps: Column, hash_: Column, size: Column) -> Column:
+    """1 if the first threshold that the hash doesn't pass belongs to a size that the document keeps to."""
+    own = F.get(F.filter(steps, lambda s: hash_ <= s["threshold"]), F.lit(0))
+    return F.when(own.isNotNull() & ((own["most"] == F.lit(LARGEST)) | (size <= own["most"])), 1).otherwise(0)
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = DEFAULT_WEIGHTS, share: float = DEFAULT_SHARE, most: int = MOST_TIMES, **columns: str) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every document."""
     docs = cut(sized(docs, **columns))
     out = docs.join(shares(docs, weights, share, most), F.col("source").eqNullSafe(F.col("p_source")))
-    copies = F.col("times") + F.when(F.col("hash") <= F.col("threshold"), 1).otherwise(0)
+    copies = F.col("times") + _once_more(F.col("steps"), F.col("hash"), F.col("size"))
     return out.select("doc_id", "source", "size", "source_size", "target", "hash", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def take(docs: DataFrame, weights: tuple[float, ...] = DEFAULT_WEIGHTS, share: float = DEFAULT_SHARE, most: int = MOST_TIMES, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, each as often as the mix takes it."""
     plan = shares(cut(sized(docs, doc_id, source, text)), weights, share, most)
-    plan = plan.select(F.col("p_source").alias("g_source"), F.col("times").alias("g_times"), F.col("threshold").alias("g_threshold"))
+    plan = plan.select(F.col("p_source").alias("g_source"), F.col("times").alias("g_times"), F.col("steps").alias("g_steps"))
     out = docs.join(plan, docs[source].eqNullSafe(plan["g_source"]))
-    copies = plan["g_times"] + F.when(document_hash(docs[doc_id]) <= plan["g_threshold"], 1).otherwise(0)
+    copies = plan["g_times"] + _once_more(plan["g_steps"], document_hash(docs[doc_id]), word_count(docs[text]))
     return out.filter(copies > 0).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies)).alias("g_copy")).drop("g_copy")

@@ -30,19 +30,36 @@ goal AS (
   SELECT source, source_size, target,
          CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS times
   FROM plan),
-groups AS (
-  SELECT source, hash, sum(size)::BIGINT AS words,
-         (sum(sum(size)) OVER (PARTITION BY source ORDER BY hash))::BIGINT AS so_far
-  FROM sized GROUP BY source, hash)
+rooms AS (SELECT source, source_size, target, times, target - times * source_size AS room FROM goal),
+-- documents in order of their hash while they stay within the room, or nearly so
+run1 AS (
+  SELECT s.source, s.hash, r.room, sum(s.size) AS words, sum(sum(s.size)) OVER (PARTITION BY s.source ORDER BY s.hash) AS so_far
+  FROM sized s JOIN rooms r ON s.source IS NOT DISTINCT FROM r.source WHERE s.size > 0 GROUP BY s.source, s.hash, r.room),
+end1 AS (
+  SELECT r.source, coalesce(max(u.hash), -1) AS t1, r.room - coalesce(max(u.so_far), 0) AS room
+  FROM rooms r LEFT JOIN run1 u ON r.source IS NOT DISTINCT FROM u.source
+    AND (u.so_far <= u.room OR (u.so_far - u.room) * 8 < u.room - (u.so_far - u.words)) GROUP BY r.source, r.room),
+-- then those that fit into what is left
+run2 AS (
+  SELECT s.source, s.hash, e.room, sum(s.size) AS words, sum(sum(s.size)) OVER (PARTITION BY s.source ORDER BY s.hash) AS so_far
+  FROM sized s JOIN end1 e ON s.source IS NOT DISTINCT FROM e.source AND s.hash > e.t1 AND s.size <= floor(e.room) WHERE s.size > 0 GROUP BY s.source, s.hash, e.room),
+end2 AS (
+  SELECT e.source, e.t1, floor(e.room) AS c2, greatest(e.t1, coalesce(max(u.hash), -1)) AS t2, e.room - coalesce(max(u.so_far), 0) AS room
+  FROM end1 e LEFT JOIN run2 u ON e.source IS NOT DISTINCT FROM u.source
+    AND (u.so_far <= u.room OR (u.so_far - u.room) * 8 < u.room - (u.so_far - u.words)) GROUP BY e.source, e.t1, e.room),
+-- and again; the last one may pass the room if that is nearer
+run3 AS (
+  SELECT s.source, s.hash, e.room, sum(s.size) AS words, sum(sum(s.size)) OVER (PARTITION BY s.source ORDER BY s.hash) AS so_far
+  FROM sized s JOIN end2 e ON s.source IS NOT DISTINCT FROM e.source AND s.hash > e.t2 AND s.size <= floor(e.room) WHERE s.size > 0 GROUP BY s.source, s.hash, e.room),
+end3 AS (
+  SELECT e.source, e.t1, e.c2, e.t2, floor(e.room) AS c3, greatest(e.t2, coalesce(max(u.hash), -1)) AS t3
+  FROM end2 e LEFT JOIN run3 u ON e.source IS NOT DISTINCT FROM u.source
+    AND (u.so_far <= u.room OR u.so_far - u.room < u.room - (u.so_far - u.words)) GROUP BY e.source, e.t1, e.c2, e.t2, e.room)
 SELECT s.doc_id, s.source, s.size, g.source_size, g.target,
-       (s.size * (g.times + CASE
-          WHEN g.target - g.times * g.source_size <= 0 THEN 0
-          WHEN h.so_far <= g.target - g.times * g.source_size THEN 1
-          WHEN h.so_far - (g.target - g.times * g.source_size) < (g.target - g.times * g.source_size) - (h.so_far - h.words) THEN 1
-          ELSE 0 END))::BIGINT AS taken
+       (s.size * (g.times + CASE WHEN s.hash <= e.t1 THEN 1 WHEN s.hash <= e.t2 THEN (s.size <= e.c2)::INTEGER WHEN s.hash <= e.t3 THEN (s.size <= e.c3)::INTEGER ELSE 0 END))::BIGINT AS taken
 FROM sized s
 JOIN goal g ON s.source IS NOT DISTINCT FROM g.source
-JOIN groups h ON s.source IS NOT DISTINCT FROM h.source AND s.hash = h.hash
+JOIN end3 e ON s.source IS NOT DISTINCT FROM e.source
 """
 
 OP3 = """

@@ -35,9 +35,9 @@ def test_targets(seed):
 
 
 def check(found):
-    """Near the target: within half of the document at the threshold, so surely within the largest; reruns agree."""
+    """Near the target: within one percent, or, where a source is a handful of documents, no more than its largest."""
     for _, s in found.groupby("source", dropna=False):
-        assert abs(s.taken.sum() - s.target.iloc[0]) <= s["size"].max()
+        assert abs(s.taken.sum() - s.target.iloc[0]) <= max(0.01 * s.target.iloc[0], s["size"].max())
     assert (found.taken <= 2 * found["size"]).all() and (found.taken >= 0).all()
 
 
@@ -48,27 +48,41 @@ def test_query(spark, sf, oracle, same):
     same(found, op2_source_mix(spark, sf).toPandas())
 
 
-def test_refining_finds_the_exact_threshold(spark, monkeypatch):
+def slow_taken(s, rounds=3):
+    """One source's documents, taken one hash after the other."""
+    size, target = s.source_size.iloc[0], s.target.iloc[0]
+    times = int(target // size)
+    room, after, more = target - times * size, -1, set()
+    for k in range(rounds):
+        fits = s[(s.hash > after) & (s["size"] > 0) & ((s["size"] <= int(room)) if k else True)]
+        if room <= 0:
+            break
+        for h, words in fits.groupby("hash")["size"].sum().items():
+            if words > room and not (words - room) * (1 if k == rounds - 1 else 8) < room:
+                break
+            more |= set(fits.index[fits.hash == h])
+            after = h
+            room -= words
+            if room < 0:
+                break
+    return [r["size"] * (times + (i in more)) for i, r in s.iterrows()]
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_refining_finds_the_exact_thresholds(spark, monkeypatch, rounds):
     rng = random.Random(3)
-    docs = make_docs(spark, [words(rng, rng.randint(0, 9)) for _ in range(300)], source=[rng.choice("ab") for _ in range(300)])
+    docs = make_docs(spark, [words(rng, rng.choice([0, 1, 5, 40])) for _ in range(300)], source=[rng.choice("abcd") for _ in range(300)])
+    monkeypatch.setattr(mix.thresholds, "__defaults__", (rounds,))
     fine = mix.mix(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
     for _, s in fine.groupby("source"):
-        s = s.sort_values("hash")
-        size, target = s.source_size.iloc[0], s.target.iloc[0]
-        times, budget, total, threshold, before = int(target // size), target - target // size * size, 0, -1, 0
-        for h, g in s.groupby("hash"):
-            total += g["size"].sum()
-            if g["size"].sum() and (total <= budget or total - budget < budget - before):
-                threshold = h
-            before = total
-        want = s["size"] * (times + (s.hash <= threshold))
-        assert want.tolist() == s.taken.tolist()
+        assert slow_taken(s, rounds) == s.taken.tolist()
     monkeypatch.setattr(mix, "LEVEL_BITS", 4)  # other levels, same thresholds
     coarse = mix.mix(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
     assert coarse.taken.tolist() == fine.taken.tolist()
 
 
-def test_nested(spark):
+def test_nested(spark, monkeypatch):
+    monkeypatch.setattr(mix.thresholds, "__defaults__", (1,))
     rng = random.Random(4)
     docs = make_docs(spark, [words(rng, rng.randint(1, 9)) for _ in range(200)], source=[rng.choice("abc") for _ in range(200)])
     less = mix.mix(docs, share=0.5).select("doc_id", F.col("copies").alias("less"))
