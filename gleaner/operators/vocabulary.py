@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.ranking import top_rows
-
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
     """(term, df, cf): in how many documents a term occurs, and how often.
@@ -29,20 +27,39 @@ def build_vocabulary(docs: DataFrame, min_df: int = 2, max_df: float = 1.0, max_
     of those the max_features most frequent in the corpus, ties by term."""
     n = docs.count() if n_docs is None else n_docs
     kept = term_frequencies(docs).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
-    return top_rows(kept, [], [F.desc("cf"), F.asc("term")], max_features).drop("rank") if max_features else kept
+    return most_frequent(kept, max_features) if max_features else kept
+
+
+def most_frequent(terms: DataFrame, k: int) -> DataFrame:
+    """The k terms of largest cf, ties by term, without sorting them all: how many terms have each cf (one row for
+    each different value) shows the cf at which the k-th lies; only the terms of that cf are put in order."""
+    terms = terms.persist()  # read up to three times, and small beside the texts it comes from
+    sizes = terms.groupBy("cf").agg(F.count("*").alias("n")).orderBy(F.desc("cf"))
+    before = 0
+    for r in sizes.toLocalIterator():
+        if before + r["n"] > k:
+            ties = terms.filter(F.col("cf") == r["cf"]).orderBy("term").limit(k - before)
+            return terms.filter(F.col("cf") > r["cf"]).unionByName(ties)
+        before += r["n"]
+    return terms
 
 
 def corpus_stats(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """One row (n_docs, n_terms, nnz, avg_len): lengths count terms of the vocabulary, over all documents, empty ones too."""
-    zero = F.lit(0).cast("long")
+    """One row (n_docs, n_terms, nnz, avg_len, idf_min, idf_max): lengths count terms of the vocabulary, over all documents,
+    empty ones too; idf as BM25 has it."""
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
     kept = docs.select(F.explode("terms").alias("term")).join(vocabulary.select("term"), "term", "left_semi")
-    parts = [
-        docs.agg(F.count("*").alias("n_docs"), zero.alias("n_terms"), zero.alias("nnz"), zero.alias("tokens")),
-        vocabulary.agg(zero.alias("n_docs"), F.count("*").alias("n_terms"), F.coalesce(F.sum("df"), zero).alias("nnz"), zero.alias("tokens")),
-        kept.agg(zero.alias("n_docs"), zero.alias("n_terms"), zero.alias("nnz"), F.count("*").alias("tokens")),
-    ]
-    total = parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_terms", "nnz", "tokens")])
-    return total.select("n_docs", "n_terms", "nnz", F.try_divide("tokens", "n_docs").alias("avg_len"))
+    columns = ("n_docs", "n_terms", "nnz", "tokens", "df_min", "df_max")
+
+    def part(rows: DataFrame, **have: Column) -> DataFrame:
+        return rows.agg(*[have.get(c, none if c.startswith("df") else zero).alias(c) for c in columns])
+
+    parts = part(docs, n_docs=F.count("*")).unionByName(part(kept, tokens=F.count("*"))).unionByName(
+        part(vocabulary, n_terms=F.count("*"), nnz=F.coalesce(F.sum("df"), zero), df_min=F.min("df"), df_max=F.max("df"))
+    )
+    total = parts.agg(*[(F.max if c.startswith("df") else F.sum)(c).alias(c) for c in columns])
+    idf = lambda df: F.log1p((F.col("n_docs") - F.col(df) + 0.5) / (F.col(df) + 0.5))
+    return total.select("n_docs", "n_terms", "nnz", F.try_divide("tokens", "n_docs").alias("avg_len"), idf("df_max").alias("idf_min"), idf("df_min").alias("idf_max"))
 
 
 def document_lengths(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -283,7 +283,9 @@ blend AS (SELECT query_id, item_id, sum(score) AS score FROM (SELECT query_id, i
     "grid_eval": GRID,
     "vocabulary_prune": f"WITH {ITEMS}, {WORD} SELECT term, df::BIGINT AS df, cf::BIGINT AS cf FROM word_vocab",
     "bm25_stats": f"""WITH {ITEMS}, {WORD}
-SELECT (SELECT count(*) FROM items) AS n_docs, (SELECT count(*) FROM word_vocab) AS n_terms, (SELECT sum(df) FROM word_vocab)::BIGINT AS nnz, round((SELECT avg_len FROM word_avg), 6) AS avg_len""",
+SELECT (SELECT count(*) FROM items) AS n_docs, (SELECT count(*) FROM word_vocab) AS n_terms, (SELECT sum(df) FROM word_vocab)::BIGINT AS nnz, round((SELECT avg_len FROM word_avg), 6) AS avg_len,
+round((SELECT min(ln(1 + ((SELECT count(*) FROM items) - df + 0.5) / (df + 0.5))) FROM word_vocab), 6) AS idf_min,
+round((SELECT max(ln(1 + ((SELECT count(*) FROM items) - df + 0.5) / (df + 0.5))) FROM word_vocab), 6) AS idf_max""",
     "normalized_text": f"""SELECT doc_id, md5({normal("text")}) AS normalized, length({normal("text")})::BIGINT AS n_chars,
 length(trim(lower(coalesce(text, ''))))::BIGINT AS n_basic, strlen({normal("text")})::BIGINT AS n_bytes FROM documents""",
     "token_counts": f"SELECT doc_id, len({words('text')})::BIGINT AS n_tokens, len(list_distinct({words('text')}))::BIGINT AS n_distinct, len({hyphen_words('text')})::BIGINT AS n_hyphen FROM documents",

@@ -139,7 +139,7 @@ def vocabulary_prune(spark, sf):
 def bm25_stats(spark, sf):
     docs = _word_docs(spark, sf)
     s = corpus_stats(docs, build_vocabulary(docs, 2, 0.99, 200_000))
-    return s.select("n_docs", "n_terms", "nnz", shown("avg_len").alias("avg_len"))
+    return s.select("n_docs", "n_terms", "nnz", *[shown(c).alias(c) for c in ("avg_len", "idf_min", "idf_max")])
 
 
 # --- text ---

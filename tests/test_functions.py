@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions import encoding
 from gleaner.functions import text as t
 from gleaner.functions.stemming import RussianStemmer, normalize_tokens
 from gleaner.functions.vectors import l2_normalize, sum_pool
@@ -97,3 +99,11 @@ def test_vectors(spark):
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0])], "token string, vector array<double>")
     got = {r["doc_id"]: r["vector"] for r in sum_pool(tokens, vectors).collect()}
     assert got.keys() == {1} and got[1] == pytest.approx([0.5**0.5, 0.5**0.5])
+
+
+def test_encoding(spark):
+    df = spark.createDataFrame([(1, "ab", None), (2, " ", ""), (3, None, "c")], "id int, a string, b string")
+    texts = df.select("id", encoding.join_fields(F.col("a"), F.col("b")).alias("text"))
+    assert [r["text"] for r in texts.orderBy("id").collect()] == ["ab", "", "c"]
+    made = encoding.encode(texts, lambda: lambda batch: np.array([[3.0 * len(t), 4.0 * len(t)] for t in batch]), "id", batch_size=2)
+    assert {r["id"]: r["vector"] for r in made.collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: [0.6, 0.8]}
