@@ -15,7 +15,8 @@ from gleaner.llm.common import cut
 def _large(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to the least node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+    # written out first: next to an aggregation Spark can't split a join's hot keys
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")))
     moved = both.filter(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("u"))
     return moved.select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
 
@@ -23,7 +24,7 @@ def _large(edges: DataFrame) -> DataFrame:
 def _small(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours move to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b")
     return moved.unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
 

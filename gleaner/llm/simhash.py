@@ -194,7 +194,8 @@ def classes(prints: DataFrame, most: int = 4, block: int = buckets.BLOCK) -> Dat
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes, most, block))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
+    # written out first: next to an aggregation Spark can't split a join's hot keys
+    least = cut(named.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r"))
     by_fp = named.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id")
     return prints.join(by_fp, F.col("fp") == F.col("f"), "left").select("doc_id", "digest", "fp", "root", "component_id")
 
@@ -211,15 +212,22 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id:
     found = cut(classes(fingerprints(docs, shingle, doc_id, text), bits_for(similarity)).select("root", "doc_id", "digest"))
     # rows of equal id and text are one key; of each component's keys the least stays
     keys = found.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
-    first = keys.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first")).withColumnRenamed("root", "r")
-    keys = cut(keys.join(first, F.col("root") == F.col("r")).select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest"), "n", (F.struct("doc_id", "digest") == F.col("first")).alias("stays")))
-    same = F.col(doc_id).eqNullSafe(F.col("k_id")) & (F.xxhash64(text) == F.col("k_digest"))
-    kept = docs.join(_sized(keys.filter(~F.col("stays")).select("k_id", "k_digest")), same, "left_anti")
-    often = cut(keys.filter(F.col("stays") & (F.col("n") > 1)).select("k_id", "k_digest"))
+    first = keys.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select(F.col("root").alias("r"), F.col("first.doc_id").alias("i"), F.col("first.digest").alias("d"))
+    # joined on the whole key: a large component's rows are dealt out like any others
+    stays = (F.col("root") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d"))
+    keys = cut(keys.join(first, stays, "left").select(F.col("doc_id").alias("g_id"), F.col("digest").alias("g_digest"), "n", F.col("r").isNotNull().alias("stays")))
+
+    def same(rows: DataFrame, keys: DataFrame) -> Column:
+        return rows[doc_id].eqNullSafe(keys["g_id"]) & (F.xxhash64(rows[text]) == keys["g_digest"])
+
+    gone = _sized(keys.filter(~F.col("stays")).select("g_id", "g_digest"))
+    kept = docs.join(gone, same(docs, gone), "left_anti")
+    often = cut(keys.filter(F.col("stays") & (F.col("n") > 1)).select("g_id", "g_digest"))
     if often.isEmpty():
         return kept
-    repeated = kept.join(_sized(often), same, "left_semi").dropDuplicates([doc_id, text])
-    return kept.join(_sized(often), same, "left_anti").unionByName(repeated)
+    often = _sized(often)
+    repeated = kept.join(often, same(kept, often), "left_semi").dropDuplicates([doc_id, text])
+    return kept.join(often, same(kept, often), "left_anti").unionByName(repeated)
 
 
 def _sized(keys: DataFrame) -> DataFrame:
