@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: A word, wherever the contracts count words.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,6 +43,17 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """For frames with texts on their way to Python: lower the session's Arrow batches to BATCH_BYTES and BATCH_ROWS, as a
+    worker holds a batch several times over (smaller settings stay)."""
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) or 0) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import buckets
-from gleaner.llm.common import cut, partitions
+from gleaner.llm.common import bounded_batches, cut, partitions
 from gleaner.llm.components import components
 
 SLOTS, BITS, BAND = 256, 4, 8
@@ -173,7 +173,7 @@ def follow(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 copies = batch.take(pa.array(again))
                 yield pa.record_batch([pa.array([to[int(k)] for k in key[again]], pa.int32()), pa.array(np.zeros(len(again), bool)), copies.column(0), copies.column(1)], ["range", "own", "doc_id", "text"])
 
-    dealt = base.mapInArrow(run, "range int, own boolean, doc_id long, text string").repartitionById(max(n, len(bounds) + 1), F.col("range"))
+    dealt = bounded_batches(base).mapInArrow(run, "range int, own boolean, doc_id long, text string").repartitionById(max(n, len(bounds) + 1), F.col("range"))
     return dealt.sortWithinPartitions(F.desc("own"), F.desc_nulls_last("doc_id"), "text")
 
 
@@ -195,7 +195,7 @@ def prints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             keys = pa.array([bands(s).astype(np.int64).tolist() for s in slots], pa.list_(pa.int64()))
             yield pa.record_batch([batch.column(0), pa.array(map(as_hex, slots), pa.string()), keys], ["doc_id", "fingerprint", "bands"])
 
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, fingerprint string, bands array<long>")
+    return bounded_batches(base).mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, fingerprint string, bands array<long>")
 
 
 def compare_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

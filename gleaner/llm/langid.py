@@ -27,6 +27,8 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import bounded_batches
+
 SAMPLE_TEXTS, SAMPLE_CHARS, MOST_LANGUAGES = 300, 20_000, 256
 DICTIONARY_BYTES, PRIMER_BYTES, LEVEL = 110_000, 16_000, 3
 UNKNOWN = "und"
@@ -118,7 +120,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[Colum
             )
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1]]
-    return base.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, rejected boolean"]))
+    return bounded_batches(base).mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, rejected boolean"]))
 
 
 def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -130,4 +132,4 @@ def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             _, _, rejected = _judged(model, batch.column(batch.schema.get_field_index(text)), classify)
             yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind's number, end
 
@@ -247,7 +249,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             yield pa.record_batch([batch.column(0), spans], ["doc_id", "spans"])
 
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = ids.mapInArrow(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, spans array<struct<start:int,kind:int,end:int,plain:boolean>>")
+    found = bounded_batches(ids).mapInArrow(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, spans array<struct<start:int,kind:int,end:int,plain:boolean>>")
     kinds = F.array(*[F.lit(k) for k in KINDS])
     return found.select(
         "doc_id",
@@ -285,5 +287,5 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = None) -> Da
             i = batch.schema.get_field_index(text)
             yield batch.set_column(i, batch.schema.field(i), pa.array(map(redacted, batch.column(i).to_pylist()), batch.schema.field(i).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = bounded_batches(docs).mapInArrow(run, docs.schema)
     return out.withColumn(length, F.length(text).cast(docs.schema[length].dataType)) if length else out

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import buckets
-from gleaner.llm.common import cut
+from gleaner.llm.common import bounded_batches, cut
 from gleaner.llm.components import components
 
 BITS, SEED = 64, 42
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text
             fps = np.fromiter((fingerprint(t, shingle) for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "digest", "fp"])
 
-    return ids.mapInArrow(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, digest long, fp long")
+    return bounded_batches(ids).mapInArrow(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, digest long, fp long")
 
 
 # --- partitions and thresholds ---

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gleaner.llm.common import cut, partitions
+from gleaner.llm.common import bounded_batches, cut, partitions
 
 ROLES = ("system", "user", "assistant")
 START, STATES = len(ROLES), len(ROLES) + 1
@@ -132,7 +132,7 @@ def train(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         yield pa.record_batch([pa.array(cell.astype(np.int32)), pa.array(n.ravel()[cell])], ["cell", "n"])
 
     forms = np.ones((len(ROLES), FORMS))
-    for r in base.select("role", "text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in bounded_batches(base.select("role", "text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         forms.ravel()[r["cell"]] += r["n"]
     known = F.create_map(*[F.lit(x) for kv in SPEAKERS.items() for x in kv])
     states = base.select("conv", "turn", F.try_element_at(known, F.lower(F.trim("role"))).alias("state")).filter("turn is not null")
@@ -203,7 +203,7 @@ def _boundaries(base: DataFrame, model: Model) -> DataFrame:
 
     kind = to_arrow_type(base.schema["conv"].dataType)
     rows = base.select("conv", "chunk", "turn", "role", "text", F.xxhash64("role", "text").alias("tie"))
-    m = rows.mapInArrow(matrices, f"conv {conv}, chunk long, turn long, tie long, m array<double>")
+    m = bounded_batches(rows).mapInArrow(matrices, f"conv {conv}, chunk long, turn long, tie long, m array<double>")
     m = m.repartition(n, "conv", "chunk").sortWithinPartitions("conv", "chunk", "turn", "tie")
     m = m.mapInArrow(chunks, f"conv {conv}, chunk long, m array<double>")
     m = m.repartition(n, "conv").sortWithinPartitions("conv", "chunk")
