@@ -1,7 +1,8 @@
 """Linking the members of buckets, whatever their size, without making their pairs.
 
 Rows are (key, node) or (key, node, payload): a node stands in the buckets of its keys, and two nodes of a
-bucket are linked if `near` says so of their payloads (of the nodes themselves, without a payload). What comes
+bucket are linked if `near` says so: near(loads, i, j) gets the payloads as rows of bytes (the nodes themselves, without
+a payload) and tells of each position in `i` whether it is linked with the one in `j`, or with j. What comes
 out joins, step by step, all nodes that are linked: a spanning forest of each bucket's links, not the links.
 
 Rows are sorted by bucket and streamed. Small buckets are compared pair by pair at once; in larger ones a walk
@@ -27,7 +28,7 @@ BLOCK = 1 << 15
 DENSE = 256
 EDGE, HELD = 0, 1
 
-Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Near = Callable[[np.ndarray, np.ndarray, "np.ndarray | int"], np.ndarray]
 
 
 def _walk(nodes: np.ndarray, loads: np.ndarray, near: Near) -> tuple[list[int], list[int]]:
@@ -38,7 +39,7 @@ def _walk(nodes: np.ndarray, loads: np.ndarray, near: Near) -> tuple[list[int],
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             x = todo.pop()
-            hit = near(loads[left], loads[x])
+            hit = near(loads, left, x)
             if hit.any():
                 found, left = left[hit], left[~hit]
                 a += [int(nodes[x])] * len(found)
@@ -56,7 +57,7 @@ def _side_by_side(keys: np.ndarray, loads: np.ndarray, near: Near) -> tuple[np.n
         at = at[keys[at] == keys[at + step]]
         if not len(at):
             break
-        hit = at[near(loads[at], loads[at + step])]
+        hit = at[near(loads, at, at + step)]
         left.append(hit)
         right.append(hit + step)
     return np.concatenate(left), np.concatenate(right)

@@ -251,8 +251,8 @@ def near_classes(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_id", te
     chance = 2.0**-BITS
     equal = (least * (1 - chance) + chance) * SLOTS
 
-    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        differ = a ^ b
+    def near(loads: np.ndarray, i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
+        differ = loads[i] ^ loads[j]
         return ((differ & 15) == 0).sum(axis=1) + ((differ >> 4) == 0).sum(axis=1) >= equal
 
     roots = components(buckets.links(rows, near, block))

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, comb, pi
+from math import acos, comb, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +37,11 @@ from gleaner.llm.common import bounded_batches, cut
 from gleaner.llm.components import components
 
 BITS, SEED = 64, 42
+#: 64-bit words of a wide fingerprint.
+WORDS = 4
 #: Estimated work: an index row against a pair to verify.
 ROW_COST, PAIR_COST = 100.0, 1.0
-PARTITIONS = (2, 3, 4, 5, 6)
+PARTITIONS = (2, 3, 4, 5, 6, 7)
 #: Keys of dropped rows are sent to every executor up to this many bytes.
 BROADCAST_BYTES = 64 << 20
 
@@ -47,10 +49,10 @@ BROADCAST_BYTES = 64 << 20
 # --- fingerprints ---
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
+def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: both concern ASCII only, as the contract asks
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, starts, ends, at = b" ".join(words), [], [], 0
     for w in words:
         starts.append(at)
@@ -59,23 +61,48 @@ def fingerprint(text: str | None, shingle: int) -> int:
         at += 1
     last = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:last], ends[shingle - 1 :] or ends[-1:], strict=True)), np.uint64, last)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:last], ends[shingle - 1 :] or ends[-1:], strict=True)), np.uint64, last)
+
+
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(BITS, np.int64)
-    for i in range(0, last, 1 << 16):
+    for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > last).tobytes(), "big")
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    return _majority(_shingle_hashes(text, shingle))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, digest, fp) of every row: digest is a hash of the text, fp the fingerprint as a signed long."""
+def wide_fingerprint(text: str | None, shingle: int) -> list[int]:
+    """The fingerprint, and WORDS - 1 more from hashes of the shingles' hashes."""
+    h, out = _shingle_hashes(text, shingle), []
+    for _ in range(WORDS):
+        out.append(_majority(h))
+        h = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(29)
+    return out
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
+    """(doc_id, digest, fp) of every row: digest is a hash of the text, fp the fingerprint as a signed long; if `wide`, also
+    `words`, all words of the wide fingerprint as bytes."""
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t, shingle) for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "digest", "fp"])
+            texts = batch.column(2).to_pylist()
+            if wide:
+                made = np.array([wide_fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, WORDS)
+                more = [pa.array([row.tobytes() for row in made], pa.binary())]
+                fps = np.ascontiguousarray(made[:, 0])
+            else:
+                more, fps = [], np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), *more], ["doc_id", "digest", "fp", *["words"] * wide])
 
-    return bounded_batches(ids).mapInArrow(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, digest long, fp long")
+    return bounded_batches(ids).mapInArrow(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, digest long, fp long" + ", words binary" * wide)
 
 
 # --- partitions and thresholds ---
@@ -173,43 +200,63 @@ def plan(nodes: DataFrame, most: int) -> list[tuple[int, ...]]:
 # --- links ---
 
 
-def links(nodes: DataFrame, most: int, block: int = buckets.BLOCK) -> DataFrame:
-    """(a, b): links of fingerprints within `most` bits, that together join whatever is linked by steps."""
+def links(nodes: DataFrame, most: int, block: int = buckets.BLOCK, most_wide: int | None = None) -> DataFrame:
+    """(a, b): links of nodes whose fingerprints are within `most` bits, that together join whatever is linked by steps.
+
+    With `most_wide`, nodes have `words`, and all words together may differ in so many bits."""
     masks = plan(nodes, most)
     # different masks, or values, that meet in one 64-bit bucket key only add pairs, which are verified
     probe = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("m")) for i, m in enumerate(masks)])).alias("p")
-    rows = nodes.select("fp", probe).select(F.xxhash64("p.i", F.col("fp").bitwiseAND(F.col("p.m"))).alias("key"), F.col("fp").alias("node"))
-
-    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count((a ^ b).view(np.uint64)) <= most  # of signed numbers it would count the absolute value's bits
+    payload = [] if most_wide is None else [F.col("words").alias("payload")]
+    rows = nodes.select("node", "fp", *payload, probe).select(F.xxhash64("p.i", F.col("fp").bitwiseAND(F.col("p.m"))).alias("key"), "node", *[p for p in ("payload",) if payload])
+
+    def near(loads: np.ndarray, i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
+        if most_wide is None:  # as unsigned: of signed numbers bitwise_count counts the absolute value's bits
+            return np.bitwise_count((loads[i] ^ loads[j]).view(np.uint64)) <= most
+        words = loads.view(np.uint64)
+        hit = np.bitwise_count(words[i, 0] ^ words[j, 0]) <= most
+        some = np.flatnonzero(hit)
+        if len(some):
+            differ = words[i[some]] ^ words[j[some] if isinstance(j, np.ndarray) else j]
+            hit[some] = np.bitwise_count(differ).sum(axis=1) <= most_wide
+        return hit
 
     return buckets.links(rows, near, block)
 
 
-def classes(prints: DataFrame, most: int = 4, block: int = buckets.BLOCK) -> DataFrame:
-    """(doc_id, digest, fp, root, component_id) for fingerprints() rows: fingerprints within `most` bits are linked.
+def classes(prints: DataFrame, most: int = 4, block: int = buckets.BLOCK, most_wide: int | None = None) -> DataFrame:
+    """(doc_id, digest, fp, root, component_id) for fingerprints() rows: fingerprints within `most` bits are linked, if with
+    `most_wide` the wide ones are within that.
 
-    `root` is the component's least fingerprint; `component_id` its least doc_id."""
-    prints = cut(prints)
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(nodes, most, block))
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    `root` stands for the component; `component_id` is its least doc_id."""
+    wide = most_wide is not None
+    prints = cut(prints.withColumn("node", F.xxhash64("words") if wide else F.col("fp")))
+    nodes = cut(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), *[F.min("words").alias("words")] * wide))
+    roots = components(links(nodes, most, block, most_wide)).withColumnRenamed("node", "r_node")
+    named = nodes.join(roots, F.col("node") == F.col("r_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     # written out first: next to an aggregation Spark can't split a join's hot keys
     least = cut(named.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r"))
-    by_fp = named.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id")
-    return prints.join(by_fp, F.col("fp") == F.col("f"), "left").select("doc_id", "digest", "fp", "root", "component_id")
+    by_node = named.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "root", "component_id")
+    return prints.join(by_node, F.col("node") == F.col("n"), "left").select("doc_id", "digest", "fp", "root", "component_id")
 
 
-def bits_for(similarity: float) -> int:
-    """The most bits that may differ if the fingerprints' estimate of the Jaccard similarity of two shingle sets (of
-    like size) is to be at least `similarity`: a Jaccard similarity s is a cosine of 2s / (1 + s), and bits
-    differ in proportion to the angle."""
-    return int(BITS / pi * acos(2 * similarity / (1 + similarity)))
+def bits_for(similarity: float, bits: int, deviations: float = 0.0) -> float:
+    """How many of `bits` bits are expected to differ between texts whose shingle sets (of like size) have this Jaccard
+    similarity, plus so many standard deviations: a Jaccard similarity s is a cosine of 2s / (1 + s), and bits differ
+    in proportion to the angle."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return bits * p + deviations * sqrt(bits * p * (1 - p))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, less all but one of each component: the one with the least doc_id."""
-    found = cut(classes(fingerprints(docs, shingle, doc_id, text), bits_for(similarity)).select("root", "doc_id", "digest"))
+    """The rows of `docs`, with all their columns, less all but one of each component: the one with the least doc_id.
+
+    64 bits find the candidates, up to half a standard deviation more than what differs on average at the given similarity.
+    All WORDS * 64 bits verify them, up to one standard deviation more: chance neighbours, of which any 64 bits have the
+    more the larger the corpus is, go, and the estimate of the similarity is twice as sharp."""
+    prints = fingerprints(docs, shingle, doc_id, text, wide=True)
+    most, most_wide = int(bits_for(similarity, BITS, 0.5)), int(bits_for(similarity, BITS * WORDS, 1.0))
+    found = cut(classes(prints, most, most_wide=most_wide).select("root", "doc_id", "digest"))
     # rows of equal id and text are one key; of each component's keys the least stays
     keys = found.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
     first = keys.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select(F.col("root").alias("r"), F.col("first.doc_id").alias("i"), F.col("first.digest").alias("d"))

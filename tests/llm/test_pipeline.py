@@ -31,9 +31,10 @@ def test_stages_one_by_one(spark, sf):
         return x
 
     for i, r in enumerate(rows):
-        prints.append(simhash.fingerprint(r["text"], 5))
+        prints.append(simhash.wide_fingerprint(r["text"], 5))
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 9:
+            differ = [(x ^ y).bit_count() for x, y in zip(prints[i], prints[j], strict=True)]
+            if differ[0] <= 11 and sum(differ) <= 44:
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     kept = {rows[i]["doc_id"] for i in range(len(rows)) if find(i) == i}

@@ -75,8 +75,8 @@ def test_links_are_exact(spark, seed, most):
     assert [got[i] for i in range(len(prints))] == slow_classes(list(range(len(prints))), prints, most)
 
 
-@pytest.mark.parametrize("m", range(1, 7))
-@pytest.mark.parametrize("most", [2, 4, 9])
+@pytest.mark.parametrize("m", range(1, 8))
+@pytest.mark.parametrize("most", [2, 4, 11])
 def test_every_plan_covers(m, most):
     """Whatever thresholds are chosen, any two fingerprints within `most` bits share a masked value."""
     if m > most + 1:
@@ -103,7 +103,7 @@ def test_large_buckets_are_cut_into_blocks(spark):
     for block in (16, 100, 400, 1 << 15):
         got = {r["doc_id"]: r["component_id"] for r in simhash.classes(df, 4, block).collect()}
         assert [got[i] for i in range(len(prints))] == want
-    nodes = df.select("fp")
+    nodes = df.select("fp", F.col("fp").alias("node"))
     assert simhash.links(nodes, 4).count() < 60 * len(prints)  # no pairs by the square
 
 
@@ -122,7 +122,48 @@ def test_components(spark):
 
 
 def test_similarity_bits():
-    assert simhash.bits_for(1.0) == 0 and simhash.bits_for(0.8) == 9
+    assert simhash.bits_for(1.0, 64) == 0 and 9 < simhash.bits_for(0.8, 64) < 10 and 38 < simhash.bits_for(0.8, 256) < 39 < simhash.bits_for(0.8, 256, 1) < 45
+
+
+@pytest.mark.parametrize("block", [8, 1 << 15])
+def test_wide_links_are_exact(spark, block):
+    rng = random.Random(11)
+    made = [[rng.getrandbits(64) for _ in range(4)] for _ in range(60)]
+    for _ in range(240):
+        x = list(rng.choice(made))
+        for b in rng.sample(range(256), rng.randint(0, 60)):
+            x[b // 64] ^= 1 << b % 64
+        made.append(x)
+    rows = [(i, 0, int(np.uint64(w[0]).view(np.int64)), np.array(w, np.uint64).tobytes()) for i, w in enumerate(made)]
+    df = spark.createDataFrame(rows, "doc_id long, digest long, fp long, words binary")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.classes(df, 10, block, 44).collect()}
+    root = list(range(len(made)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(made)):
+        for j in range(i):
+            differ = [(a ^ b).bit_count() for a, b in zip(made[i], made[j], strict=True)]
+            if differ[0] <= 10 and sum(differ) <= 44:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    assert [got[i] for i in range(len(made))] == [find(i) for i in range(len(made))]
+
+
+def test_wide_fingerprints_estimate_similarity():
+    rng = random.Random(12)
+    for _ in range(5):
+        base = words(rng, 800).split()
+        other = [w if rng.random() > 0.02 else "zz" for w in base]
+        sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (base, other)]
+        jaccard = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        prints = [simhash.wide_fingerprint(" ".join(t), 5) for t in (base, other)]
+        differ = sum((a ^ b).bit_count() for a, b in zip(*prints, strict=True))
+        assert prints[0][0] == simhash.fingerprint(" ".join(base), 5)
+        assert abs(differ - simhash.bits_for(jaccard, 256)) < 4 * simhash.bits_for(jaccard, 256) ** 0.5
 
 
 def test_keep_one(spark):
