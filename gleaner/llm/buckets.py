@@ -1,8 +1,8 @@
 """Linking the members of buckets, whatever their size, without making their pairs.
 
 Rows are (key, node) or (key, node, payload): a node stands in the buckets of its keys, and two nodes of a
-bucket are linked if `near` says so: near(loads, i, j) gets the payloads as rows of bytes (the nodes themselves, without
-a payload) and tells of each position in `i` whether it is linked with the one in `j`, or with j. What comes
+bucket are linked if `near` says so: near(loads, i, j) gets rows of bytes, the node's eight and the payload (or the nodes
+themselves, without a payload) and tells of each position in `i` whether it is linked with the one in `j`, or with j. What comes
 out joins, step by step, all nodes that are linked: a spanning forest of each bucket's links, not the links.
 
 Rows are sorted by bucket and streamed. Small buckets are compared pair by pair at once; in larger ones a walk
@@ -85,8 +85,8 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
 def _loads(batch: pa.RecordBatch) -> np.ndarray:
     if batch.num_columns == 2:
         return batch.column(1).to_numpy(zero_copy_only=False)
-    rows = batch.column(2).to_pylist()
-    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    nodes, rows = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
+    return np.hstack([np.ascontiguousarray(nodes).view(np.uint8).reshape(-1, 8), np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)])
 
 
 def _run(near: Near, with_load: bool, block: int):
@@ -97,7 +97,7 @@ def _run(near: Near, with_load: bool, block: int):
             a = np.asarray(a, np.int64)
             cols = [pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(np.asarray(b, np.int64)), pa.array(np.asarray(part, np.int32))]
             if with_load:
-                cols.append(pa.nulls(len(a), pa.binary()) if loads is None else pa.array([x.tobytes() for x in loads], pa.binary()))
+                cols.append(pa.nulls(len(a), pa.binary()) if loads is None else pa.array([x[8:].tobytes() for x in loads], pa.binary()))
             return pa.record_batch(cols, names)
 
         def links(keys: np.ndarray, nodes: np.ndarray, loads: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -252,7 +252,7 @@ def near_classes(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_id", te
     equal = (least * (1 - chance) + chance) * SLOTS
 
     def near(loads: np.ndarray, i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
-        differ = loads[i] ^ loads[j]
+        differ = loads[i, 8:] ^ loads[j, 8:]
         return ((differ & 15) == 0).sum(axis=1) + ((differ >> 4) == 0).sum(axis=1) >= equal
 
     roots = components(buckets.links(rows, near, block))

@@ -12,7 +12,8 @@ partition with threshold Ti is probed by masking every choice of Ti of its bits:
 Ti bits there share a masked value. Within such a bucket distances are verified; only a spanning
 forest of the links is kept, so a dense bucket costs as many rows as it has members (see buckets).
 
-Equal fingerprints are one node from the start, whatever number of documents has them.
+Equal fingerprints are one node from the start, whatever number of documents has them (and whatever their further words:
+of those the least stand for the node).
 
 Defined cases: a null text, or one without words, has fingerprint 0, linked like any other; a text with fewer
 words than a shingle is one shingle; a component's id is its smallest doc_id (null only if all of its
@@ -88,7 +89,7 @@ def wide_fingerprint(text: str | None, shingle: int) -> list[int]:
 
 def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
     """(doc_id, digest, fp) of every row: digest is a hash of the text, fp the fingerprint as a signed long; if `wide`, also
-    `words`, all words of the wide fingerprint as bytes."""
+    `words`, the further words of the wide fingerprint as bytes."""
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +97,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text
             texts = batch.column(2).to_pylist()
             if wide:
                 made = np.array([wide_fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, WORDS)
-                more = [pa.array([row.tobytes() for row in made], pa.binary())]
+                more = [pa.array([row[1:].tobytes() for row in made], pa.binary())]
                 fps = np.ascontiguousarray(made[:, 0])
             else:
                 more, fps = [], np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
@@ -201,14 +202,15 @@ def plan(nodes: DataFrame, most: int) -> list[tuple[int, ...]]:
 
 
 def links(nodes: DataFrame, most: int, block: int = buckets.BLOCK, most_wide: int | None = None) -> DataFrame:
-    """(a, b): links of nodes whose fingerprints are within `most` bits, that together join whatever is linked by steps.
+    """(a, b): links of fingerprints within `most` bits, that together join whatever is linked by steps.
 
     With `most_wide`, nodes have `words`, and all words together may differ in so many bits."""
     masks = plan(nodes, most)
-    # different masks, or values, that meet in one 64-bit bucket key only add pairs, which are verified
+    # different masks, or values, that meet in one bucket key only add pairs, which are verified
     probe = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("m")) for i, m in enumerate(masks)])).alias("p")
     payload = [] if most_wide is None else [F.col("words").alias("payload")]
-    rows = nodes.select("node", "fp", *payload, probe).select(F.xxhash64("p.i", F.col("fp").bitwiseAND(F.col("p.m"))).alias("key"), "node", *[p for p in ("payload",) if payload])
+    key = F.hash("p.i", F.col("fp").bitwiseAND(F.col("p.m"))).cast("long").alias("key")
+    rows = nodes.select("fp", *payload, probe).select(key, F.col("fp").alias("node"), *["payload"] * len(payload))
 
     def near(loads: np.ndarray, i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
         if most_wide is None:  # as unsigned: of signed numbers bitwise_count counts the absolute value's bits
@@ -228,16 +230,16 @@ def classes(prints: DataFrame, most: int = 4, block: int = buckets.BLOCK, most_w
     """(doc_id, digest, fp, root, component_id) for fingerprints() rows: fingerprints within `most` bits are linked, if with
     `most_wide` the wide ones are within that.
 
-    `root` stands for the component; `component_id` is its least doc_id."""
-    wide = most_wide is not None
-    prints = cut(prints.withColumn("node", F.xxhash64("words") if wide else F.col("fp")))
-    nodes = cut(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), *[F.min("words").alias("words")] * wide))
-    roots = components(links(nodes, most, block, most_wide)).withColumnRenamed("node", "r_node")
-    named = nodes.join(roots, F.col("node") == F.col("r_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    `root` is the component's least fingerprint; `component_id` its least doc_id."""
+    prints = cut(prints)
+    words = [] if most_wide is None else [F.min("words").alias("words")]
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), *words))
+    roots = components(links(nodes, most, block, most_wide))
+    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # written out first: next to an aggregation Spark can't split a join's hot keys
     least = cut(named.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r"))
-    by_node = named.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "root", "component_id")
-    return prints.join(by_node, F.col("node") == F.col("n"), "left").select("doc_id", "digest", "fp", "root", "component_id")
+    by_fp = named.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id")
+    return prints.join(by_fp, F.col("fp") == F.col("f"), "left").select("doc_id", "digest", "fp", "root", "component_id")
 
 
 def bits_for(similarity: float, bits: int, deviations: float = 0.0) -> float:

@@ -103,7 +103,7 @@ def test_large_buckets_are_cut_into_blocks(spark):
     for block in (16, 100, 400, 1 << 15):
         got = {r["doc_id"]: r["component_id"] for r in simhash.classes(df, 4, block).collect()}
         assert [got[i] for i in range(len(prints))] == want
-    nodes = df.select("fp", F.col("fp").alias("node"))
+    nodes = df.select("fp")
     assert simhash.links(nodes, 4).count() < 60 * len(prints)  # no pairs by the square
 
 
@@ -134,7 +134,7 @@ def test_wide_links_are_exact(spark, block):
         for b in rng.sample(range(256), rng.randint(0, 60)):
             x[b // 64] ^= 1 << b % 64
         made.append(x)
-    rows = [(i, 0, int(np.uint64(w[0]).view(np.int64)), np.array(w, np.uint64).tobytes()) for i, w in enumerate(made)]
+    rows = [(i, 0, int(np.uint64(w[0]).view(np.int64)), np.array(w[1:], np.uint64).tobytes()) for i, w in enumerate(made)]
     df = spark.createDataFrame(rows, "doc_id long, digest long, fp long, words binary")
     got = {r["doc_id"]: r["component_id"] for r in simhash.classes(df, 10, block, 44).collect()}
     root = list(range(len(made)))
