@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import normalize_text, tokens
-from gleaner.sources.io import read_table
+from gleaner.sources.io import read_table, spread
 
 DIMENSIONS = 16
 
@@ -17,7 +17,7 @@ def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as items: the first line is the title, the rest the description."""
-    d = load(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    d = spread(load(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), "doc_id")
     title = F.substring_index("text", "\n", 1)
     return d.select(
         F.col("doc_id").alias("item_id"), F.col("lang").alias("category"), F.col("source").alias("location"),

@@ -20,6 +20,14 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table that comes in fewer pieces than there are cores (one small file, say) dealt out by a key; others as they are.
+
+    On a cluster's tables of many files this does nothing: texts are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_csv_strings(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV with a header, all strings; empty fields are empty strings, as nothing is read as missing."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
