@@ -34,6 +34,17 @@ def test_prediction_uses_the_text_alone(spark):
         assert classify(words(rng, 3000, alphabet))[0] == k
 
 
+def test_long_texts_are_judged_whole():
+    """Not by what fits zstandard's window: the first 60 KB are in another language than the remaining 2 MB."""
+    rng = random.Random(4)
+    known = {k: [words(rng, 1, a) for _ in range(2000)] for k, a in (("xa", "abcdefghij"), ("xb", "abcdefghij"))}
+    text = lambda k, size: " ".join(rng.choice(known[k]) for _ in range(size // 5))
+    samples = {k: langid.words(text(k, 150_000)) for k in known}
+    classify = langid.Classifier(langid.Model(tuple((k, s[:16_000], s[16_000:126_000]) for k, s in samples.items())))
+    assert classify(text("xa", 60_000) + " " + text("xb", 2_000_000))[0] == "xb"
+    assert classify(text("xb", 60_000) + " " + text("xa", 2_000_000))[0] == "xa"
+
+
 def test_training_sees_only_its_rows(spark):
     rng = random.Random(2)
     docs = make_docs(spark, [words(rng, 30, "abc"), words(rng, 30, "xyz"), None], lang=["xa", None, "xc"])
