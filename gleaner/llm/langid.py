@@ -6,9 +6,9 @@ language that leaves the fewest bytes is predicted. The text is compressed behin
 whose own compressed size is taken off: it settles zstandard's letter and length statistics, without
 which a few words would be stored as they are and all languages tie.
 
-The dictionaries are fitted on a bounded sample: about SAMPLE_TEXTS different texts of each language
-of at most SAMPLE_CHARS characters, chosen by a hash of the text, up to PRIMER_BYTES + DICTIONARY_BYTES; and
-at most MOST_LANGUAGES languages, the most frequent. Every text is classified whole: a long one in pieces
+The dictionaries are fitted on a bounded sample: about SAMPLE_TEXTS different texts with a letter of each language,
+however often each is copied, chosen by a hash of the text, up to PRIMER_BYTES + DICTIONARY_BYTES; of a text longer than
+SAMPLE_CHARS characters a piece of that length; and at most MOST_LANGUAGES languages, those with most different texts. Every text is classified whole: a long one in pieces
 of PIECE_BYTES, each behind dictionary and primer, as zstandard refers to a dictionary only until primer and
 text fill its window (131,072 bytes here); the pieces' sizes are added up.
 
@@ -60,15 +60,20 @@ def words(text: str | None) -> bytes:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Fit the dictionaries on rows of `docs` that have a language and a text."""
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null and length(text) > 0")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    # a long text gives a piece from a place that its hash names
+    x = F.xxhash64("text")
+    at = F.pmod(x, F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    rows = rows.filter(F.col("text").rlike(r"\p{L}"))
+    different = rows.select("lang", x.alias("x")).distinct()
+    counts = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return Model(())
     span = 1 << 30
-    share = F.create_map(*[F.lit(x) for lang_, n in counts.items() for x in (lang_, min(span, SAMPLE_TEXTS * span // n))])
-    sample = rows.filter(F.length("text") <= SAMPLE_CHARS).withColumn("h", F.pmod(F.xxhash64("text"), F.lit(span)))
-    sample = sample.filter(F.col("h") < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0)))
+    share = F.create_map(*[F.lit(v) for lang_, n in counts.items() for v in (lang_, min(span, SAMPLE_TEXTS * span // n))])
+    sample = rows.filter(F.pmod(x, F.lit(span)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0)))
+    sample = sample.select("lang", x.alias("x"), F.col("text").substr(at, F.lit(SAMPLE_CHARS)).alias("text"))
     # copies are one text: the aggregate's map side leaves one row of each group of copies
-    sample = sample.groupBy("lang", F.xxhash64("text").alias("x")).agg(F.min("text").alias("text"))
+    sample = sample.groupBy("lang", "x").agg(F.min("text").alias("text"))
     by_lang: dict[str, list[tuple[int, str]]] = {}
     for r in sample.toLocalIterator():
         by_lang.setdefault(r["lang"], []).append((r["x"], r["text"]))

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import langid
 from gleaner.llm.queries import op4_compression_langid
@@ -58,6 +59,19 @@ def test_copies_fill_no_dictionary(spark):
     assert (primer + raw).count(b"one same text") <= 1
 
 
+def test_skewed_languages_keep_their_sample(spark):
+    """Copies don't count against a language's share, and long texts give a piece."""
+    rng = random.Random(5)
+    own = [words(rng, 30, "ghijkl") for _ in range(40)]
+    long = words(rng, 8000, "mnopqr")
+    assert len(long) > langid.SAMPLE_CHARS
+    docs = make_docs(spark, [*own, long], lang=["xb"] * 40 + ["xc"])
+    docs = docs.unionByName(docs.filter("doc_id = 0").withColumn("doc_id", F.explode(F.sequence(F.lit(100), F.lit(400_000)))))
+    samples = {k: primer + raw for k, primer, raw in langid.train(docs).samples}
+    assert sorted(samples) == ["xb", "xc"] and all(langid.words(t) in samples["xb"] for t in own)
+    assert 10_000 < len(samples["xc"]) <= langid.SAMPLE_CHARS + 2
+
+
 def test_odd(spark, odd_docs, no_docs):
     model = langid.train(odd_docs)
     found = langid.predict(odd_docs, model, carry=[odd_docs.doc_id]).toPandas().set_index("doc_id")
