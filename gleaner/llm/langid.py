@@ -8,10 +8,14 @@ which a few words would be stored as they are and all languages tie.
 
 The dictionaries are fitted on a bounded sample: about SAMPLE_TEXTS different texts with a letter of each language,
 however often each is copied, chosen by a hash of the text, up to PRIMER_BYTES + DICTIONARY_BYTES; of a text longer than
-SAMPLE_CHARS characters a piece of that length; and at most MOST_LANGUAGES languages, those with most different texts. Every text is classified whole: a long one in pieces
-of PIECE_BYTES, each behind dictionary and primer, as zstandard refers to a dictionary only until primer and
+SAMPLE_CHARS characters a piece of that length; and at most MOST_LANGUAGES languages, those with most different texts.
+Every text is classified whole: a long one in pieces of PIECE_BYTES, each behind dictionary and primer, as zstandard refers to a dictionary only until primer and
 text fill its window (131,072 bytes here); the pieces' sizes are added up.
 
+Rejected is a text whose best language leads the runner-up by less than NARROW_SHARE of its size: noise, and most texts in a
+language that was not learned. Where a language's own sampled texts lead by less, its share is lower. With one language the
+runner-up is compression without a dictionary.
+
 Defined cases: a null text, or one without a letter, is `und` with score 0 and rejected; with no labelled
 document every text is. Equal sizes go to the language that comes first by name, and are a narrow margin.
 Repeated rows are each classified, equally. Empty tables give no rows. `keep` returns all columns, whatever
@@ -36,8 +40,11 @@ DICTIONARY_BYTES, PRIMER_BYTES, LEVEL = 110_000, 16_000, 3
 #: Bytes of a text that are compressed in one piece: with the primer, well inside the window.
 PIECE_BYTES = 32_768
 UNKNOWN = "und"
-#: A margin is narrow if the runner-up needs less than this many bytes more.
-NARROW_BYTES = 1
+#: A margin is narrow if the runner-up needs less than this many bytes more, or less than this share of the best size.
+NARROW_BYTES, NARROW_SHARE = 1, 0.07
+#: Sampled texts of a language that its dictionary has no room for lower its share: all but this part of them must pass. So many
+#: texts, of so many bytes, are tried for each language.
+FALSE_REJECTIONS, TRIED_TEXTS, TRIED_BYTES = 0.05, 20, 2_000
 #: Share of the bits by which compressed sizes differ that counts as evidence: neighbouring bytes depend on each other.
 EVIDENCE = 0.1
 
@@ -46,9 +53,10 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Model:
-    """(language, primer, dictionary), by language."""
+    """(language, primer, dictionary), by language; and each language's narrow share, where it isn't NARROW_SHARE."""
 
     samples: tuple[tuple[str, bytes, bytes], ...]
+    shares: tuple[tuple[str, float], ...] = ()
 
 
 def words(text: str | None) -> bytes:
@@ -77,7 +85,25 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     by_lang: dict[str, list[tuple[int, str]]] = {}
     for r in sample.toLocalIterator():
         by_lang.setdefault(r["lang"], []).append((r["x"], r["text"]))
-    return Model(tuple((k, *_fill(v)) for k, v in sorted(by_lang.items())))
+    return _calibrated(Model(tuple((k, *_fill(v)) for k, v in sorted(by_lang.items()))), by_lang)
+
+
+def _calibrated(model: Model, by_lang: dict[str, list[tuple[int, str]]]) -> Model:
+    """Lower the narrow shares of languages whose own texts lead by less, as those of close relatives do."""
+    classify, shares = Classifier(model), []
+    for lang, texts in sorted(by_lang.items()):
+        found, size = [], 0
+        for _, t in sorted(texts):
+            raw = words(t)
+            size += len(raw)
+            if size - len(raw) >= PRIMER_BYTES + DICTIONARY_BYTES and raw:
+                got, _, lead, least = classify.judge(raw[:TRIED_BYTES])
+                found += [lead / max(least, 1)] if got == lang else []
+                if len(found) == TRIED_TEXTS:
+                    break
+        if found and (low := sorted(found)[int(len(found) * FALSE_REJECTIONS)]) < NARROW_SHARE:
+            shares.append((lang, low))
+    return Model(model.samples, tuple(shares))
 
 
 def _fill(texts: list[tuple[int, str]]) -> tuple[bytes, bytes]:
@@ -90,7 +116,7 @@ class Classifier:
     """Compressors, made once for each task."""
 
     def __init__(self, model: Model):
-        self.by_lang = []
+        self.by_lang, self.shares = [], dict(model.shares)
         for lang, primer, raw in model.samples:
             d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
             params = zstd.ZstdCompressionParameters.from_level(LEVEL, source_size=4096, dict_size=len(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -100,19 +126,32 @@ class Classifier:
 
     def __call__(self, text: str | None) -> tuple[str, float, int]:
         """Language, score from 0 to 1, and by how many bytes it leads."""
-        raw = words(text)
+        return self.judge(words(text))[:3]
+
+    def judge(self, raw: bytes) -> tuple[str, float, int, int]:
+        """The same of a text's words(), and their size in that language."""
         if not raw or not self.by_lang:
-            return UNKNOWN, 0.0, 0
+            return UNKNOWN, 0.0, 0, 0
         pieces = [raw[i : i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)]
         sizes = [sum(len(compress(primer + piece)) - own for piece in pieces) for _, primer, own, compress in self.by_lang]
         best = min(range(len(sizes)), key=sizes.__getitem__)
-        lead = min((s - sizes[best] for i, s in enumerate(sizes) if i != best), default=len(raw))
-        return self.by_lang[best][0], 1 / sum(2.0 ** max(-60.0, 8 * EVIDENCE * (sizes[best] - s)) for s in sizes), lead
+        runners_up = (s for i, s in enumerate(sizes) if i != best)
+        lead = min(runners_up, default=0) - sizes[best] if len(sizes) > 1 else sum(map(self._alone, pieces)) - sizes[best]
+        return self.by_lang[best][0], 1 / sum(2.0 ** max(-60.0, 8 * EVIDENCE * (sizes[best] - s)) for s in sizes), lead, sizes[best]
+
+    def rejects(self, lang: str, lead: int, size: int) -> bool:
+        """Unknown, or by a narrow margin."""
+        return lang == UNKNOWN or lead < max(NARROW_BYTES, self.shares.get(lang, NARROW_SHARE) * size)
+
+    @staticmethod
+    def _alone(piece: bytes) -> int:
+        """Size without dictionary and primer: the runner-up of an only language."""
+        return len(zstd.ZstdCompressor(level=LEVEL, write_content_size=False).compress(piece))
 
 
 def _judged(model: Model, texts: pa.Array, classify: Classifier) -> tuple[list[str], list[float], list[bool]]:
-    found = [classify(t) for t in texts.to_pylist()]
-    return [f[0] for f in found], [f[1] for f in found], [f[0] == UNKNOWN or f[2] < NARROW_BYTES for f in found]
+    found = [classify.judge(words(t)) for t in texts.to_pylist()]
+    return [f[0] for f in found], [f[1] for f in found], [classify.rejects(f[0], f[2], f[3]) for f in found]
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[Column] | None = None) -> DataFrame:

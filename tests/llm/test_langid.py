@@ -72,6 +72,22 @@ def test_skewed_languages_keep_their_sample(spark):
     assert 10_000 < len(samples["xc"]) <= langid.SAMPLE_CHARS + 2
 
 
+def test_noise_and_unlearned_languages_are_rejected(spark):
+    """On the larger tables: of clean texts few are lost, of noise nearly none stays, of a language that was left out the least part."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 200").dropDuplicates(["text"])
+    rng = random.Random(6)
+    noise = [words(rng, rng.randint(20, 300), a) for a in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщэюя") for _ in range(60)]
+    model = langid.train(docs)
+    classify = langid.Classifier(model)
+    rejected = lambda c, t: c.rejects(*(lambda f: (f[0], f[2], f[3]))(c.judge(langid.words(t))))
+    assert sum(rejected(classify, t) for t in noise) >= 0.95 * len(noise)
+    texts = [(r["lang"], r["text"]) for r in docs.collect()]
+    assert sum(rejected(classify, t) for _, t in texts) <= 0.01 * len(texts)
+    without = langid.Classifier(langid.Model(tuple(s for s in model.samples if s[0] != "es"), model.shares))
+    spanish = [t for k, t in texts if k == "es"]
+    assert sum(rejected(without, t) for t in spanish) >= 0.8 * len(spanish)
+
+
 def test_odd(spark, odd_docs, no_docs):
     model = langid.train(odd_docs)
     found = langid.predict(odd_docs, model, carry=[odd_docs.doc_id]).toPandas().set_index("doc_id")
