@@ -1,16 +1,18 @@
 """Personal data: plain identifiers, and disguised ones found through offset-preserving transducers.
 
 `plain` finds e-mail addresses, IPv4 addresses, payment cards and phone numbers as they are written.
-`disguised` rewrites the text by four transducers, each of which records what it replaced:
+`disguised` rewrites the text by five transducers, each of which records what it replaced:
 
 1. look-alike and full-width characters become ASCII, invisible characters go;
 2. runs of seven or more spelled digits become digits ("plus" before them becomes "+");
 3. letters that stand for digits (O, I, l) inside long digit groups become digits;
-4. "name (at) host (dot) tld", "name at host dot tld" and mixtures become addresses.
+4. four digit groups joined by "[.]", "(dot)" or "dot" become IPv4 addresses;
+5. "name (at) host (dot) tld", "name at host dot tld" and mixtures become addresses, with names such as "john dot doe".
 
 The same finders then run on the rewritten text, and a span is mapped back through the records to the
 source characters. A mapped span counts only if its source reads differently from its rewritten
-form and overlaps no plain span of its kind, so plain text gains nothing.
+form and overlaps no plain span of its kind, so plain text gains nothing; but an address may begin before a plain
+one that is its end ("john[dot]doe@example.com").
 
 Defined cases: a null text is empty and has no spans; long texts are searched whole, in linear time;
 repeated rows each get their own result; empty tables give no rows. Spans are (kind, start, end) in code
@@ -114,6 +116,12 @@ _DIGITS_FOR = str.maketrans("OoIl", "0011")
 _AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]\s{0,3}|\s{1,3}at\s{1,3}|@", re.I)
 _DOTTED = re.compile(r"(?:\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}|\s{1,3}dot\s{1,3}|\.)([A-Za-z0-9-]+)", re.I)
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
+#: A part of a name and a disguised dot, read backwards from where they end.
+_DOT_BEFORE = re.compile(r"(?:\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}|\s{1,3}dot\s{1,3})\Z", re.I)
+_DOT_REACH = 18
+_BRACKET_DOT = r"\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}|\s{1,3}dot\s{1,3}|\."
+_GROUPS = re.compile(rf"(?<![0-9])(?<![0-9]\.)[0-9]{{1,3}}(?:(?:{_BRACKET_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_GROUP_DOT = re.compile(_BRACKET_DOT, re.I)
 _AT_HINT = re.compile(r"[\[({<]\s{0,3}(?:at|@|dot|\.)\s{0,3}[\])}>]|\sdot\s", re.I)
 
 #: What a spoken address ends in ("name at host dot com"); with brackets or an @ any label may end it.
@@ -173,28 +181,51 @@ def _lettered(text: str) -> list[Edit]:
     return out
 
 
+def _dots_before(text: str, start: int, least: int) -> list[Edit]:
+    """Disguised dots between the parts of a name whose last part starts at `start`."""
+    out: list[Edit] = []
+    while m := _DOT_BEFORE.search(text, max(least, start - _DOT_REACH), start):
+        before = _local_start(text, m.start(), least)
+        if before == m.start():
+            break
+        out.append((m.start(), m.end(), "."))
+        start = before
+    return out[::-1]
+
+
+def _dotted_groups(text: str) -> list[Edit]:
+    """Disguised dots between four digit groups."""
+    if not _AT_HINT.search(text):
+        return []
+    return [(d.start(), d.end(), ".") for m in _GROUPS.finditer(text) for d in _GROUP_DOT.finditer(text, m.start(), m.end()) if d.group() != "."]
+
+
 def _spoken(text: str) -> list[Edit]:
     out: list[Edit] = []
     if not _AT_HINT.search(text):
         return out
     done = 0
     for m in _AT.finditer(text):
-        if m.start() < done or _local_start(text, m.start(), done) == m.start() or not (label := _LABEL.match(text, m.end())):
+        start = _local_start(text, m.start(), done) if m.start() >= done else m.start()
+        if start == m.start() or not (label := _LABEL.match(text, m.end())):
             continue
         token, dots, at = m.group(), [], label.end()
         while d := _DOTTED.match(text, at):
             dots.append((at, d.start(1), "."))
             at = d.end()
         disguised = [x for x in dots if text[x[0] : x[1]] != "."]
+        before = _dots_before(text, start, done)
+        if token == "@" and not all(text[a:b].strip()[0] in "[({<" for a, b, _ in before):
+            before = []  # prose may say "dot" before a plain address
         bare = token.strip().lower() == "at"  # prose says "at example.com"; only a spoken first dot makes it an address
-        if not dots or (bare and (dots[0] not in disguised or text[dots[-1][1] : at].lower() not in _ENDINGS)) or (token == "@" and not disguised):
+        if not dots or (bare and (dots[0] not in disguised or text[dots[-1][1] : at].lower() not in _ENDINGS)) or (token == "@" and not disguised and not before):
             continue
-        out += [(m.start(), m.end(), "@"), *disguised] if token != "@" else disguised
+        out += [*before, (m.start(), m.end(), "@"), *disguised] if token != "@" else [*before, *disguised]
         done = at
     return out
 
 
-TRANSDUCERS: tuple[Callable[[str], list[Edit]], ...] = (_unseen, _spelled, _lettered, _spoken)
+TRANSDUCERS: tuple[Callable[[str], list[Edit]], ...] = (_unseen, _spelled, _lettered, _dotted_groups, _spoken)
 
 
 def disguised(text: str, known: list[Span]) -> list[Span]:
@@ -211,7 +242,7 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
         a, b = start, end
         for layer in reversed(layers):
             a, b = _back(layer, a, b)
-        if text[a:b] != now[start:end] and not any(k == kind and a < y and x < b for x, k, y in known):
+        if text[a:b] != now[start:end] and not any(k == kind and a < y and x < b and not (kind == 0 and a < x and y <= b) for x, k, y in known):
             out.append((a, kind, b))
     # spelled numbers without "plus" that are long enough for a phone number and are no card
     return sorted({*out, *(s for s in _bare_numbers(text) if not any(x < s[2] and s[0] < y for x, _, y in [*known, *out]))})

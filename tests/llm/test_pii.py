@@ -74,6 +74,31 @@ def test_disguises(text, want):
         assert found == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("ask john dot doe at example dot com now", ("email", "john dot doe at example dot com")),
+        ("ask john[dot]doe[at]example[dot]com now", ("email", "john[dot]doe[at]example[dot]com")),
+        ("ask j (dot) r.r [.] doe@example.com now", ("email", "j (dot) r.r [.] doe@example.com")),
+        ("host 192[.]168[.]1[.]10 is up", ("ip", "192[.]168[.]1[.]10")),
+        ("host 10 dot 0 dot 0 dot 7, up", ("ip", "10 dot 0 dot 0 dot 7")),
+        ("host 10.0.0(dot)7 up", ("ip", "10.0.0(dot)7")),
+        ("host 10 dot 0 dot 0 dot 777", None),
+        ("version 1 dot 2 dot 3", None),
+    ],
+)
+def test_disguised_dots_in_names_and_numbers(text, want):
+    assert want is None and shown(text) == [] or want in shown(text)
+    if want:
+        kind, source = want
+        assert pii.redacted(text) == text.replace(source, f"<{kind.upper()}>")
+
+
+@pytest.mark.parametrize("text", ["a dot " * 50_000 + "b at c dot com", "1 dot " * 60_000, "1[.]" * 60_000, "a dot b at c " * 25_000])
+def test_disguised_dots_take_linear_time(text):
+    pii.find(text)
+
+
 def test_offsets_survive_every_layer():
     text = "ab\u200b\u200b plus one two three four five six seven eight nine zero; jo\u200b (at) exa\u00admple [dot] com"
     found = shown(text)
