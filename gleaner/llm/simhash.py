@@ -12,8 +12,8 @@ partition with threshold Ti is probed by masking every choice of Ti of its bits:
 Ti bits there share a masked value. Within such a bucket distances are verified; only a spanning
 forest of the links is kept, so a dense bucket costs as many rows as it has members (see buckets).
 
-Equal fingerprints are one node from the start, whatever number of documents has them (and whatever their further words:
-of those the least stand for the node).
+Equal fingerprints are one node from the start, whatever number of documents has them; wide ones only if all their words
+are equal. Wide fingerprints are of the different shingles, so that a repeated one doesn't decide all bits.
 
 Defined cases: a null text, or one without words, has fingerprint 0, linked like any other; a text with fewer
 words than a shingle is one shingle; a component's id is its smallest doc_id (null only if all of its
@@ -77,8 +77,8 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def wide_fingerprint(text: str | None, shingle: int) -> list[int]:
-    """The fingerprint, and WORDS - 1 more from hashes of the shingles' hashes."""
-    h, out = _shingle_hashes(text, shingle), []
+    """The fingerprint of the text's different shingles, and WORDS - 1 more from hashes of the shingles' hashes."""
+    h, out = np.unique(_shingle_hashes(text, shingle)), []
     for _ in range(WORDS):
         out.append(_majority(h))
         h = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)
@@ -204,18 +204,20 @@ def plan(nodes: DataFrame, most: int) -> list[tuple[int, ...]]:
 def links(nodes: DataFrame, most: int, block: int = buckets.BLOCK, most_wide: int | None = None) -> DataFrame:
     """(a, b): links of fingerprints within `most` bits, that together join whatever is linked by steps.
 
-    With `most_wide`, nodes have `words`, and all words together may differ in so many bits."""
+    With `most_wide`, nodes have `node` and `words`, and all words together may differ in so many bits."""
     masks = plan(nodes, most)
     # different masks, or values, that meet in one bucket key only add pairs, which are verified
     probe = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("m")) for i, m in enumerate(masks)])).alias("p")
-    payload = [] if most_wide is None else [F.col("words").alias("payload")]
+    # the wide fingerprint whole, as nodes of equal `fp` differ; its byte order is the same for all
+    payload = [] if most_wide is None else [F.concat(F.unhex(F.lpad(F.hex("fp"), 16, "0")), "words").alias("payload")]
     key = F.hash("p.i", F.col("fp").bitwiseAND(F.col("p.m"))).cast("long").alias("key")
-    rows = nodes.select("fp", *payload, probe).select(key, F.col("fp").alias("node"), *["payload"] * len(payload))
+    node = F.col("fp" if most_wide is None else "node").alias("node")
+    rows = nodes.select("fp", node, *payload, probe).select(key, "node", *["payload"] * len(payload))
 
     def near(loads: np.ndarray, i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
         if most_wide is None:  # as unsigned: of signed numbers bitwise_count counts the absolute value's bits
             return np.bitwise_count((loads[i] ^ loads[j]).view(np.uint64)) <= most
-        words = loads.view(np.uint64)
+        words = loads.view(np.uint64)[:, 1:]
         hit = np.bitwise_count(words[i, 0] ^ words[j, 0]) <= most
         some = np.flatnonzero(hit)
         if len(some):
@@ -230,16 +232,17 @@ def classes(prints: DataFrame, most: int = 4, block: int = buckets.BLOCK, most_w
     """(doc_id, digest, fp, root, component_id) for fingerprints() rows: fingerprints within `most` bits are linked, if with
     `most_wide` the wide ones are within that.
 
-    `root` is the component's least fingerprint; `component_id` its least doc_id."""
-    prints = cut(prints)
-    words = [] if most_wide is None else [F.min("words").alias("words")]
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), *words))
-    roots = components(links(nodes, most, block, most_wide))
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    `root` is the component's least node, a fingerprint or the hash of a wide one; `component_id` its least doc_id."""
+    node = F.col("fp") if most_wide is None else F.xxhash64("fp", "words")
+    prints = cut(prints.withColumn("node", node))
+    wide = [] if most_wide is None else [F.min("words").alias("words")]
+    nodes = cut(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), *wide))
+    roots = components(links(nodes, most, block, most_wide)).withColumnRenamed("node", "n")
+    named = nodes.join(roots, F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     # written out first: next to an aggregation Spark can't split a join's hot keys
     least = cut(named.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r"))
-    by_fp = named.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id")
-    return prints.join(by_fp, F.col("fp") == F.col("f"), "left").select("doc_id", "digest", "fp", "root", "component_id")
+    by_node = named.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("f"), "root", "component_id")
+    return prints.join(by_node, F.col("node") == F.col("f"), "left").select("doc_id", "digest", "fp", "root", "component_id")
 
 
 def bits_for(similarity: float, bits: int, deviations: float = 0.0) -> float:

@@ -178,6 +178,20 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 4, 5, 7]
 
 
+def test_a_repeated_shingle_links_no_strangers(spark):
+    rng = random.Random(7)
+    texts = ["- " * 300 + words(rng, 200) for _ in range(3)]
+    assert len({tuple(simhash.wide_fingerprint(t, 5)) for t in texts}) == 3
+    assert sorted(r["doc_id"] for r in simhash.keep_one(make_docs(spark, texts)).collect()) == [0, 1, 2]
+
+
+def test_equal_words_are_verified(spark):
+    """Equal first words don't make one node of different wide fingerprints."""
+    rows = [(i, 0, 77, np.array([w] * 3, np.uint64).tobytes()) for i, w in enumerate([0, 2**64 - 1, 2**64 - 1, 1])]
+    df = spark.createDataFrame(rows, "doc_id long, digest long, fp long, words binary")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.classes(df, 11, most_wide=44).collect()} == {0: 0, 1: 1, 2: 1, 3: 0}
+
+
 def test_odd(spark, odd_docs, no_docs):
     found = simhash.classes(simhash.fingerprints(odd_docs), 4).toPandas()
     rows = odd_docs.select("doc_id", "text").toPandas()
