@@ -142,7 +142,7 @@ SELECT * FROM (
   FROM (SELECT {keys}item_id, count(*) AS n FROM clicks GROUP BY {keys}item_id)) WHERE rank <= 50"""
 
 
-def split(mode: str) -> str:
+def split(mode: str, size: int = 40) -> str:
     least = 2 if mode == "warm" else 1
     return f"""
 WITH train AS (SELECT p_name, p_brand, l_suppkey AS item_id FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -150,7 +150,7 @@ sig AS (
   SELECT DISTINCT p_name, p_brand, {normal("p_name")} AS text,
          sha1('20260918|(''' || p_name || ''', ''' || p_brand || ''')') AS sig_hash FROM train),
 per AS (SELECT text, count(*) AS n, arg_min(p_name, sig_hash) AS p_name, arg_min(p_brand, sig_hash) AS p_brand FROM sig GROUP BY text),
-chosen AS (SELECT text, p_name, p_brand FROM per WHERE n >= {least} ORDER BY sha1('20260918|' || text), text LIMIT 40)
+chosen AS (SELECT text, p_name, p_brand FROM per WHERE n >= {least} ORDER BY sha1('20260918|' || text), text LIMIT {size})
 SELECT c.text, c.p_brand, count(DISTINCT t.item_id) AS n, array_to_string(list_transform(list_sort(list(DISTINCT t.item_id)), lambda x: x::VARCHAR), ' ') AS positives
 FROM chosen c JOIN train t ON t.p_name = c.p_name AND t.p_brand = c.p_brand GROUP BY c.text, c.p_brand"""
 
@@ -315,6 +315,8 @@ UNION ALL SELECT query_id, item_id, 0.0, rank::INTEGER FROM near UNION ALL SELEC
 array_to_string(list_transform(list_sort(list(DISTINCT item_id)), lambda x: x::VARCHAR), ' ') AS positives FROM clicks GROUP BY customer, category""",
     "hash_split_cold": split("cold"),
     "hash_split_warm": split("warm"),
+    "hash_split_cold_2500": split("cold", 2500),
+    "hash_split_warm_2500": split("warm", 2500),
     "recall_at_k": f"WITH {ITEMS}, {WORD}, {RECALLS} SELECT query_id, hits, relevant, round(recall, 6) AS recall FROM recalls",
     "recall_summary": f"WITH {ITEMS}, {WORD}, {RECALLS} SELECT count(*) AS queries, round(avg(recall), 6) AS recall, count(*) FILTER (WHERE recall > 0) AS queries_with_hit FROM recalls",
     "pool_recall": f"WITH {ITEMS}, {WORD}, {CHAR}, {DENSE}, {UNITED} " + " UNION ALL ".join(pool(n, s) for n, s in (("word", "word"), ("char", "chars"), ("dense", "dense"), ("union", "united"))),

@@ -275,8 +275,8 @@ def _named_clicks(spark, sf) -> DataFrame:
     return lines.join(part, lines.l_partkey == part.p_partkey).select("p_name", "p_brand", F.col("l_suppkey").alias("item_id"))
 
 
-def _split(spark, sf, mode: str) -> DataFrame:
-    held = evaluation.hash_split(_named_clicks(spark, sf), ["p_name", "p_brand"], mode, 40, normalize_text(F.col("p_name")))
+def _split(spark, sf, mode: str, size: int = 40) -> DataFrame:
+    held = evaluation.hash_split(_named_clicks(spark, sf), ["p_name", "p_brand"], mode, size, normalize_text(F.col("p_name")))
     return held.select("text", "p_brand", F.size("positives").cast("long").alias("n"), _joined("positives").alias("positives"))
 
 
@@ -290,6 +290,17 @@ def hash_split_warm(spark, sf):
     return _split(spark, sf, "warm")
 
 
+@query
+def hash_split_cold_2500(spark, sf):
+    """As many texts as the reference's experiments hold out."""
+    return _split(spark, sf, "cold", 2500)
+
+
+@query
+def hash_split_warm_2500(spark, sf):
+    return _split(spark, sf, "warm", 2500)
+
+
 def _recalls(spark, sf) -> DataFrame:
     return evaluation.recall_at_k(_channel(spark, sf, WORD, 50), tables.relevance(spark, sf))
 
