@@ -6,7 +6,8 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """Adaptive execution on, UTC, and as many shuffle partitions as asked for."""
+    """Adaptive execution on, UTC, as many shuffle partitions as asked for, and Arrow batches that a worker can hold several
+    times over. Checkpoints go when nothing refers to them any more."""
     builder = SparkSession.builder.master(master).appName("gleaner")
     settings = {
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
@@ -15,6 +16,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for k, v in settings.items():
         builder = builder.config(k, v)
