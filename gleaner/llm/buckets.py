@@ -1,14 +1,19 @@
 """Linking the members of buckets, whatever their size, without making their pairs.
 
-Rows are (key, node) or (key, node, payload): a node stands in the buckets of its keys, and two nodes of a
-bucket are linked if `near` says so: near(loads, i, j) gets rows of bytes, the node's eight and the payload (or the nodes
-themselves, without a payload) and tells of each position in `i` whether it is linked with the one in `j`, or with j. What comes
-out joins, step by step, all nodes that are linked: a spanning forest of each bucket's links, not the links.
-
-Rows are sorted by bucket and streamed. Small buckets are compared pair by pair at once; in larger ones a walk
-goes from link to link and compares what it reaches with what is not yet reached. A bucket of more than
+Rows are (key, node) or (key, node, payload): a node stands in the buckets of its keys, and `apart` says how far two
+nodes of a bucket are from each other: apart(loads, i, j) gets rows of bytes, the node's eight and the payload (or the nodes
+themselves, without a payload) and gives for each position in `i` its distance from the one in `j`, or from j; FAR if they are
+not linked, 0 only if their rows are equal. What comes out joins, step by step, all nodes that are linked: of each bucket's links the spanning forest of least
+distances, not all links. The forests of all buckets together hold that of the whole graph, as a link that is no bucket's
+longest on a circle of links is kept.
+
+Rows are sorted by bucket and streamed. Small buckets are compared pair by pair at once; in larger ones a tree grows by the
+nearest node that it doesn't have, so that a bucket's pairs are never held. A bucket of more than
 `block` rows is handed on in blocks, every two of which then meet in a bucket of their own: no bucket is
 capped or dropped, and no task holds more than a few blocks.
+
+Defined cases: a null key is a key like any other, nodes are not null; a node that stands in a bucket several times
+is linked with itself if `apart` says so, which the forest leaves out; tables without rows have no links.
 """
 
 from __future__ import annotations
@@ -27,44 +32,56 @@ BLOCK = 1 << 15
 #: Buckets up to this size are compared pair by pair.
 DENSE = 256
 EDGE, HELD = 0, 1
+FAR = np.int16(32767)
 
-Near = Callable[[np.ndarray, np.ndarray, "np.ndarray | int"], np.ndarray]
+Apart = Callable[[np.ndarray, np.ndarray, "np.ndarray | int"], np.ndarray]
 
 
-def _walk(nodes: np.ndarray, loads: np.ndarray, near: Near) -> tuple[list[int], list[int]]:
-    """A spanning forest of one bucket: each reached node is compared with those not yet reached."""
+def _walk(nodes: np.ndarray, loads: np.ndarray, apart: Apart) -> tuple[list[int], list[int]]:
+    """The forest of one bucket, node by node: each one reached is compared with those not yet reached."""
     a, b = [], []
-    left = np.arange(len(nodes))
+    left, parent, best = np.arange(1, len(nodes)), np.zeros(len(nodes) - 1, np.int64), np.full(len(nodes) - 1, FAR)
+    x = 0
     while len(left):
-        todo, left = [left[0]], left[1:]
-        while todo and len(left):
-            x = todo.pop()
-            hit = near(loads, left, x)
-            if hit.any():
-                found, left = left[hit], left[~hit]
-                a += [int(nodes[x])] * len(found)
-                b += nodes[found].tolist()
-                todo += found.tolist()
+        d = apart(loads, left, x)
+        if (same := d == 0).any():  # nothing is nearer
+            a += [int(nodes[x])] * int(same.sum())
+            b += nodes[left[same]].tolist()
+            left, parent, best, d = left[~same], parent[~same], best[~same], d[~same]
+            if not len(left):
+                break
+        nearer = d < best
+        best[nearer], parent[nearer] = d[nearer], x
+        k = int(best.argmin())
+        x = int(left[k])
+        if best[k] < FAR:
+            a.append(int(nodes[parent[k]]))
+            b.append(int(nodes[x]))
+        left[k], parent[k], best[k] = left[-1], parent[-1], best[-1]
+        left, parent, best = left[:-1], parent[:-1], best[:-1]
     return a, b
 
 
-def _side_by_side(keys: np.ndarray, loads: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
-    """All links within buckets, by position: of rows 1, 2, ... places apart."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _side_by_side(keys: np.ndarray, loads: np.ndarray, apart: Apart) -> tuple[np.ndarray, np.ndarray]:
+    """All links within buckets, by position: of rows 1, 2, ... places apart; shorter links first."""
+    left, right, length = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int16)]
     at = np.arange(len(keys))
     for step in range(1, DENSE):
         at = at[at + step < len(keys)]
         at = at[keys[at] == keys[at + step]]
         if not len(at):
             break
-        hit = at[near(loads, at, at + step)]
+        d = apart(loads, at, at + step)
+        hit = at[d < FAR]
         left.append(hit)
         right.append(hit + step)
-    return np.concatenate(left), np.concatenate(right)
+        length.append(d[d < FAR])
+    order = np.argsort(np.concatenate(length), kind="stable")
+    return np.concatenate(left)[order], np.concatenate(right)[order]
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """A spanning forest of links, so that dense buckets don't return all their pairs."""
+    """A spanning forest of links, the first ones first, so that dense buckets don't return all their pairs."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -89,7 +106,7 @@ def _loads(batch: pa.RecordBatch) -> np.ndarray:
     return np.hstack([np.ascontiguousarray(nodes).view(np.uint8).reshape(-1, 8), np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)])
 
 
-def _run(near: Near, with_load: bool, block: int):
+def _run(apart: Apart, with_load: bool, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "a", "b", "part", *["load"] * with_load]
 
@@ -107,11 +124,11 @@ def _run(near: Near, with_load: bool, block: int):
             cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
             sizes = np.diff(cuts)
             small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= DENSE), sizes))
-            i, j = _side_by_side(keys[small], loads[small], near)
+            i, j = _side_by_side(keys[small], loads[small], apart)
             a, b = _forest(nodes[small][i], nodes[small][j])
             yield out(EDGE, a, b, np.zeros(len(a)))
             for k in np.flatnonzero(sizes > DENSE):
-                a, b = _walk(nodes[cuts[k] : cuts[k + 1]], loads[cuts[k] : cuts[k + 1]], near)
+                a, b = _walk(nodes[cuts[k] : cuts[k + 1]], loads[cuts[k] : cuts[k + 1]], apart)
                 yield out(EDGE, a, b, np.zeros(len(a)))
 
         held = None  # the last bucket so far, which may go on
@@ -152,11 +169,11 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "node")
 
 
-def links(rows: DataFrame, near: Near, block: int = BLOCK) -> DataFrame:
+def links(rows: DataFrame, apart: Apart, block: int = BLOCK) -> DataFrame:
     """(a, b) links of nodes that together join all that is linked in any bucket."""
     with_load = "payload" in rows.columns
     schema = "kind int, a long, b long, part int" + ", load binary" * with_load
-    found = cut(_dealt(rows).mapInArrow(_run(near, with_load, block), schema))
+    found = cut(_dealt(rows).mapInArrow(_run(apart, with_load, block), schema))
     edges = found.filter(F.col("kind") == EDGE).select("a", "b")
     held = found.filter(F.col("kind") == HELD).withColumnRenamed("a", "key")
     if held.isEmpty():
@@ -166,5 +183,5 @@ def links(rows: DataFrame, near: Near, block: int = BLOCK) -> DataFrame:
     pairs = held.join(last, F.col("key") == F.col("k")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     key = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key")
     pairs = pairs.select(key, F.col("b").alias("node"), *[F.col("load").alias("payload")] * with_load)
-    more = _dealt(pairs).mapInArrow(_run(near, with_load, 4 * block), schema)
+    more = _dealt(pairs).mapInArrow(_run(apart, with_load, 4 * block), schema)
     return edges.unionByName(more.filter(F.col("kind") == EDGE).select("a", "b"))

@@ -21,17 +21,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a temporary one only where none is named (tests)."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleaner-checkpoint-"))
+    """Use the shared folder the cluster names. A temporary folder of this machine only where none is named and driver and
+    executors are one process (tests); elsewhere executors would write where no other can read."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[0-9*, ]+\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleaner-checkpoint-"))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the checkpoint folder. It is deleted when the application ends, if not before."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, on whatever file system it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame as Parquet into the checkpoint folder and read it again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a narrow frame to the checkpoint folder and read it back from there: later steps don't
-    repeat the work before it, and a lost executor costs a re-read, not a recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a narrow frame out and read it back: later steps don't repeat the work before it, a lost executor costs a re-read,
+    not a recomputation, and Spark plans with the size it has, not with an estimate through all steps before."""
+    return scratch(df, "cut")
+
+
+def drop(df: DataFrame | None) -> None:
+    """Delete what scratch() or cut() wrote for this very frame, once nothing reads it any more."""
+    if df is not None and getattr(df, "_scratch", None):
+        delete(df.sparkSession, df._scratch)
 
 
 def small_frame(spark: SparkSession, rows: pa.Table) -> DataFrame:
@@ -45,9 +78,11 @@ def ascii_lower(c: Column) -> Column:
 
 def bounded_batches(df: DataFrame) -> DataFrame:
     """For frames with texts on their way to Python: lower the session's Arrow batches to BATCH_BYTES and BATCH_ROWS, as a
-    worker holds a batch several times over (smaller settings stay)."""
+    worker holds a batch several times over (smaller settings stay). Spark has this as a setting of the session only, so it
+    also holds for the session's other frames; build_session sets the same values from the start."""
     conf = df.sparkSession.conf
-    if int(re.sub(r"\D", "", conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) or 0) > BATCH_BYTES:
+    in_bytes = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if in_bytes(conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > BATCH_BYTES:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -56,12 +91,3 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet into the checkpoint folder and read it again."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)

@@ -11,12 +11,18 @@ fingerprints agree in a partition (counted over all fingerprints) and from each
 partition with threshold Ti is probed by masking every choice of Ti of its bits: two fingerprints within
 Ti bits there share a masked value. Within such a bucket distances are verified; only a spanning
 forest of the links is kept, so a dense bucket costs as many rows as it has members (see buckets).
+`classes` links equal and near fingerprints; equal ones are one node from the start, whatever number of documents has them.
 
-Equal fingerprints are one node from the start, whatever number of documents has them; wide ones only if all their words
-are equal. Wide fingerprints are of the different shingles, so that a repeated one doesn't decide all bits.
+`keep_one` and `near_classes` link texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Texts with the
+same set are one node. The fingerprints that find candidates are of the different shingles of SEARCH_SHINGLE words: an edit
+changes fewer of these than of five-word ones, so that fingerprints differ in fewer bits. A candidate pair is tested in its bucket
+by WORDS * 64 further bits, of the five-word shingles, with room for the estimate's error; a spanning forest of the most alike
+pairs is then verified by the shingle sets themselves. So no link is false; one is lost if its fingerprints differ in more bits
+than either step admits, or if pairs that look more alike, but aren't, took its place in the forest.
 
 Defined cases: a null text, or one without words, has fingerprint 0, linked like any other; a text with fewer
-words than a shingle is one shingle; a component's id is its smallest doc_id (null only if all of its
+words than a shingle is one shingle; texts without shingles have similarity 1 with each other and 0 with others;
+a component's id is its smallest doc_id (null only if all of its
 doc_ids are); repeated rows share a component; empty tables give no rows. Columns other than the id and
 the text are not read, so their names can't clash; `keep_one` returns all columns.
 """
@@ -25,7 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, comb, pi, sqrt
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +44,10 @@ from gleaner.llm.common import bounded_batches, cut
 from gleaner.llm.components import components
 
 BITS, SEED = 64, 42
-#: 64-bit words of a wide fingerprint.
-WORDS = 4
+#: Words of a shingle of the fingerprints that find candidates, and 64-bit words that test them.
+SEARCH_SHINGLE, WORDS = 2, 4
+#: Share of pairs at the least similarity that either step should let pass.
+SEARCH_RECALL, TEST_RECALL = 0.9, 0.98
 #: Estimated work: an index row against a pair to verify.
 ROW_COST, PAIR_COST = 100.0, 1.0
 PARTITIONS = (2, 3, 4, 5, 6, 7)
@@ -76,34 +84,57 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return _majority(_shingle_hashes(text, shingle))
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> list[int]:
-    """The fingerprint of the text's different shingles, and WORDS - 1 more from hashes of the shingles' hashes."""
-    h, out = np.unique(_shingle_hashes(text, shingle)), []
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """WORDS fingerprints of different shingles' hashes, and of hashes of these."""
+    h, out = shingles, []
     for _ in range(WORDS):
         out.append(_majority(h))
         h = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(29)
-    return out
+    return np.array(out, np.uint64)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of a text's different shingles, in order."""
+    return np.unique(_shingle_hashes(text, shingle))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two shingle sets; of two empty ones 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, digest, fp) of every row: digest is a hash of the text, fp the fingerprint as a signed long."""
+    ids = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((fingerprint(t, shingle) for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "digest", "fp"])
+
+    return bounded_batches(ids).mapInArrow(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, digest long, fp long")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
-    """(doc_id, digest, fp) of every row: digest is a hash of the text, fp the fingerprint as a signed long; if `wide`, also
-    `words`, the further words of the wide fingerprint as bytes."""
+def set_prints(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, digest, node, fp, words) of every row: node is a hash of the text's shingle set, fp the fingerprint that finds
+    candidates, and words the bytes of the wide fingerprint that tests them."""
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            if wide:
-                made = np.array([wide_fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, WORDS)
-                more = [pa.array([row[1:].tobytes() for row in made], pa.binary())]
-                fps = np.ascontiguousarray(made[:, 0])
-            else:
-                more, fps = [], np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), *more], ["doc_id", "digest", "fp", *["words"] * wide])
+            nodes, fps, words = [], [], []
+            for t in batch.column(2).to_pylist():
+                shingles = shingle_set(t, shingle)
+                nodes.append(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
+                fps.append(_majority(shingle_set(t, SEARCH_SHINGLE)))
+                words.append(wide_fingerprint(shingles).tobytes())
+            cols = [batch.column(0), batch.column(1), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)), pa.array(words, pa.binary())]
+            yield pa.record_batch(cols, ["doc_id", "digest", "node", "fp", "words"])
 
-    return bounded_batches(ids).mapInArrow(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, digest long, fp long" + ", words binary" * wide)
+    return bounded_batches(ids).mapInArrow(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, digest long, node long, fp long, words binary")
 
 
 # --- partitions and thresholds ---
@@ -204,64 +235,118 @@ def plan(nodes: DataFrame, most: int) -> list[tuple[int, ...]]:
 def links(nodes: DataFrame, most: int, block: int = buckets.BLOCK, most_wide: int | None = None) -> DataFrame:
     """(a, b): links of fingerprints within `most` bits, that together join whatever is linked by steps.
 
-    With `most_wide`, nodes have `node` and `words`, and all words together may differ in so many bits."""
-    masks = plan(nodes, most)
-    # different masks, or values, that meet in one bucket key only add pairs, which are verified
+    With `most_wide`, nodes have `node` and `words`, and all bits of `words` together may differ in so many."""
+    masks = plan(nodes if most_wide is None else nodes.select("fp").distinct(), most)
+    # different masks, or values, that met in one bucket key would only add pairs, which are verified
     probe = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("m")) for i, m in enumerate(masks)])).alias("p")
-    # the wide fingerprint whole, as nodes of equal `fp` differ; its byte order is the same for all
+    # whole, as a payload's bytes have the same order for all
     payload = [] if most_wide is None else [F.concat(F.unhex(F.lpad(F.hex("fp"), 16, "0")), "words").alias("payload")]
-    key = F.hash("p.i", F.col("fp").bitwiseAND(F.col("p.m"))).cast("long").alias("key")
+    key = F.xxhash64("p.i", F.col("fp").bitwiseAND(F.col("p.m"))).alias("key")
     node = F.col("fp" if most_wide is None else "node").alias("node")
     rows = nodes.select("fp", node, *payload, probe).select(key, "node", *["payload"] * len(payload))
 
-    def near(loads: np.ndarray, i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
+    def apart(loads: np.ndarray, i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
         if most_wide is None:  # as unsigned: of signed numbers bitwise_count counts the absolute value's bits
-            return np.bitwise_count((loads[i] ^ loads[j]).view(np.uint64)) <= most
+            d = np.bitwise_count((loads[i] ^ loads[j]).view(np.uint64)).astype(np.int16)
+            return np.where(d <= most, d, buckets.FAR)
         words = loads.view(np.uint64)[:, 1:]
-        hit = np.bitwise_count(words[i, 0] ^ words[j, 0]) <= most
-        some = np.flatnonzero(hit)
+        near = np.bitwise_count(words[i, 0] ^ words[j, 0])
+        out, some = np.full(len(near), buckets.FAR), np.flatnonzero(near <= most)
         if len(some):
-            differ = words[i[some]] ^ words[j[some] if isinstance(j, np.ndarray) else j]
-            hit[some] = np.bitwise_count(differ).sum(axis=1) <= most_wide
-        return hit
+            wide = np.bitwise_count(words[i[some], 1:] ^ words[j[some] if isinstance(j, np.ndarray) else j, 1:]).sum(axis=1, dtype=np.int16)
+            out[some] = np.where(wide <= most_wide, wide + near[some], buckets.FAR)
+        return out
 
-    return buckets.links(rows, near, block)
+    return buckets.links(rows, apart, block)
 
 
-def classes(prints: DataFrame, most: int = 4, block: int = buckets.BLOCK, most_wide: int | None = None) -> DataFrame:
-    """(doc_id, digest, fp, root, component_id) for fingerprints() rows: fingerprints within `most` bits are linked, if with
-    `most_wide` the wide ones are within that.
+def classes(prints: DataFrame, most: int = 4, block: int = buckets.BLOCK) -> DataFrame:
+    """(doc_id, digest, fp, component_id) for fingerprints() rows: fingerprints within `most` bits are linked.
 
-    `root` is the component's least node, a fingerprint or the hash of a wide one; `component_id` its least doc_id."""
-    node = F.col("fp") if most_wide is None else F.xxhash64("fp", "words")
-    prints = cut(prints.withColumn("node", node))
-    wide = [] if most_wide is None else [F.min("words").alias("words")]
-    nodes = cut(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), *wide))
-    roots = components(links(nodes, most, block, most_wide)).withColumnRenamed("node", "n")
+    `component_id` is the component's least doc_id."""
+    prints = cut(prints)
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    by_node = _named(nodes.withColumnRenamed("fp", "node"), links(nodes.select("fp"), most, block))
+    return prints.join(by_node, F.col("fp") == F.col("f"), "left").select("doc_id", "digest", "fp", "component_id")
+
+
+def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(f, root, component_id) of every (node, first): its component's least node and least `first`."""
+    roots = components(edges).withColumnRenamed("node", "n")
     named = nodes.join(roots, F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     # written out first: next to an aggregation Spark can't split a join's hot keys
     least = cut(named.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r"))
-    by_node = named.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("f"), "root", "component_id")
-    return prints.join(by_node, F.col("node") == F.col("f"), "left").select("doc_id", "digest", "fp", "root", "component_id")
+    return named.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("f"), "root", "component_id")
+
+
+# --- near duplicates by the similarity of shingle sets ---
+
+
+def differing(similarity: float) -> float:
+    """Expected share of differing bits: a Jaccard similarity s of sets of like size is a cosine of 2s / (1 + s), and bits differ in
+    proportion to the angle."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def search_similarity(similarity: float, shingle: int, shorter: int) -> float:
+    """The similarity of texts' sets of shorter shingles, if scattered edits leave them this similarity of longer ones."""
+    kept = (2 * similarity / (1 + similarity)) ** (shorter / shingle) if shorter < shingle else 2 * similarity / (1 + similarity)
+    return kept / (2 - kept)
+
+
+def bits_for(similarity: float, bits: int, recall: float) -> int:
+    """In how many of `bits` bits fingerprints at this similarity differ at most, but for a share of 1 - recall."""
+    p, chance = differing(similarity), 0.0
+    for most in range(bits + 1):
+        chance += comb(bits, most) * p**most * (1 - p) ** (bits - most)
+        if chance >= recall:
+            return most
+    return bits
+
+
+def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, doc_id: str, text: str) -> DataFrame:
+    """The (a, b) edges whose nodes' texts have shingle sets of at least that similarity.
+
+    `nodes` names one row of `docs` for each node by `one` (doc_id, digest). Only texts with an edge are read again; sets travel by
+    joins on one node each, whose hot keys Spark can split, and two of them meet in a row."""
+    ends = edges.select(F.col("a").alias("e")).unionByName(edges.select(F.col("b").alias("e"))).distinct()
+    wanted = _sized(cut(nodes.join(ends, F.col("node") == F.col("e"), "left_semi").select("node", F.col("one.doc_id").alias("g_id"), F.col("one.digest").alias("g_digest"))))
+    rows = docs.select(F.col(doc_id).alias("d_id"), F.xxhash64(text).alias("d_digest"), F.col(text).alias("d_text"))
+    rows = rows.join(wanted, F.col("d_id").eqNullSafe(F.col("g_id")) & (F.col("d_digest") == F.col("g_digest"))).select("node", "d_text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(made, pa.binary())], ["node", "shingles"])
+
+    # a row that occurs several times gives its set several times; one of them stays
+    each = cut(bounded_batches(rows).mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    left, right = each.select(F.col("node").alias("l"), F.col("shingles").alias("x")), each.select(F.col("node").alias("r"), F.col("shingles").alias("y"))
+    met = edges.join(left, F.col("a") == F.col("l")).select("a", "b", "x").join(right, F.col("b") == F.col("r")).select("a", "b", "x", "y")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [jaccard(*(np.frombuffer(v.as_py(), np.uint64) for v in pair)) >= similarity for pair in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(hits, pa.bool_()))
+
+    return bounded_batches(met).mapInArrow(alike, "a long, b long")
 
 
-def bits_for(similarity: float, bits: int, deviations: float = 0.0) -> float:
-    """How many of `bits` bits are expected to differ between texts whose shingle sets (of like size) have this Jaccard
-    similarity, plus so many standard deviations: a Jaccard similarity s is a cosine of 2s / (1 + s), and bits differ
-    in proportion to the angle."""
-    p = acos(2 * similarity / (1 + similarity)) / pi
-    return bits * p + deviations * sqrt(bits * p * (1 - p))
+def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", block: int = buckets.BLOCK) -> DataFrame:
+    """(doc_id, digest, root, component_id) of every row of `docs`: `root` and `component_id` are its component's least node and
+    doc_id. Texts are linked whose shingle sets have at least that similarity."""
+    prints = cut(set_prints(docs, shingle, doc_id, text))
+    nodes = cut(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("words").alias("words"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "digest")).alias("one")))
+    most, wide = bits_for(search_similarity(similarity, shingle, SEARCH_SHINGLE), BITS, SEARCH_RECALL), bits_for(similarity, BITS * WORDS, TEST_RECALL)
+    found = links(nodes.select("node", "fp", "words"), most, block, wide)
+    found = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    by_node = _named(nodes.select("node", "first"), verified(found, nodes, docs, shingle, similarity, doc_id, text))
+    return prints.join(by_node, F.col("node") == F.col("f"), "left").select("doc_id", "digest", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, less all but one of each component: the one with the least doc_id.
-
-    64 bits find the candidates, up to half a standard deviation more than what differs on average at the given similarity.
-    All WORDS * 64 bits verify them, up to one standard deviation more: chance neighbours, of which any 64 bits have the
-    more the larger the corpus is, go, and the estimate of the similarity is twice as sharp."""
-    prints = fingerprints(docs, shingle, doc_id, text, wide=True)
-    most, most_wide = int(bits_for(similarity, BITS, 0.5)), int(bits_for(similarity, BITS * WORDS, 1.0))
-    found = cut(classes(prints, most, most_wide=most_wide).select("root", "doc_id", "digest"))
+    """The rows of `docs`, with all their columns, less all but one of each component: the one with the least doc_id."""
+    found = cut(near_classes(docs, shingle, similarity, doc_id, text).select("root", "doc_id", "digest"))
     # rows of equal id and text are one key; of each component's keys the least stays
     keys = found.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
     first = keys.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select(F.col("root").alias("r"), F.col("first.doc_id").alias("i"), F.col("first.digest").alias("d"))

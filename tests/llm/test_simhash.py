@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gleaner.llm import simhash
+from gleaner.llm import buckets, simhash
 from gleaner.llm.components import components
 from gleaner.llm.queries import op7_simhash_dedup
 
@@ -121,36 +121,67 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def components_of(n, linked):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
 def test_similarity_bits():
-    assert simhash.bits_for(1.0, 64) == 0 and 9 < simhash.bits_for(0.8, 64) < 10 and 38 < simhash.bits_for(0.8, 256) < 39 < simhash.bits_for(0.8, 256, 1) < 45
+    assert simhash.bits_for(1.0, 64, 0.9) == 0
+    assert simhash.bits_for(0.8, 64, 0.5) == 10 and simhash.bits_for(0.8, 64, 0.9) == 13 and simhash.bits_for(0.8, 256, 0.98) == 51
+    assert abs(simhash.search_similarity(0.8, 5, 5) - 0.8) < 1e-12 and 0.9 < simhash.search_similarity(0.8, 5, 2) < 0.92
 
 
 @pytest.mark.parametrize("block", [8, 1 << 15])
 def test_wide_links_are_exact(spark, block):
     rng = random.Random(11)
-    made = [[rng.getrandbits(64) for _ in range(4)] for _ in range(60)]
+    made = [[rng.getrandbits(64) for _ in range(5)] for _ in range(60)]
     for _ in range(240):
         x = list(rng.choice(made))
-        for b in rng.sample(range(256), rng.randint(0, 60)):
+        for b in rng.sample(range(320), rng.randint(0, 75)):
             x[b // 64] ^= 1 << b % 64
         made.append(x)
-    rows = [(i, 0, int(np.uint64(w[0]).view(np.int64)), np.array(w[1:], np.uint64).tobytes()) for i, w in enumerate(made)]
-    df = spark.createDataFrame(rows, "doc_id long, digest long, fp long, words binary")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.classes(df, 10, block, 44).collect()}
-    root = list(range(len(made)))
+    rows = [(i, int(np.uint64(w[0]).view(np.int64)), np.array(w[1:], np.uint64).tobytes()) for i, w in enumerate(made)]
+    df = spark.createDataFrame(rows, "node long, fp long, words binary")
+    roots = dict(map(tuple, components(simhash.links(df, 10, block, 44)).collect()))
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
+    def linked(i, j):
+        differ = [(a ^ b).bit_count() for a, b in zip(made[i], made[j], strict=True)]
+        return differ[0] <= 10 and sum(differ[1:]) <= 44
 
-    for i in range(len(made)):
-        for j in range(i):
-            differ = [(a ^ b).bit_count() for a, b in zip(made[i], made[j], strict=True)]
-            if differ[0] <= 10 and sum(differ) <= 44:
-                x, y = find(i), find(j)
-                root[max(x, y)] = min(x, y)
-    assert [got[i] for i in range(len(made))] == [find(i) for i in range(len(made))]
+    assert [roots.get(i, i) for i in range(len(made))] == components_of(len(made), linked)
+
+
+@pytest.mark.parametrize("size", [20, 700])
+def test_forests_keep_the_nearest_links(size):
+    """A bucket gives a spanning forest of least total distance, whether compared pair by pair or grown."""
+    rng = random.Random(size)
+    at = np.array([rng.randint(0, 4000) for _ in range(size)], np.int64)
+
+    def apart(loads, i, j):
+        d = np.abs(loads[i] - loads[j])
+        return np.where(d <= 9, d, buckets.FAR).astype(np.int16)
+
+    def total(a, b):
+        return sum(abs(int(at[x]) - int(at[y])) for x, y in zip(a, b, strict=True)), len(a)
+
+    nodes = np.arange(size)
+    gaps = np.diff(np.sort(at))
+    want = int(gaps[gaps <= 9].sum()), int((gaps <= 9).sum())
+    assert total(*buckets._walk(nodes, at, apart)) == want
+    if size <= buckets.DENSE:
+        assert total(*buckets._forest(*buckets._side_by_side(np.zeros(size, np.int64), at, apart))) == want
 
 
 def test_wide_fingerprints_estimate_similarity():
@@ -159,11 +190,47 @@ def test_wide_fingerprints_estimate_similarity():
         base = words(rng, 800).split()
         other = [w if rng.random() > 0.02 else "zz" for w in base]
         sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (base, other)]
-        jaccard = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-        prints = [simhash.wide_fingerprint(" ".join(t), 5) for t in (base, other)]
-        differ = sum((a ^ b).bit_count() for a, b in zip(*prints, strict=True))
-        assert prints[0][0] == simhash.fingerprint(" ".join(base), 5)
-        assert abs(differ - simhash.bits_for(jaccard, 256)) < 4 * simhash.bits_for(jaccard, 256) ** 0.5
+        true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        shingles = [simhash.shingle_set(" ".join(t), 5) for t in (base, other)]
+        assert abs(simhash.jaccard(*shingles) - true) < 1e-12
+        prints = [simhash.wide_fingerprint(x) for x in shingles]
+        assert int(prints[0][0]) == slow_print(" ".join(base), 5)
+        differ = sum((int(a) ^ int(b)).bit_count() for a, b in zip(*prints, strict=True))
+        assert abs(differ - 256 * simhash.differing(true)) < 4 * (256 * simhash.differing(true)) ** 0.5
+
+
+def edited(rng, text, share):
+    return " ".join("".join(rng.choice("xyz") for _ in range(5)) if rng.random() < share else w for w in text.split())
+
+
+def test_near_classes_against_all_pairs(spark):
+    """No link below the similarity; of the links at or above it at least nine in ten, here with scattered edits."""
+    rng = random.Random(15)
+    texts = []
+    for _ in range(60):
+        texts.append(words(rng, rng.randint(60, 500)))
+        texts += [edited(rng, texts[-1], rng.choice([0.003, 0.01, 0.02, 0.03, 0.05])) for _ in range(3)]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    alike = {(i, j) for i in range(len(texts)) for j in range(i) if simhash.jaccard(sets[i], sets[j]) >= 0.8}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_classes(make_docs(spark, texts)).collect()}
+    want = components_of(len(texts), lambda i, j: (i, j) in alike)
+    assert all(want[i] == want[got[i]] for i in range(len(texts)))
+    found = sum(got[i] == got[j] for i, j in alike)
+    assert len(alike) > 100 and found >= 0.9 * len(alike)
+
+
+def test_near_classes_of_one_large_group(spark):
+    """Hundreds of different near copies of one text are one component, blocks or not."""
+    rng = random.Random(16)
+    base = words(rng, 300)
+    texts = [edited(rng, base, 0.004) for _ in range(400)] + [words(rng, 300) for _ in range(30)]
+    docs = make_docs(spark, texts)
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    want = components_of(len(texts), lambda i, j: simhash.jaccard(sets[i], sets[j]) >= 0.8)
+    assert want.count(0) > 390
+    for block in (100, 1 << 15):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_classes(docs, block=block).collect()}
+        assert all(want[i] == want[got[i]] for i in range(len(texts))) and sum(got[i] == want[i] for i in range(len(texts))) >= 0.99 * len(texts)
 
 
 def test_keep_one(spark):
@@ -181,15 +248,14 @@ def test_keep_one(spark):
 def test_a_repeated_shingle_links_no_strangers(spark):
     rng = random.Random(7)
     texts = ["- " * 300 + words(rng, 200) for _ in range(3)]
-    assert len({tuple(simhash.wide_fingerprint(t, 5)) for t in texts}) == 3
     assert sorted(r["doc_id"] for r in simhash.keep_one(make_docs(spark, texts)).collect()) == [0, 1, 2]
 
 
-def test_equal_words_are_verified(spark):
-    """Equal first words don't make one node of different wide fingerprints."""
-    rows = [(i, 0, 77, np.array([w] * 3, np.uint64).tobytes()) for i, w in enumerate([0, 2**64 - 1, 2**64 - 1, 1])]
-    df = spark.createDataFrame(rows, "doc_id long, digest long, fp long, words binary")
-    assert {r["doc_id"]: r["component_id"] for r in simhash.classes(df, 11, most_wide=44).collect()} == {0: 0, 1: 1, 2: 1, 3: 0}
+def test_equal_fingerprints_are_verified(spark):
+    """Equal first words of the fingerprints don't link nodes whose other words differ."""
+    rows = [(i, 77, np.array([w] * 4, np.uint64).tobytes()) for i, w in enumerate([0, 2**64 - 1, 2**64 - 1, 1])]
+    df = spark.createDataFrame(rows, "node long, fp long, words binary")
+    assert dict(map(tuple, components(simhash.links(df, 11, most_wide=44)).collect())) == {0: 0, 1: 1, 2: 1, 3: 0}
 
 
 def test_odd(spark, odd_docs, no_docs):
@@ -201,6 +267,8 @@ def test_odd(spark, odd_docs, no_docs):
     want = slow_classes(ids, [slow_print(t, 4) for t in texts], 4)
     assert sorted(zip(map(str, ids), map(str, want), strict=True)) == sorted((str(None if r.doc_id != r.doc_id else int(r.doc_id)), str(int(r.component_id))) for r in found.itertuples())
     assert simhash.classes(simhash.fingerprints(no_docs), 4).count() == 0
+    near = simhash.near_classes(odd_docs).toPandas()
+    assert len(near) == len(rows) and near[near.doc_id == 5].component_id.eq(5).all() and simhash.near_classes(no_docs).count() == 0
     kept = simhash.keep_one(odd_docs)
     assert kept.schema == odd_docs.schema
     assert kept.filter("doc_id = 5").count() == 1 and kept.filter(F.col("doc_id").isNull()).count() <= 1
