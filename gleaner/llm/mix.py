@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash thresholds.
 
-Every document has a 60-bit hash of its id. A source that must give `target` words out of `size` gives
+Every document has a 60-bit hash of its id and text. A source that must give `target` words out of `size` gives
 all its documents floor(target / size) times, and once more those whose hash is at most the source's
 threshold. The threshold comes from histograms: words summed by source and by the top 12 bits of the hash
 show in which bucket the budget is crossed; only that boundary bucket is summed again by the next 12 bits,
@@ -10,8 +10,8 @@ then has three nested thresholds, the later ones with a largest size. In the fir
 takes a superset of what a smaller one takes.
 
 Defined cases: a null or empty text has size 0 and takes 0 words; a null source is a source of its
-own, last in order; documents with equal ids (or null ids) share a hash and are taken together; an empty
-table gives no rows. The last threshold falls where the words taken come nearest to the target, the
+own, last in order; rows of equal id, source and text are numbered, and the number is hashed as well, so that repeated rows are taken
+one by one; a null id or text is hashed like an empty one; an empty table gives no rows. The last threshold falls where the words taken come nearest to the target, the
 smaller on a tie; an earlier one may pass it by an EARLY-th of what would stay open. The driver holds one row for each source, as the mixing weights themselves do. Columns other
 than the id, the source and the text are not read, so their names can't clash.
 """
@@ -19,7 +19,7 @@ than the id, the source and the text are not read, so their names can't clash.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import WORD, cut, small_frame
@@ -31,9 +31,14 @@ EARLY = 8
 DEFAULT_WEIGHTS, DEFAULT_SHARE, MOST_TIMES = (3, 1, 2), 1.5, 2
 
 
-def document_hash(doc_id: Column) -> Column:
-    """HASH_BITS bits of the id's MD5, which any engine can compute."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+def document_hash(doc_id: Column, digest: Column, ordinal: Column) -> Column:
+    """HASH_BITS bits of the MD5 of the id, the text's MD5 and which of equal rows it is; any engine can compute it."""
+    what = F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("")), digest, ordinal.cast("string"))
+    return F.conv(F.substring(F.md5(what.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def text_digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def word_count(text: Column) -> Column:
@@ -41,13 +46,18 @@ def word_count(text: Column) -> Column:
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(doc_id, source, size, hash) of every document."""
-    return docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.col(source).alias("source"),
-        word_count(F.col(text)).alias("size"),
-        document_hash(F.col(doc_id)).alias("hash"),
-    )
+    """(doc_id, source, digest, ordinal, size, hash) of every document."""
+    each = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), text_digest(F.col(text)).alias("digest"), word_count(F.col(text)).alias("size"))
+    each = numbered(each.groupBy("doc_id", "source", "digest", "size").agg(F.count("*").alias("n")).withColumn("before", F.lit(0).cast("long")))
+    return each.select("doc_id", "source", "digest", "ordinal", "size", document_hash(F.col("doc_id"), F.col("digest"), F.col("ordinal")).alias("hash"))
+
+
+def numbered(rows: DataFrame, prefix: str = "") -> DataFrame:
+    """`n` rows for each, with `ordinal` from before + 1 on; in two steps, so that no row holds a long array. Names have a prefix."""
+    n, before, low, ordinal = (prefix + c for c in ("n", "before", "low", "ordinal"))
+    step, last = F.lit(1 << 12).cast("long"), F.col(before) + F.col(n)
+    rows = rows.withColumn(low, F.explode(F.sequence(F.col(before) + 1, last, step)))
+    return rows.withColumn(ordinal, F.explode(F.sequence(F.col(low), F.least(F.col(low) + step - 1, last)))).drop(n, before, low)
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = DEFAULT_WEIGHTS, share: float = DEFAULT_SHARE, most: int = MOST_TIMES) -> dict[str | None, float]:
@@ -168,8 +178,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = DEFAULT_WEIGHTS, share: fl
 
 def take(docs: DataFrame, weights: tuple[float, ...] = DEFAULT_WEIGHTS, share: float = DEFAULT_SHARE, most: int = MOST_TIMES, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, each as often as the mix takes it."""
-    plan = shares(cut(sized(docs, doc_id, source, text)), weights, share, most)
+    each = cut(sized(docs, doc_id, source, text))
+    plan = shares(each, weights, share, most)
     plan = plan.select(F.col("p_source").alias("g_source"), F.col("times").alias("g_times"), F.col("steps").alias("g_steps"))
-    out = docs.join(plan, docs[source].eqNullSafe(plan["g_source"]))
-    copies = plan["g_times"] + _once_more(plan["g_steps"], document_hash(docs[doc_id]), word_count(docs[text]))
-    return out.filter(copies > 0).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies)).alias("g_copy")).drop("g_copy")
+    keys = [F.col(doc_id), F.col(source), text_digest(F.col(text))]
+    often = cut(each.filter("ordinal = 2").select(F.col("doc_id").alias("o_id"), F.col("source").alias("o_source"), F.col("digest").alias("o_digest")))
+    rows = docs.withColumn("g_ordinal", F.lit(1).cast("long"))
+    if not often.isEmpty():
+        same = keys[0].eqNullSafe(F.col("o_id")) & keys[1].eqNullSafe(F.col("o_source")) & (keys[2] == F.col("o_digest"))
+        # wholly equal rows are summed up before those that differ in other columns are put in order
+        whole = docs.join(often, same, "left_semi").groupBy(*docs.columns).agg(F.count("*").alias("g_n"))
+        w = Window.partitionBy(*keys).orderBy(F.xxhash64(*docs.columns)).rowsBetween(Window.unboundedPreceding, -1)
+        whole = numbered(whole.withColumn("g_before", F.coalesce(F.sum("g_n").over(w), F.lit(0))), "g_")
+        rows = rows.join(often, same, "left_anti").unionByName(whole.select(*docs.columns, "g_ordinal"))
+    out = rows.join(plan, keys[1].eqNullSafe(F.col("g_source")))
+    copies = F.col("g_times") + _once_more(F.col("g_steps"), document_hash(keys[0], keys[2], F.col("g_ordinal")), word_count(F.col(text)))
+    return out.filter(copies > 0).withColumn("g_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 OP2 = r"""
-WITH sized AS (
-  SELECT doc_id, source,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash
+WITH digested AS (
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
   FROM documents),
+-- equal rows are numbered
+sized AS (
+  SELECT doc_id, source, size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || digest || '|' || row_number() OVER (PARTITION BY doc_id, source, digest)), 1, 15))::BIGINT AS hash
+  FROM digested),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT source, source_size,

@@ -99,6 +99,23 @@ def test_take_repeats_rows(spark):
     assert got.toPandas().doc_id.value_counts().reindex(want.index, fill_value=0).tolist() == want.tolist()
 
 
+def test_rows_that_share_an_id_are_taken_one_by_one(spark):
+    """Null ids, equal ids and wholly equal rows: targets are met all the same."""
+    rng = random.Random(6)
+    texts = [words(rng, rng.randint(20, 60)) for _ in range(120)]
+    docs = make_docs(spark, texts, source=["a"] * 60 + ["b"] * 60)
+    same_id = docs.withColumn("doc_id", F.when(F.col("doc_id") < 60, F.lit(None)).otherwise(F.lit(7)).cast("long"))
+    equal = make_docs(spark, ["one two three four"]).withColumn("source", F.lit("c"))
+    for _ in range(6):
+        equal = equal.unionByName(equal)
+    rows = same_id.unionByName(equal).unionByName(equal.limit(1).withColumn("lang", F.lit("fr")))
+    found = mix.mix(rows).toPandas()
+    for _, s in found.groupby("source"):
+        assert abs(s.taken.sum() - s.target.iloc[0]) <= 0.02 * s.target.iloc[0]
+    got = mix.take(rows).toPandas()
+    assert got.groupby("source").text.agg(lambda x: sum(len(t.split()) for t in x)).to_dict() == found.groupby("source").taken.sum().to_dict()
+
+
 def test_odd(odd_docs, no_docs):
     found = mix.mix(odd_docs).toPandas()
     assert len(found) == odd_docs.count()
