@@ -1,9 +1,11 @@
 import random
+import re
 
 import numpy as np
 import pytest
 
 from gleaner.llm import packing
+from gleaner.llm.queries import op1_bestfit_packing
 
 from .conftest import make_docs, words
 
@@ -67,11 +69,44 @@ def test_documents(spark, sf):
         assert at == len(texts[key].split())
 
 
-def test_windows_and_shards(spark):
+def test_query(spark, sf):
+    found = op1_bestfit_packing(spark, sf).toPandas()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
+    check_whole(found, sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in docs.text))
+    order = found.sort_values(["size", "doc_id", "digest", "copy", "start"], ascending=[False, True, True, True, True])
+    of, at, final = brute_pack(order["size"].tolist(), packing.LENGTHS, packing.Costs())  # one shard, at this size
+    assert order.offset.tolist() == at and order.length.tolist() == [final[b] for b in of]
+    assert len(set(zip(of, order.bin, strict=True))) == len(set(of)) == order.bin.nunique()
+
+
+@pytest.mark.parametrize("shard", [7, 40, 1 << 15])
+def test_shards(spark, shard):
+    """Shards follow from the number of pieces alone, and every word is packed once, in bins of one shard."""
     rng = random.Random(1)
     docs = make_docs(spark, [words(rng, rng.randint(0, 900)) for _ in range(60)])
     n = sum(len(t.split()) for t in docs.toPandas().text)
-    check_whole(packing.pack_documents(docs, window=7).toPandas(), n)
+    found = packing.pack_documents(docs, shard=shard).toPandas()
+    check_whole(found, n)
+    assert (found.bin.to_numpy() >> 32).max() < -(-len(found) // shard)
+    again = packing.pack_documents(docs.repartition(3), shard=shard).toPandas()
+    assert sorted(found.itertuples(index=False)) == sorted(again.itertuples(index=False))
+
+
+def test_copies(spark):
+    docs = make_docs(spark, ["a b c", "d e"])
+    rows = docs.unionByName(docs.filter("doc_id = 0")).unionByName(docs.filter("doc_id = 0"))
+    found = packing.pack_texts(rows).toPandas()
+    assert sorted(found[found.doc_id == 0]["copy"]) == [1, 2, 3] and found[found.doc_id == 1]["copy"].tolist() == [1]
+    assert set(found.text) == {"a b c", "d e"}
+
+
+@pytest.mark.parametrize("text", ["", " ", "a", " a  b\n\nc ", "x " * 100, "\u00a0a\u2003b c\td"])
+@pytest.mark.parametrize("top", [1, 2, 7, 100])
+def test_slices_are_the_text(text, top):
+    parts = packing.slices(text, top)
+    assert "".join(parts) == text
+    counts = [len(re.findall(r"[^\x20\x09-\x0D]+", p)) for p in parts]
+    assert all(c == top for c in counts[:-1]) and counts[-1] <= top
 
 
 def test_odd(odd_docs, no_docs):
