@@ -41,16 +41,44 @@ def test_many_blocks(spark, monkeypatch):
     assert run(spark, rows) == brute(rows, 5)
 
 
-def test_pivots_eliminate():
-    """On clustered vectors most candidates are never scored."""
-    rng = np.random.default_rng(1)
-    x = np.concatenate([rng.integers(-5, 6, (500, 16)) + c for c in rng.integers(-800, 800, (20, 16))]).astype(np.int64)
-    pivots = topk._choose(x.astype(float), 24)
-    d = topk._distances(x.astype(float), pivots)
-    ids = np.arange(len(x))
-    q = ids[::500]
-    *_, evaluated = topk.search_block(q, x[q], d[q], ids, x, d, 5)
-    assert evaluated < 0.5 * len(q) * len(x)
+def clustered(rng, clusters, each, dims):
+    x = np.concatenate([rng.integers(-5, 6, (each, dims)) + c for c in rng.integers(-800, 800, (clusters, dims))])
+    return [(i, v) for i, v in enumerate(x[rng.permutation(len(x))].tolist())]
+
+
+def test_pivots_eliminate(spark):
+    """On clustered vectors few candidates are scored, and the result is still exact."""
+    rows = clustered(np.random.default_rng(1), 20, 150, 16)
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    assert topk.scored_share(df, F.col("vec_id") % 50 == 0, 5) < 0.2
+    assert run(spark, rows) == brute(rows, 5)
+
+
+def test_blocks_are_left_out(spark, monkeypatch):
+    """With thresholds from the nearest blocks, queries meet few of the others."""
+    monkeypatch.setattr(topk, "CANDIDATES", 256)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    sent, made = [], []
+    whole = topk._compared
+    monkeypatch.setattr(topk, "_compared", lambda pairs, asks, blocks, *more: sent.append(pairs.count()) or made.append(asks.count() * blocks.count()) or whole(pairs, asks, blocks, *more))
+    rows = clustered(np.random.default_rng(2), 12, 250, 12)
+    assert run(spark, rows) == brute(rows, 5)
+    assert sum(sent) < 0.5 * made[0]
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(3)
+    for dims, n in ((4, 50), (40, 30), (64, 300)):
+        x = rng.integers(-300, 300, (n, dims)).astype(float)
+        table = topk.Table.of(topk._choose(x, topk.pivots_for(dims)))
+        t = table.rows(x)
+        assert (t @ t.T >= x @ x.T - 1e-6 * np.abs(x).max() ** 2 * dims).all()
+
+
+def test_repeated_blocks(spark):
+    """Wholly equal blocks of candidates are candidates as often as they occur."""
+    rows = [(50, [1, 2])] + [(7, [3, 4])] * 700 + [(8, [1, 1])] * 3
+    assert run(spark, rows) == brute(rows, 5)
 
 
 def test_large_numbers(spark):
