@@ -1,19 +1,23 @@
 """Transcript parsing: a hidden Markov model over speaker markers and line features recovers roles.
 
-A conversation's messages are cut into lines. The states are the roles; a line shows a speaker marker (the
-message's role column on its first line, or "User:" and the like in the text) and features of its form.
-Emissions and transitions are counted over all messages whose role is known. Viterbi's best path gives
-every line a role; runs of one role within a message become turns, rendered canonically.
-
-Viterbi steps are max-plus matrices, and these multiply associatively. So each message becomes one matrix
-where it is read; those of CHUNK turn numbers are multiplied; a conversation's chunk matrices (one for
-each CHUNK turns) are chained and give each chunk its states before and at its end; then each chunk is
-decoded by itself. No task holds more than a chunk of texts, however long a conversation is, and the
-path is as good as that of one pass over the whole conversation.
-
-Defined cases: null or unknown roles are no marker; null texts are empty and give one empty turn; null
+The states are the roles. A message whose role column names one is of that role, whole, as its text stands. Other messages are
+cut into lines; a line may begin with a speaker marker ("User:" and the like) and has features of its form. Names that also stand
+in plain text ("model:", "answer:", "q:") count as markers only where a marker of another role stands in the same message.
+Emissions and transitions are counted over all messages whose role is known. Viterbi's best path gives every line a role; runs of
+one role within a message become turns. A marker is taken off its line only if the path gave the line the marker's role, and
+never where it opens a bracket that it doesn't close. Turns are rendered canonically, with "<|" escaped within texts so that no
+text can look like a turn's border; `unescape` gives it back.
+
+Viterbi steps are max-plus matrices, and these multiply associatively. Messages are sorted into ranges of conversation and turn,
+whatever the sizes of conversations are, and each range is cut into chunks of CHUNK messages or CHUNK_BYTES of text. Each chunk
+becomes one matrix. Of conversations with several chunks, the matrices of a range are multiplied, then a conversation's ranges
+are chained, then the chunks of each range; this gives every chunk its states before and at its end, and each is decoded by itself.
+No task holds more than a chunk of texts, however long a conversation is or how many messages share a turn, and the path is as
+good as that of one pass over the whole conversation.
+
+Defined cases: null or unknown roles are no evidence; null texts are empty and give one empty turn; null
 turns stand before the others; null conv_ids are one conversation; messages with equal turns are ordered by
-role and text; repeated messages each give their turns; an empty table gives no rows, and a table without
+a hash of role and text; repeated messages each give their turns; an empty table gives no rows, and a table without
 any known role is decoded with even odds. Columns other than the four named are not read, so their names can't
 clash.
 """
@@ -26,6 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -34,7 +39,8 @@ from gleaner.llm.common import bounded_batches, cut, partitions
 
 ROLES = ("system", "user", "assistant")
 START, STATES = len(ROLES), len(ROLES) + 1
-CHUNK = 256
+#: Messages and characters that are decoded in one piece; a longer message is a piece of its own.
+CHUNK, CHUNK_BYTES = 256, 1 << 20
 
 #: Names of speakers and their roles.
 SPEAKERS = {
@@ -42,23 +48,39 @@ SPEAKERS = {
     "user": 1, "human": 1, "prompter": 1, "customer": 1, "question": 1, "q": 1,
     "assistant": 2, "bot": 2, "ai": 2, "gpt": 2, "model": 2, "agent": 2, "answer": 2, "a": 2,
 }
-_MARKER = re.compile(r"\s{0,8}(?:#{1,6}\s{0,3}|\*\*|<\|?|\[)?(" + "|".join(sorted(SPEAKERS, key=len, reverse=True)) + r")(?:\s{0,3}(?:\*\*)?:(?:\*\*)?|\|?>|\])\s{0,8}", re.I)
-_LIST = re.compile(r"\s*(?:[-*•]|[0-9]+[.)])\s")
-
-#: Chance that a marker names another role than the line's, and that a line within a message changes its speaker.
-WRONG_MARKER, CHANGE_IN_MESSAGE = 0.01, 0.02
+#: Names that also begin lines of plain text.
+PLAIN_NAMES = {"instructions", "instruction", "customer", "question", "q", "model", "agent", "answer", "a", "system", "bot", "ai"}
+_NAMES = "|".join(sorted(SPEAKERS, key=len, reverse=True))
+#: A name with a colon, perhaps as a heading or in bold; or in brackets of its own.
+_MARKER = re.compile(rf"\s{{0,8}}(?:(?:#{{1,6}}\s{{0,3}})?(?:\*\*(?P<bold>{_NAMES})(?:\*\*\s{{0,3}}:|:\s{{0,3}}\*\*)|(?P<bare>{_NAMES})\s{{0,3}}:)|<\|(?P<bar>{_NAMES})\|>|\[(?P<square>{_NAMES})\](?:\s{{0,3}}:)?)\s{{0,8}}", re.I)
+_LIST = re.compile(r"\s*(?:[-*\u2022]|[0-9]+[.)])\s")
+_BORDER = re.compile(r"<(\\*)\|")
+_ESCAPED = re.compile(r"<\\(\\*)\|")
+
+#: Chance that a marker names another role than the line's, and that within a message a line without or with a marker changes the
+#: speaker.
+WRONG_MARKER, CHANGE_IN_MESSAGE, CHANGE_AT_MARKER = 0.01, 0.02, 0.5
 SIZES = (0, 1, 4, 12, 40)
 
+Line = tuple[int, int, str, str]  # marker's role or -1, form, the marker's text, the rest
+
+
+def known_role(role: str | None) -> int:
+    return SPEAKERS.get((role or "").strip().lower(), -1)
 
-def lines(role: str | None, text: str | None) -> list[tuple[int, int, str]]:
-    """(marker or -1, form, the line without a marker it may begin with) of each line of a message."""
+
+def lines(text: str | None) -> list[Line]:
+    """A message's lines, with the markers that they may begin with."""
+    found = []
+    for line in (text or "").split("\n"):
+        m = _MARKER.match(line)
+        name = next(x for x in m.groups() if x).lower() if m else ""
+        found.append((name, line[: m.end()] if m else "", line[m.end() :] if m else line))
+    roles = {SPEAKERS[n] for n, _, _ in found if n}
     out = []
-    named = SPEAKERS.get((role or "").strip().lower(), -1)
-    for i, line in enumerate((text or "").split("\n")):
-        marker = named if i == 0 else -1
-        if m := _MARKER.match(line):
-            marker, line = SPEAKERS[m[1].lower()], line[m.end() :]
-        out.append((marker, form(line, i == 0), line))
+    for i, (name, marker, rest) in enumerate(found):
+        sure = name and (name not in PLAIN_NAMES or len(roles) > 1)
+        out.append((SPEAKERS[name] if sure else -1, form(rest if sure else marker + rest, i == 0), marker if sure else "", rest if sure else marker + rest))
     return out
 
 
@@ -80,22 +102,35 @@ class Model:
     moves: np.ndarray = field(default_factory=lambda: np.full((STATES, len(ROLES)), -np.log(len(ROLES))))
     forms: np.ndarray = field(default_factory=lambda: np.full((len(ROLES), FORMS), -np.log(FORMS)))
 
-    def steps(self, message: list[tuple[int, int, str]]) -> np.ndarray:
-        """For each line the max-plus matrix from the state before it to its own."""
+    def steps(self, role: str | None, message: list[Line]) -> np.ndarray:
+        """The max-plus matrix from the state before to its own: for each line, or one for a message of known role."""
+        if (known := known_role(role)) >= 0:
+            out = np.full((1, STATES, STATES), -np.inf)
+            out[0, :, known] = self.moves[:, known]
+            return out
         out = np.full((len(message), STATES, STATES), -np.inf)
-        stay = np.full((STATES, len(ROLES)), np.log(CHANGE_IN_MESSAGE / (len(ROLES) - 1)))
-        stay[range(len(ROLES)), range(len(ROLES))] = np.log(1 - CHANGE_IN_MESSAGE)
-        for i, (marker, shape, _) in enumerate(message):
-            seen = self.forms[:, shape].copy()
+        out[:, :, :START] = self.forms[:, [m[1] for m in message]].T[:, None, :]
+        marked = np.array([m[0] >= 0 for m in message])
+        stay = np.empty((2, STATES, len(ROLES)))
+        for k, change in enumerate((CHANGE_IN_MESSAGE, CHANGE_AT_MARKER)):
+            stay[k] = np.log(change / (len(ROLES) - 1))
+            stay[k, range(len(ROLES)), range(len(ROLES))] = np.log(1 - change)
+        out[0, :, :START] += self.moves
+        out[1:, :, :START] += stay[marked[1:].astype(int)]
+        for i, (marker, *_) in enumerate(message):
             if marker >= 0:
-                seen += np.log(WRONG_MARKER / (len(ROLES) - 1))
-                seen[marker] += np.log(1 - WRONG_MARKER) - np.log(WRONG_MARKER / (len(ROLES) - 1))
-            out[i, :, :START] = (self.moves if i == 0 else stay) + seen
+                out[i, :, :START] += np.log(WRONG_MARKER / (len(ROLES) - 1))
+                out[i, :, marker] += np.log(1 - WRONG_MARKER) - np.log(WRONG_MARKER / (len(ROLES) - 1))
         return out
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a[:, :, None] + b[None, :, :]).max(axis=1)
+def product(steps: np.ndarray) -> np.ndarray:
+    """The steps one after the other as one matrix: neighbours are multiplied until one is left."""
+    while len(steps) > 1:
+        even = len(steps) // 2 * 2
+        pairs = (steps[0:even:2, :, :, None] + steps[1:even:2, None, :, :]).max(axis=2)
+        steps = np.concatenate([pairs, steps[even:]])
+    return steps[0]
 
 
 def path(steps: np.ndarray, before: int, last: int | None) -> list[int]:
@@ -113,8 +148,7 @@ def path(steps: np.ndarray, before: int, last: int | None) -> list[int]:
 
 
 def _base(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    out = messages.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    return out.withColumn("chunk", F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK))
+    return messages.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
 
 
 def train(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> Model:
@@ -125,9 +159,9 @@ def train(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         n = np.zeros((len(ROLES), FORMS), np.int64)
         for batch in batches:
             for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if (state := SPEAKERS.get((r or "").strip().lower(), -1)) >= 0:
-                    for marker, shape, _ in lines(r, t):
-                        n[state if marker < 0 else marker, shape] += 1
+                if (state := known_role(r)) >= 0:
+                    for i, line in enumerate((t or "").split("\n")):
+                        n[state, form(line, i == 0)] += 1
         cell = np.flatnonzero(n)
         yield pa.record_batch([pa.array(cell.astype(np.int32)), pa.array(n.ravel()[cell])], ["cell", "n"])
 
@@ -147,6 +181,47 @@ def train(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     return Model(np.log(moves / moves.sum(axis=1, keepdims=True)), np.log(forms / forms.sum(axis=1, keepdims=True)))
 
 
+# --- chunks ---
+
+
+def _chunks(base: DataFrame, model: Model) -> DataFrame:
+    """(conv, part, chunk, m, turns, roles, texts): messages in order, cut into chunks; `part` is the range they lie in."""
+    kind = to_arrow_type(base.schema["conv"].dataType)
+    schema = pa.schema([("conv", kind), ("part", pa.int32()), ("chunk", pa.int64()), ("m", pa.binary()), ("turns", pa.list_(pa.int64())), ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, chunk, out, held = TaskContext.get().partitionId(), 0, [], 0
+        now, rows, size = None, [], 0
+
+        def done() -> dict:
+            m = product(np.concatenate([product(model.steps(r, lines(t)))[None] for _, r, t in rows]))
+            return {"conv": now, "part": part, "chunk": chunk, "m": m.tobytes(), "turns": [r[0] for r in rows], "roles": [r[1] for r in rows], "texts": [r[2] for r in rows]}
+
+        for batch in batches:
+            for c, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                length = len(row[2] or "")
+                if rows and (c != now or len(rows) >= CHUNK or size + length > CHUNK_BYTES):
+                    out.append(done())
+                    chunk, held, rows, size = chunk + 1, held + size, [], 0
+                    if held > 1 << 22 or len(out) >= 1024:
+                        yield pa.RecordBatch.from_pylist(out, schema=schema)
+                        out, held = [], 0
+                now = c
+                rows.append(row)
+                size += length
+        if rows:
+            out.append(done())
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    # messages that are equal in all but the last key are equal, so a hot one may be dealt out
+    rows = base.select("conv", "turn", "role", "text", F.xxhash64("role", "text").alias("tie"), F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("salt"))
+    keys = ("conv", "turn", "tie", "salt")
+    rows = rows.repartitionByRange(partitions(base.sparkSession), *keys).sortWithinPartitions(*keys).select("conv", "turn", "role", "text")
+    conv = base.schema["conv"].dataType.simpleString()
+    return bounded_batches(rows).mapInArrow(run, f"conv {conv}, part int, chunk long, m binary, turns array<long>, roles array<string>, texts array<string>")
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Rows with equal first `keys` columns, which follow each other."""
     now, rows = None, []
@@ -161,98 +236,95 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
         yield now, rows
 
 
-def _boundaries(base: DataFrame, model: Model) -> DataFrame:
-    """(conv, chunk, before, last): the states before each chunk and at its end."""
-    conv = base.schema["conv"].dataType.simpleString()
-    n = partitions(base.sparkSession)
+def _read(rows: list[tuple], column: int) -> np.ndarray:
+    return np.frombuffer(b"".join(r[column] for r in rows)).reshape(-1, STATES, STATES)
 
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                m = None
-                for s in model.steps(lines(r, t)):
-                    m = s if m is None else product(m, s)
-                out.append(m.ravel().tolist())
-            yield pa.record_batch([*[batch.column(i) for i in range(3)], batch.column(5), pa.array(out, pa.list_(pa.float64()))], ["conv", "chunk", "turn", "tie", "m"])
-
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for (c, k), rows in _grouped(batches, 2):
-            m = None
-            for r in rows:
-                s = np.array(r[4]).reshape(STATES, STATES)
-                m = s if m is None else product(m, s)
-            out.append((c, k, m.ravel().tolist()))
-            if len(out) == 1024:
-                yield _batch(out)
-                out = []
-        if out:
-            yield _batch(out)
 
-    def _batch(out: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([r[0] for r in out], kind), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.float64()))], ["conv", "chunk", "m"])
+def _ends(chunks: DataFrame) -> DataFrame:
+    """(part, chunk, before, last): of the conversations with several chunks, the states before each chunk and at its end."""
+    n, conv = partitions(chunks.sparkSession), chunks.schema["conv"].dataType.simpleString()
+    kind = to_arrow_type(chunks.schema["conv"].dataType)
+    rows = chunks.select("conv", "part", "chunk", "m")
+    several = rows.groupBy("conv").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("conv").alias("s_conv"))
+    rows = cut(rows.join(several, F.col("conv").eqNullSafe(F.col("s_conv")), "left_semi"))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (c, p), found in _grouped(batches, 2):
+            yield pa.record_batch([pa.array([c], kind), pa.array([p], pa.int32()), pa.array([product(_read(found, 3)).tobytes()], pa.binary())], ["conv", "part", "m"])
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, 1):
-            states = path(np.array([r[2] for r in rows]).reshape(-1, STATES, STATES), START, None)
-            yield pa.record_batch(
-                [pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.int64()), pa.array([START, *states[:-1]], pa.int32()), pa.array(states, pa.int32())],
-                ["conv", "chunk", "before", "last"],
-            )
+        for (c,), found in _grouped(batches, 1):
+            states = path(_read(found, 2), START, None)
+            cols = [pa.array([c] * len(found), kind), pa.array([r[1] for r in found], pa.int32()), pa.array([START, *states[:-1]], pa.int32()), pa.array(states, pa.int32())]
+            yield pa.record_batch(cols, ["p_conv", "p_part", "p_before", "p_last"])
 
-    kind = to_arrow_type(base.schema["conv"].dataType)
-    rows = base.select("conv", "chunk", "turn", "role", "text", F.xxhash64("role", "text").alias("tie"))
-    m = bounded_batches(rows).mapInArrow(matrices, f"conv {conv}, chunk long, turn long, tie long, m array<double>")
-    m = m.repartition(n, "conv", "chunk").sortWithinPartitions("conv", "chunk", "turn", "tie")
-    m = m.mapInArrow(chunks, f"conv {conv}, chunk long, m array<double>")
-    m = m.repartition(n, "conv").sortWithinPartitions("conv", "chunk")
-    return m.mapInArrow(chain, f"conv {conv}, chunk long, before int, last int")
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in _grouped(batches, 2):
+            states = path(_read(found, 3), found[0][4], found[0][5])
+            cols = [pa.array([r[1] for r in found], pa.int32()), pa.array([r[2] for r in found], pa.int64()), pa.array([found[0][4], *states[:-1]], pa.int32()), pa.array(states, pa.int32())]
+            yield pa.record_batch(cols, ["e_part", "e_chunk", "before", "last"])
+
+    dealt = rows.repartition(n, "conv", "part").sortWithinPartitions("conv", "part", "chunk")
+    parts = dealt.mapInArrow(multiply, f"conv {conv}, part int, m binary").repartition(n, "conv").sortWithinPartitions("conv", "part")
+    parts = cut(parts.mapInArrow(chain, f"p_conv {conv}, p_part int, p_before int, p_last int"))
+    met = rows.join(parts, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("part") == F.col("p_part"))).select("conv", "part", "chunk", "m", "p_before", "p_last")
+    met = met.repartition(n, "conv", "part").sortWithinPartitions("conv", "part", "chunk")
+    return met.mapInArrow(within, "e_part int, e_chunk long, before int, last int")
+
+
+# --- turns ---
+
+
+def escape(text: str) -> str:
+    """The text with a backslash more in every "<|", "<\\|" and so on: nothing in it reads as a turn's border."""
+    return _BORDER.sub(r"<\\\1|", text)
+
+
+def unescape(text: str) -> str:
+    return _ESCAPED.sub(r"<\1|", text)
 
 
 def render(role: str, text: str) -> str:
     """A turn in canonical form."""
-    return f"<|{role}|>\n{text}\n<|end|>\n"
+    return f"<|{role}|>\n{escape(text)}\n<|end|>\n"
+
+
+def turns_of(role: str | None, text: str | None, message: list[Line], states: list[int]) -> list[tuple[int, str]]:
+    """(state, text) of a message's turns; a marker goes where its line's state is the marker's."""
+    if known_role(role) >= 0:
+        return [(states[0], text or "")]
+    turns: list[tuple[int, list[str]]] = []
+    for (marker, _, before, rest), s in zip(message, states, strict=True):
+        line = rest if marker == s else before + rest
+        if turns and turns[-1][0] == s:
+            turns[-1][1].append(line)
+        else:
+            turns.append((s, [line]))
+    return [(s, "\n".join(kept)) for s, kept in turns]
 
 
 def parse(messages: DataFrame, model: Model, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, turn, part, role, text, rendered): the turns of every message, in order of turn and part."""
     base = _base(messages, conv, turn, role, text)
-    ends = cut(_boundaries(base, model))
-    ends = ends.select(F.col("conv").alias("e_conv"), F.col("chunk").alias("e_chunk"), "before", "last")
-    kind = base.schema["conv"].dataType.simpleString()
-    rows = base.join(ends, F.col("conv").eqNullSafe(F.col("e_conv")) & (F.col("chunk") == F.col("e_chunk")))
-    rows = rows.select("conv", "chunk", "before", "last", "turn", "role", "text", F.xxhash64("role", "text").alias("tie"))
-    rows = rows.repartition(partitions(base.sparkSession), "conv", "chunk").sortWithinPartitions("conv", "chunk", "turn", "tie")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        size = 0
-        for (c, _), found in _grouped(batches, 2):
-            read = [lines(r[5], r[6]) for r in found]
-            states = iter(path(np.concatenate([model.steps(x) for x in read]), found[0][2], found[0][3]))
-            for r, message in zip(found, read, strict=True):
-                turns: list[tuple[int, list[str]]] = []
-                for _, _, line in message:
-                    s = next(states)
-                    if turns and turns[-1][0] == s:
-                        turns[-1][1].append(line)
-                    else:
-                        turns.append((s, [line]))
-                for part, (s, kept) in enumerate(turns):
-                    body = "\n".join(kept)
-                    out.append((c, r[4], part, ROLES[s], body, render(ROLES[s], body)))
-                    size += len(body)
-            if size > 1 << 22 or len(out) > 4096:
-                yield _turns(out)
-                out, size = [], 0
-        if out:
-            yield _turns(out)
-
+    chunks = cut(_chunks(base, model))
+    ends = cut(_ends(chunks))
+    rows = chunks.join(ends, (F.col("part") == F.col("e_part")) & (F.col("chunk") == F.col("e_chunk")), "left")
+    rows = rows.select("conv", "before", "last", "turns", "roles", "texts")
     arrow = to_arrow_type(base.schema["conv"].dataType)
+    types = [arrow, pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
 
-    def _turns(out: list[tuple]) -> pa.RecordBatch:
-        types = [arrow, pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
-        return pa.record_batch([pa.array(col, t) for col, t in zip(zip(*out, strict=True), types, strict=True)], ["conv_id", "turn", "part", "role", "text", "rendered"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                c, before, last, turns, roles, texts = (column[i].as_py() for column in batch.columns)
+                read = [[] if known_role(r) >= 0 else lines(t) for r, t in zip(roles, texts, strict=True)]
+                steps = [model.steps(r, x) for r, x in zip(roles, read, strict=True)]
+                states, at, out = path(np.concatenate(steps), START if before is None else before, last), 0, []
+                for n, r, t, x, s in zip(turns, roles, texts, read, steps, strict=True):
+                    for part, (state, body) in enumerate(turns_of(r, t, x, states[at : at + len(s)])):
+                        out.append((c, n, part, ROLES[state], body, render(ROLES[state], body)))
+                    at += len(s)
+                yield pa.record_batch([pa.array(col, t) for col, t in zip(zip(*out, strict=True), types, strict=True)], ["conv_id", "turn", "part", "role", "text", "rendered"])
 
-    return rows.mapInArrow(run, f"conv_id {kind}, turn long, part int, role string, text string, rendered string")
+    kind = base.schema["conv"].dataType.simpleString()
+    return bounded_batches(rows).mapInArrow(run, f"conv_id {kind}, turn long, part int, role string, text string, rendered string")
