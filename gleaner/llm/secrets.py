@@ -1,13 +1,14 @@
 """Secret scanning over a trigram inverted index, with DataFrame functions only.
 
 `trigram_query` derives from a rule's regular expression what trigrams any match must contain, as an OR of
-ANDs. `index` makes the postings (trigram, doc_id) of the trigrams that the rules ask for, over whole,
-case-folded texts. `candidates` intersects and unites the postings into one row of rule bits for each
-document. `scan` verifies the candidates with the expressions themselves; a rule without mandatory
-trigrams (long hex runs, say) has no query and is matched against every text.
+ANDs. `index` makes the postings (trigram, doc_id) of the trigrams that the rules ask for, in one pass over whole,
+case-folded texts. `candidates` intersects the postings of each AND, by counting how many of its trigrams a document has, and
+unites the rules that a document may match. `scan` verifies the candidates with the expressions themselves; a rule without mandatory
+trigrams (long hex runs, say) has no query and is matched against every text. Rules are rows and arrays, not columns: their number
+is not limited. A rule must not look around itself, as (?=...) does: its matches are also taken apart by themselves.
 
 Defined cases: a null text counts as empty; a repeated doc_id shares its candidates (each of its texts
-is verified on its own, so this only costs time); null doc_ids are one id. Matches are leftmost and
+is verified on its own, so this only costs time); null doc_ids are one id; without rules there are no spans. Matches are leftmost and
 non-overlapping for each rule; offsets count code points, ends are exclusive. Empty tables give no
 rows. Columns other than the id and the text are not read, so their names can't clash.
 """
@@ -138,62 +139,75 @@ def _node(node) -> tuple[set[str] | None, Query]:
 
 
 def vocabulary(queries: list[Query | None]) -> list[str]:
-    """The trigrams that the queries ask for, in order; 63 at most, as a document's are kept as bits."""
-    grams = sorted({g for q in queries if q is not None for a in q for g in a})
-    if len(grams) > 63:
-        raise ValueError("split the rules: together they ask for more than 63 trigrams")
-    return grams
+    """The trigrams that the queries ask for, in order."""
+    return sorted({g for q in queries if q is not None for a in q for g in a})
+
+
+def _any_of(grams: list[str]) -> str:
+    """An expression that looks ahead for one of the trigrams at every place, so that they may overlap; equal beginnings are
+    tried once."""
+    tree: dict[str, dict[str, set[str]]] = {}
+    for a, b, c in grams:
+        tree.setdefault(a, {}).setdefault(b, set()).add(c)
+    lit = lambda c: f"\\x{{{ord(c):x}}}"
+    ends = lambda cs: "[" + "".join(map(lit, sorted(cs))) + "]"
+    each = (lit(a) + "(?:" + "|".join(lit(b) + ends(cs) for b, cs in sorted(rest.items())) + ")" for a, rest in sorted(tree.items()))
+    return f"(?=({'|'.join(each)}))"
 
 
 def index(docs: DataFrame, grams: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings (gram: position in `grams`, doc_id)."""
-    folded = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("folded"))
-    here = F.array_compact(F.array(*[F.when(F.contains("folded", F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
-    return folded.select(F.explode(here).alias("gram"), "doc_id")
-
-
-def candidates(postings: DataFrame, queries: list[Query | None], grams: list[str]) -> DataFrame:
-    """(doc_id, rules): a bit for each rule whose query the document's trigrams meet."""
-    bits = postings.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, gram)")).alias("bits"))
-    met = F.lit(0)
-    for i, query in enumerate(queries):
-        if query is None:
-            continue
-        need = [sum(1 << grams.index(g) for g in a) for a in sorted(query, key=sorted)]
-        one = F.lit(False)
-        for mask in need:
-            one = one | (F.col("bits").bitwiseAND(F.lit(mask)) == F.lit(mask))
-        met = met + F.when(one, F.lit(1 << i)).otherwise(F.lit(0))
-    return bits.select("doc_id", met.alias("rules")).filter(F.col("rules") > 0)
+    """Postings (gram, doc_id)."""
+    here = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_any_of(grams)), F.lit(1)))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(here).alias("gram"))
+
+
+def candidates(postings: DataFrame, queries: list[Query | None]) -> DataFrame:
+    """(doc_id, rules): the numbers of the rules whose queries the document's trigrams meet, in order."""
+    ands = [(rule, a) for rule, q in enumerate(queries) if q is not None for a in sorted(q, key=sorted)]
+    spark = postings.sparkSession
+    asked = spark.createDataFrame([(g, k, rule, len(a)) for k, (rule, a) in enumerate(ands) for g in sorted(a)], "a_gram string, a_and int, rule int, need int")
+    met = postings.join(F.broadcast(asked), F.col("gram") == F.col("a_gram"))  # as many rows as the rules have trigrams
+    # equal rows of one id count several times: that only makes more candidates
+    whole = met.groupBy("doc_id", "a_and", "rule", "need").agg(F.count("*").alias("n")).filter("n >= need")
+    return whole.groupBy("doc_id").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
 
 
 # --- verification ---
 
+_KIND = "array<struct<start:int,kind:int,end:int>>"
+#: Matches that are put in a row together: an array that grows is copied with each of them.
+RUN = 512
+
 
-def _matches(text: Column, rule: Rule, order: int) -> Column:
-    """Array of (start, order, end) of the rule's matches."""
-    found, held = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    between = F.split(text, rule.pattern, -1)
+def _matches(text: Column, pattern: Column, group: Column, least: Column, order: Column) -> Column:
+    """Array of (start, order, end) of a rule's matches."""
+    found, held = F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, group)
     # lengths of what stands before each match, of the match and of the part that must be long enough
+    between = F.split(text, pattern, -1)
     steps = F.zip_with(
         F.slice(between, F.lit(1), F.size(found)),
         F.zip_with(found, held, lambda m, g: F.struct(F.length(m).alias("m"), F.length(g).alias("g"))),
         lambda b, x: F.struct(F.length(b).alias("b"), x["m"].alias("m"), x["g"].alias("g")),
     )
-    kind = "array<struct<start:int,kind:int,end:int>>"
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["b"] + x["m"]).alias("at"),
-            F.when(
-                x["g"] >= rule.least,
-                F.array_append(acc["out"], F.struct((acc["at"] + x["b"]).alias("start"), F.lit(order).alias("kind"), (acc["at"] + x["b"] + x["m"]).alias("end"))),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.rlike(text, F.lit(rule.pattern)), walked).otherwise(F.array().cast(kind))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int")), lambda i: F.slice(steps, i * RUN + 1, F.lit(RUN)))
+
+    def walked(run: Column, at: Column) -> Column:
+        """The spans of some matches, the first of which has its text from `at` on."""
+        return F.aggregate(
+            run,
+            F.struct(at.alias("at"), F.array().cast(_KIND).alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["b"] + x["m"]).alias("at"),
+                F.when(x["g"] >= least, F.array_append(acc["out"], F.struct((acc["at"] + x["b"]).alias("start"), order.alias("kind"), (acc["at"] + x["b"] + x["m"]).alias("end"))))
+                .otherwise(acc["out"]).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    sizes = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda acc, x: acc + x["b"] + x["m"]))
+    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+    spans = F.flatten(F.zip_with(runs, F.slice(starts, F.lit(1), F.size(runs)), walked))
+    return F.when(F.rlike(text, pattern), spans).otherwise(F.array().cast(_KIND))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -201,24 +215,30 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id
     queries = [trigram_query(r.pattern) for r in rules]
     grams = vocabulary(queries)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    always = F.array(*[F.lit(i) for i, q in enumerate(queries) if q is None]).cast("array<int>")
     if grams:
-        found = cut(candidates(index(base, grams), queries, grams))
-        if found.count() * 16 <= BROADCAST_BYTES:
+        found = cut(candidates(index(base, grams), queries))
+        if found.count() * (16 + 4 * len(rules)) <= BROADCAST_BYTES:
             found = F.broadcast(found)
         found = found.withColumnRenamed("doc_id", "c_id")
         base = base.join(found, F.col("doc_id").eqNullSafe(F.col("c_id")), "left").drop("c_id")
+        base = base.withColumn("rules", F.concat(always, F.coalesce("rules", F.array().cast("array<int>"))))
     else:
-        base = base.withColumn("rules", F.lit(0))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    for i, rule in enumerate(rules):
-        found = _matches(F.col("text"), rule, i)
-        base = base.withColumn(f"m_{i}", found if queries[i] is None else F.when(F.col("rules").bitwiseAND(F.lit(1 << i)) != 0, found).otherwise(none))
-    kinds = F.array(*[F.lit(r.kind) for r in rules])
-    spans = F.transform(
-        F.array_sort(F.concat(*[F.col(f"m_{i}") for i in range(len(rules))])),
-        lambda x: F.struct(F.element_at(kinds, x["kind"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end")),
-    )
-    return base.select("doc_id", "text", spans.alias("spans"), *[F.size(f"m_{i}").cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules)])
+        base = base.withColumn("rules", always)
+    rule = F.array(*[F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.group).alias("group"), F.lit(r.least).alias("least"), F.lit(r.kind).alias("kind")) for r in rules])
+
+    def matches(i: Column) -> Column:
+        r = F.element_at(rule, i + 1)
+        return _matches(F.col("text"), r["pattern"], r["group"], r["least"], i)
+
+    if rules:
+        base = base.select("doc_id", "text", F.array_sort(F.flatten(F.transform("rules", matches))).alias("found"))
+        kind = lambda x: F.element_at(rule, x["kind"] + 1)["kind"]
+    else:
+        base, kind = base.select("doc_id", "text", F.array().cast(_KIND).alias("found")), lambda x: F.lit("")
+    count = lambda i: F.size(F.filter("found", lambda x: x["kind"] == i)).cast("long")
+    spans = F.transform("found", lambda x: F.struct(kind(x).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return base.select("doc_id", "text", spans.alias("spans"), *[count(i).alias(f"n_{r.kind}") for i, r in enumerate(rules)])
 
 
 def joined(spans: Column) -> Column:

@@ -89,8 +89,35 @@ def test_index_and_candidates(spark):
     docs = make_docs(spark, ["a TOKEN here", "tok oke ken", "secre", "AKIA", None])
     queries = [secrets.trigram_query(r.pattern) for r in secrets.RULES]
     grams = secrets.vocabulary(queries)
-    found = {r["doc_id"]: r["rules"] for r in secrets.candidates(secrets.index(docs, grams), queries, grams).collect()}
-    assert found == {0: 1, 1: 1, 3: 2}  # the second is no match: verification decides
+    postings = {(r["doc_id"], r["gram"]) for r in secrets.index(docs, grams).collect()}
+    assert postings == {(r["doc_id"], g) for r in docs.collect() for g in grams if g in (r["text"] or "").lower()}
+    found = {r["doc_id"]: r["rules"] for r in secrets.candidates(secrets.index(docs, grams), queries).collect()}
+    assert found == {0: [0], 1: [0], 3: [1]}  # the second is no match: verification decides
+
+
+def test_hundreds_of_rules(spark):
+    """Two hundred rules, with far more than 63 trigrams, against a scan of every text by every rule."""
+    rng = random.Random(7)
+    prefix = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz_-") for _ in range(rng.randint(3, 8))) for _ in range(196)]
+    rules = tuple(secrets.Rule(f"r{i}", re.escape(p).replace("\\-", "-") + "[A-Z0-9]{2,}" + ("(?i:end)" if i % 3 else ""), 0, 6) for i, p in enumerate(prefix))
+    rules += (secrets.Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 10), secrets.Rule("github", "gh[pousr]_[A-Za-z0-9]{8,}", 0, 12), secrets.Rule("digits", "[0-9]{12}", 0, 12), *secrets.RULES[:1])
+    assert len(secrets.vocabulary([secrets.trigram_query(r.pattern) for r in rules])) > 300
+    parts = [*prefix, *(p + "AB12END" for p in prefix), "AB12", "XYZ", "end", "END", " ", "\n", "ghp_", "aB3dE5fG7h", "-----BEGIN RSA PRIVATE KEY-----", "123456789012", "Token: abcdefgh"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    got = spans_of(secrets.scan(make_docs(spark, texts), rules))
+    for i, t in enumerate(texts):
+        want = sorted((m.start(), k, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, t, re.A) if len(m.group(r.group)) >= r.least)
+        assert got[i] == [(rules[k].kind, a, b) for a, k, b in want]
+    assert sum(map(len, got.values())) > 300
+    assert all(x == [] for x in spans_of(secrets.scan(make_docs(spark, texts[:3]), ())).values())
+
+
+@pytest.mark.parametrize("run", [1, 3, 512])
+def test_runs_of_matches(spark, monkeypatch, run):
+    monkeypatch.setattr(secrets, "RUN", run)
+    texts = ["token=abcdef x" * n for n in (0, 1, 2, 3, 4, 9)]
+    got = spans_of(secrets.scan(make_docs(spark, texts)))
+    assert [got[i] for i in range(len(texts))] == [slow(t) for t in texts]
 
 
 def test_plan_has_no_python(spark, sf):
