@@ -3,16 +3,16 @@
 `plain` finds e-mail addresses, IPv4 addresses, payment cards and phone numbers as they are written.
 `disguised` rewrites the text by five transducers, each of which records what it replaced:
 
-1. look-alike and full-width characters become ASCII, invisible characters go;
-2. runs of seven or more spelled digits become digits ("plus" before them becomes "+");
+1. look-alikes and compatibility forms (full-width, mathematical, small capitals) become ASCII, invisible characters go;
+2. runs of seven or more spelled digits, in four languages, become digits ("plus" before them becomes "+");
 3. letters that stand for digits (O, I, l) inside long digit groups become digits;
 4. four digit groups joined by "[.]", "(dot)" or "dot" become IPv4 addresses;
 5. "name (at) host (dot) tld", "name at host dot tld" and mixtures become addresses, with names such as "john dot doe".
 
 The same finders then run on the rewritten text, and a span is mapped back through the records to the
 source characters. A mapped span counts only if its source reads differently from its rewritten
-form and overlaps no plain span of its kind, so plain text gains nothing; but an address may begin before a plain
-one that is its end ("john[dot]doe@example.com").
+form and overlaps no plain span of its kind, so plain text gains nothing; but it may contain a plain one that is only a part of it
+("john[dot]doe@example.com"), and then stands beside it. `redact` covers the union of all spans.
 
 Defined cases: a null text is empty and has no spans; long texts are searched whole, in linear time;
 repeated rows each get their own result; empty tables give no rows. Spans are (kind, start, end) in code
@@ -93,39 +93,62 @@ def plain(text: str) -> list[Span]:
 
 # --- transducers ---
 
-#: Characters that look like the ASCII ones below them.
-_LOOKS = "аеорсухіјѕԁһӏ" + "АВЕКМНОРСТХІЈЅ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο" + "。．・․﹒" + "﹫" + "‐‑‒–−﹣"
-_ASCII = "aeopcyxijsdhl" + "ABEKMHOPCTXIJS" + "ABEZHIKMNOPTYXo" + "....." + "@" + "------"
-#: Characters without a width.
-_UNSEEN = "­​‌‍⁠﻿"
-_FOLD = dict(zip(map(ord, _LOOKS), _ASCII, strict=True)) | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
-_FOLD |= {c: str(unicodedata.decimal(chr(c))) for c in range(0x100, 0x20000) if unicodedata.category(chr(c)) == "Nd"}
+#: Letters of other scripts and signs that look like the ASCII ones below them.
+_LOOKS = "аеорсухіјѕԁһӏѵԛԝүк" + "АВЕКМНОРСТХІЈЅ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρικυα" + "օոսհցյ" + "ıɑɡɩ" + "。·٠․﹒" + "﹫" + "‐‑‒–−﹣"
+_ASCII = "aeopcyxijsdhlvqwyk" + "ABEKMHOPCTXIJS" + "ABEZHIKMNOPTYXovpikua" + "onuhgj" + "iagi" + "....." + "@" + "------"
+
+
+def _folds() -> dict[int, str]:
+    """Characters that stand for one ASCII character: full-width, mathematical and other compatibility forms, small capitals, decimal
+    digits of any script, and the look-alikes above."""
+    out = {}
+    for c in range(0x80, 0x20000):
+        x, kind = chr(c), unicodedata.category(chr(c))
+        if kind == "Nd":
+            out[c] = str(unicodedata.decimal(x))
+        elif kind[0] in "LPS" and len(n := unicodedata.normalize("NFKC", x)) == 1 and "!" <= n <= "~":
+            out[c] = n
+        elif kind[0] == "L" and re.fullmatch("LATIN LETTER SMALL CAPITAL [A-Z]", n := unicodedata.name(x, "")):
+            out[c] = n[-1].lower()
+    return out | dict(zip(map(ord, _LOOKS), _ASCII, strict=True))
+
+
+_FOLD = _folds()
+#: Characters without a width of their own.
+_UNSEEN = "".join(chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) == "Cf") + "\u034f\u115f\u1160\u3164"
 _ODD = re.compile("[" + "".join(map(re.escape, sorted({*map(chr, _FOLD), *_UNSEEN}))) + "]")
 _GONE = re.compile(f"[{_UNSEEN}]+")
 
-#: Digits as words.
-_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_ANY_WORD = "|".join(_WORDS)
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s,.-]{{1,3}})?(?:{_ANY_WORD})(?:[\s,.-]{{1,3}}(?:{_ANY_WORD}))" + r"{6,}(?![A-Za-z0-9])", re.I)
+#: Digits as words, in English, German, French and Spanish.
+_DIGIT_WORDS = """zero oh one two three four five six seven eight nine
+null - eins zwei drei vier fünf sechs sieben acht neun
+zéro - un deux trois quatre cinq six sept huit neuf
+cero - uno dos tres cuatro cinco seis siete ocho nueve"""
+_WORDS = {w: str(max(i - 1, 0)) for line in _DIGIT_WORDS.split("\n") for i, w in enumerate(line.split()) if w != "-"}
+_ANY_WORD = "|".join(sorted(_WORDS, key=len, reverse=True))
+_SPELLED = re.compile(rf"(?<!\w)(?:plus[\s,.-]{{1,3}})?(?:{_ANY_WORD})(?:[\s,.-]{{1,3}}(?:{_ANY_WORD}))" + r"{6,}(?!\w)", re.I)
 _SPELLED_HINT = re.compile(rf"\b(?:{_ANY_WORD})[\s,.-]{{1,3}}(?:{_ANY_WORD})[\s,.-]", re.I)
 _WORD_IN = re.compile(rf"plus|{_ANY_WORD}", re.I)
 
 _LETTERED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl](?:[\x20-]?[0-9OoIl]){9,18}(?![A-Za-z0-9])")
 _DIGITS_FOR = str.maketrans("OoIl", "0011")
 
-_AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]\s{0,3}|\s{1,3}at\s{1,3}|@", re.I)
-_DOTTED = re.compile(r"(?:\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}|\s{1,3}dot\s{1,3}|\.)([A-Za-z0-9-]+)", re.I)
+#: How "at" and "dot" are spoken, in the same languages.
+_SAY_AT, _SAY_DOT = "(?:at|arroba|arobase)", "(?:dot|punkt|punto|point)"
+_BRACKET_DOT = rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{_SAY_DOT}|\.)\s{{0,3}}[\])}}>]\s{{0,3}}|\s{{1,3}}{_SAY_DOT}\s{{1,3}}"
+_AT = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{_SAY_AT}|@)\s{{0,3}}[\])}}>]\s{{0,3}}|\s{{1,3}}{_SAY_AT}\s{{1,3}}|@", re.I)
+_DOTTED = re.compile(rf"(?:{_BRACKET_DOT}|\.)([A-Za-z0-9-]+)", re.I)
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
 #: A part of a name and a disguised dot, read backwards from where they end.
-_DOT_BEFORE = re.compile(r"(?:\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}|\s{1,3}dot\s{1,3})\Z", re.I)
-_DOT_REACH = 18
-_BRACKET_DOT = r"\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}|\s{1,3}dot\s{1,3}|\."
-_GROUPS = re.compile(rf"(?<![0-9])(?<![0-9]\.)[0-9]{{1,3}}(?:(?:{_BRACKET_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
-_GROUP_DOT = re.compile(_BRACKET_DOT, re.I)
-_AT_HINT = re.compile(r"[\[({<]\s{0,3}(?:at|@|dot|\.)\s{0,3}[\])}>]|\sdot\s", re.I)
+_DOT_BEFORE = re.compile(rf"(?:{_BRACKET_DOT})\Z", re.I)
+_DOT_REACH = 20
+_GROUPS = re.compile(rf"(?<![0-9])(?<![0-9]\.)[0-9]{{1,3}}(?:(?:{_BRACKET_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_GROUP_DOT = re.compile(rf"{_BRACKET_DOT}|\.", re.I)
+_AT_HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:{_SAY_AT}|@|{_SAY_DOT}|\.)\s{{0,3}}[\])}}>]|\s{_SAY_DOT}\s", re.I)
 
-#: What a spoken address ends in ("name at host dot com"); with brackets or an @ any label may end it.
-_ENDINGS = frozenset("com net org edu gov mil int info biz io dev app ai co me tv eu uk us de fr es it nl be ch at pl pt se no dk fi ie ru ua cz ca mx br ar in cn jp kr au nz za".split())
+#: What a spoken address ends in ("name at host dot com"), as prose has "at the dot matrix"; with brackets or an @ any
+#: label may end it.
+_ENDINGS = frozenset("com net org edu gov mil int info biz io dev app ai co me tv eu uk us de fr es it nl be ch at pl pt se no dk fi ie ru ua cz ca mx br ar in cn jp kr au nz za gr hu ro sk si hr bg lt lv ee lu mt cy is li ie tr il ae sa eg ng ke ma cl pe uy ve hk sg my th vn ph id pk bd lk ir kz by ge am az xyz online site shop club top store tech live news world blog cloud email space website agency digital company group page link click pro mobi name museum asia travel jobs cat".split())
 
 Edit = tuple[int, int, str]  # source start, source end, replacement
 Layer = list[tuple[int, int, int, int]]  # rewritten start and end, source start and end
@@ -217,7 +240,7 @@ def _spoken(text: str) -> list[Edit]:
         before = _dots_before(text, start, done)
         if token == "@" and not all(text[a:b].strip()[0] in "[({<" for a, b, _ in before):
             before = []  # prose may say "dot" before a plain address
-        bare = token.strip().lower() == "at"  # prose says "at example.com"; only a spoken first dot makes it an address
+        bare = token.strip()[:1].isalpha()  # prose says "at example.com"; only a spoken first dot makes it an address
         if not dots or (bare and (dots[0] not in disguised or text[dots[-1][1] : at].lower() not in _ENDINGS)) or (token == "@" and not disguised and not before):
             continue
         out += [*before, (m.start(), m.end(), "@"), *disguised] if token != "@" else [*before, *disguised]
@@ -242,7 +265,7 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
         a, b = start, end
         for layer in reversed(layers):
             a, b = _back(layer, a, b)
-        if text[a:b] != now[start:end] and not any(k == kind and a < y and x < b and not (kind == 0 and a < x and y <= b) for x, k, y in known):
+        if text[a:b] != now[start:end] and not any(k == kind and a < y and x < b and not (a <= x and y <= b and (a, b) != (x, y)) for x, k, y in known):
             out.append((a, kind, b))
     # spelled numbers without "plus" that are long enough for a phone number and are no card
     return sorted({*out, *(s for s in _bare_numbers(text) if not any(x < s[2] and s[0] < y for x, _, y in [*known, *out]))})

@@ -105,6 +105,76 @@ def test_offsets_survive_every_layer():
     assert ("email", "jo\u200b (at) exa\u00admple [dot] com") in found and ("phone", "plus one two three four five six seven eight nine zero") in found
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("john\u200b.smith@ex.com", "<EMAIL>"),
+        ("jo@ex.com[.]uk", "<EMAIL>"),
+        ("\U0001d41b\U0001d428\U0001d41b@\U0001d41e\U0001d431.\U0001d41c\U0001d428\U0001d426", "<EMAIL>"),
+        ("write to bob at example dot xyz", "write to <EMAIL>"),
+        ("ana arroba ejemplo punto com", "<EMAIL>"),
+        ("anna (at) beispiel (punkt) de", "<EMAIL>"),
+        ("look at the point of it", "look at the point of it"),
+        ("\u1d0a\u1d0f@\u1d07x.\u1d04\u1d0f\u1d0d", "<EMAIL>"),
+        ("null eins zwei drei vier fünf sechs sieben acht neun", "<PHONE>"),
+        ("m\u00b2 und 10\u00b3", "m\u00b2 und 10\u00b3"),
+    ],
+)
+def test_redacted(text, want):
+    assert pii.redacted(text) == want
+
+
+def disguise(rng):
+    """(kind, a disguised identifier)."""
+    word = lambda: "".join(rng.choice("abcdefghklmnprstuvwz") for _ in range(rng.randint(3, 8)))
+    name, host, end = word(), word(), rng.choice(["com", "org", "net", "de", "fr", "es", "io", "xyz"])
+    digits = [str(rng.randint(0, 9)) for _ in range(10)]
+    said = dict(zip("0123456789", rng.choice(["zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve"]).split(), strict=True))
+    bold = lambda t: "".join(chr(0x1D41A + ord(c) - 97) if c.isalpha() else c for c in t)
+    wide = lambda t: "".join(chr(ord(c) + 0xFEE0) if c != " " else c for c in t)
+    quad = [str(rng.randint(1, 255)) for _ in range(4)]
+    return rng.choice([
+        ("email", f"{name} at {host} dot {end}"),
+        ("email", f"{name}[at]{host}[dot]{end}"),
+        ("email", f"{name} (at) {host} (dot) {end}"),
+        ("email", f"{name}{{@}}{host}.{end}".replace(".", "[.]")),
+        ("email", f"{name} dot {word()} at {host} dot {end}"),
+        ("email", f"{name[:2]}\u200b{name[2:]}@{host}.{end}"),
+        ("email", bold(name) + "@" + bold(host) + "." + bold(end)),
+        ("email", wide(f"{name}@{host}.{end}")),
+        ("email", f"{name}@{host}.{end}".replace("e", "е").replace("a", "а").replace("n", "ո")),
+        ("ip", "[.]".join(quad)),
+        ("ip", " dot ".join(quad)),
+        ("ip", wide(".".join(quad))),
+        ("phone", "plus " + " ".join(said[d] for d in ["4", "9", *digits])),
+        ("phone", " ".join(said[d] for d in digits)),
+        ("phone", wide("+49 " + "".join(digits))),
+        ("card", "4ll1 1111 I111 11l1"),
+        ("card", wide("4111 1111 1111 1111")),
+    ])
+
+
+def test_planted_disguises_are_found(spark, sf, tmp_path):
+    """Over a table with one disguise in each text: found as a span, and nothing of it is left after masking."""
+    rng = random.Random(21)
+    rows, want = [], []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) > 0").collect():
+        text = r["text"]
+        spaces = [m.start() for m in re.finditer(" ", text)] or [len(text)]
+        at = rng.choice(spaces)
+        kind, hidden = disguise(rng)
+        if hidden.isascii() and pii.plain(hidden):
+            continue
+        rows.append((r["doc_id"], text[:at] + " ; " + hidden + " ; " + text[at:], r["lang"], r["source"], 0))
+        want.append((r["doc_id"], kind, at + 3, at + 3 + len(hidden), hidden))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spans = {r["doc_id"]: set(r["spans"].split(",")) for r in op9_pii_spans(spark, str(tmp_path)).collect()}
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    found = sum(f"{kind}:{a}:{b}" in spans[i] for i, kind, a, b, _ in want)
+    gone = sum(h not in masked[i] for i, _, _, _, h in want)
+    assert len(want) > 150 and found >= 0.9 * len(want) and gone >= 0.95 * len(want)
+
+
 def test_clean_tables_gain_nothing(spark, sf):
     """The method's further spans are not false alarms: on the driver's documents there are none."""
     for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect():
