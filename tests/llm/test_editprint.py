@@ -100,6 +100,20 @@ def test_query(spark, sf, embedding):
     check(embedding, op6_edit_fingerprints(spark, sf), rows)
 
 
+def test_bands_find_edited_texts(spark):
+    """Through the query: of texts with a third replaced at least nine in ten share a band, of strangers hardly any."""
+    found = op6_edit_fingerprints(spark, "/root/testdata/sf0.01").filter("n_chars >= 50").toPandas()
+    assert len(found) > 900 and found.band_edited.mean() >= 0.95 and found[found.near_next < 0.1].band_next.mean() <= 0.001
+    assert found.near_edited.mean() > 0.6
+
+
+def test_near_classes_of_odd_tables(odd_docs, no_docs):
+    found = editprint.near_classes(odd_docs).toPandas()
+    assert len(found) == odd_docs.count() and found[found.doc_id.isin([5, 6])].class_id.nunique() == 1
+    assert found[found.doc_id.isin([0, 1, 10])].class_id.eq(0).all()  # null and empty texts
+    assert editprint.near_classes(no_docs).count() == 0
+
+
 @pytest.mark.parametrize("ids", [[5], [3, 4], [10**12, -5, 0, 7, 8, 2**62], [1, 1, 1, 2, 2], [None, 4, None]])
 def test_ranges(spark, embedding, ids):
     rng = random.Random(len(ids))
