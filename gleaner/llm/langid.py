@@ -8,7 +8,8 @@ which a few words would be stored as they are and all languages tie.
 
 The dictionaries are fitted on a bounded sample: about SAMPLE_TEXTS different texts with a letter of each language,
 however often each is copied, chosen by a hash of the text, up to PRIMER_BYTES + DICTIONARY_BYTES; of a text longer than
-SAMPLE_CHARS characters a piece of that length; and at most MOST_LANGUAGES languages, those with most different texts.
+SAMPLE_CHARS characters a piece of that length. Every labelled language is learned: if there are so many that all this would
+pass MODEL_BYTES, each has less of it.
 Every text is classified whole: a long one in pieces of PIECE_BYTES, each behind dictionary and primer, as zstandard refers to a dictionary only until primer and
 text fill its window (131,072 bytes here); the pieces' sizes are added up.
 
@@ -33,10 +34,12 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded_batches
+from gleaner.llm.common import bounded_batches, small_frame
 
-SAMPLE_TEXTS, SAMPLE_CHARS, MOST_LANGUAGES = 300, 20_000, 256
+SAMPLE_TEXTS, SAMPLE_CHARS = 300, 20_000
 DICTIONARY_BYTES, PRIMER_BYTES, LEVEL = 110_000, 16_000, 3
+#: Bytes of all dictionaries and primers together; below a share of 1 / LEAST_PART of their sizes they don't shrink any more.
+MODEL_BYTES, LEAST_PART = 64 << 20, 30
 #: Bytes of a text that are compressed in one piece: with the primer, well inside the window.
 PIECE_BYTES = 32_768
 UNKNOWN = "und"
@@ -70,25 +73,27 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null and length(text) > 0")
     # a long text gives a piece from a place that its hash names
     x = F.xxhash64("text")
-    at = F.pmod(x, F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
     rows = rows.filter(F.col("text").rlike(r"\p{L}"))
     different = rows.select("lang", x.alias("x")).distinct()
-    counts = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return Model(())
-    span = 1 << 30
-    share = F.create_map(*[F.lit(v) for lang_, n in counts.items() for v in (lang_, min(span, SAMPLE_TEXTS * span // n))])
-    sample = rows.filter(F.pmod(x, F.lit(span)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0)))
-    sample = sample.select("lang", x.alias("x"), F.col("text").substr(at, F.lit(SAMPLE_CHARS)).alias("text"))
+    part = max(1 / LEAST_PART, min(1.0, MODEL_BYTES / (len(counts) * (PRIMER_BYTES + DICTIONARY_BYTES))))
+    texts, chars, span = int(SAMPLE_TEXTS * part), int(SAMPLE_CHARS * part), 1 << 30
+    at = F.pmod(x, F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
+    share = small_frame(docs.sparkSession, pa.table({"s_lang": pa.array(list(counts), pa.string()), "share": pa.array([min(span, texts * span // n) for n in counts.values()], pa.int64())}))
+    sample = rows.join(share, F.col("lang") == F.col("s_lang")).filter(F.pmod(x, F.lit(span)) < F.col("share"))
+    sample = sample.select("lang", x.alias("x"), F.col("text").substr(at, F.lit(chars)).alias("text"))
     # copies are one text: the aggregate's map side leaves one row of each group of copies
     sample = sample.groupBy("lang", "x").agg(F.min("text").alias("text"))
     by_lang: dict[str, list[tuple[int, str]]] = {}
     for r in sample.toLocalIterator():
         by_lang.setdefault(r["lang"], []).append((r["x"], r["text"]))
-    return _calibrated(Model(tuple((k, *_fill(v)) for k, v in sorted(by_lang.items()))), by_lang)
+    primer, dictionary = int(PRIMER_BYTES * part), int(DICTIONARY_BYTES * part)
+    return _calibrated(Model(tuple((k, *_fill(v, primer, dictionary)) for k, v in sorted(by_lang.items()))), by_lang, primer + dictionary)
 
 
-def _calibrated(model: Model, by_lang: dict[str, list[tuple[int, str]]]) -> Model:
+def _calibrated(model: Model, by_lang: dict[str, list[tuple[int, str]]], used: int) -> Model:
     """Lower the narrow shares of languages whose own texts lead by less, as those of close relatives do."""
     classify, shares = Classifier(model), []
     for lang, texts in sorted(by_lang.items()):
@@ -96,7 +101,7 @@ def _calibrated(model: Model, by_lang: dict[str, list[tuple[int, str]]]) -> Mode
         for _, t in sorted(texts):
             raw = words(t)
             size += len(raw)
-            if size - len(raw) >= PRIMER_BYTES + DICTIONARY_BYTES and raw:
+            if size - len(raw) >= used and raw:
                 got, _, lead, least = classify.judge(raw[:TRIED_BYTES])
                 found += [lead / max(least, 1)] if got == lang else []
                 if len(found) == TRIED_TEXTS:
@@ -106,9 +111,9 @@ def _calibrated(model: Model, by_lang: dict[str, list[tuple[int, str]]]) -> Mode
     return Model(model.samples, tuple(shares))
 
 
-def _fill(texts: list[tuple[int, str]]) -> tuple[bytes, bytes]:
-    pool = b"".join(words(t) for _, t in sorted(texts))[: PRIMER_BYTES + DICTIONARY_BYTES]
-    at = min(PRIMER_BYTES, len(pool) // 2)
+def _fill(texts: list[tuple[int, str]], primer: int, dictionary: int) -> tuple[bytes, bytes]:
+    pool = b"".join(words(t) for _, t in sorted(texts))[: primer + dictionary]
+    at = min(primer, len(pool) // 2)
     return pool[:at] or b" ", pool[at:] or b" "
 
 

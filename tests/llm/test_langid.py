@@ -1,7 +1,10 @@
 import random
+import re
 import zlib
 
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from gleaner.llm import langid
@@ -24,6 +27,57 @@ def test_held_out_accuracy(spark):
     assert found.score.between(0, 1).all()
 
 
+def slow_samples(rows):
+    """Each language's different texts of least hashes, in Python: (language, text) rows."""
+    out = {}
+    for lang in sorted({k for k, t in rows if k and t and any(map(str.isalpha, t))}):
+        texts = {t for k, t in rows if k == lang and t and any(map(str.isalpha, t))}
+        chosen = []
+        for t in texts:
+            x = xxhash.xxh64_intdigest(t.encode(), 42)
+            x -= (x >> 63) << 64
+            if x % 2**30 < min(2**30, 300 * 2**30 // len(texts)):
+                at = x % max(1, len(t) - 20_000 + 1)
+                chosen.append((x, t[at : at + 20_000]))
+        pool = b"".join(langid.words(t) for _, t in sorted(chosen))[:126_000]
+        at = min(16_000, len(pool) // 2)
+        out[lang] = pool[:at] or b" ", pool[at:] or b" "
+    return out
+
+
+def slow_language(samples, text):
+    """The language that adds the fewest bytes behind its primer, by plain zstandard calls."""
+    found = [w for w in re.findall(r"[^\W\d_]+", (text or "").lower()) if any(map(str.isalpha, w))]
+    if not found:
+        return "und"
+    raw = (" " + " ".join(w for w, b in zip(found, [None, *found]) if w != b) + " ").encode()
+    sizes = {}
+    for lang, (primer, pool) in samples.items():
+        params = zstandard.ZstdCompressionParameters.from_level(3, source_size=4096, dict_size=len(pool), write_content_size=False, write_checksum=False, write_dict_id=False)
+        c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(pool, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+        sizes[lang] = sum(len(c.compress(primer + raw[i : i + 32_768])) - len(c.compress(primer)) for i in range(0, len(raw), 32_768))
+    return min(sizes, key=lambda k: (sizes[k], k))
+
+
+def test_query_against_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in rows}
+    samples = slow_samples([(r["lang"], r["text"]) for r in rows if not held[r["doc_id"]]])
+    found = {r["doc_id"]: (r["held_out"], r["lang_pred"]) for r in op4_compression_langid(spark, sf).collect()}
+    assert found == {r["doc_id"]: (held[r["doc_id"]], slow_language(samples, r["text"])) for r in rows}
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """Hundreds of labels, of one text each: all have a dictionary, within the bytes that all may have."""
+    rng = random.Random(8)
+    texts = [words(rng, 60) for _ in range(400)]
+    docs = make_docs(spark, texts, lang=[f"x{i}" for i in range(400)])
+    assert len(langid.train(docs).samples) == 400
+    monkeypatch.setattr(langid, "MODEL_BYTES", 400 * 200)
+    small = langid.train(docs)
+    assert len(small.samples) == 400 and max(len(p) + len(d) for _, p, d in small.samples) <= (langid.PRIMER_BYTES + langid.DICTIONARY_BYTES) / langid.LEAST_PART
+
+
 def test_prediction_uses_the_text_alone(spark):
     rng = random.Random(1)
     texts = [words(rng, 30, ALPHABETS[k]) for k in ALPHABETS for _ in range(20)]
