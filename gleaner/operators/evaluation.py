@@ -51,6 +51,18 @@ def summarize(recalls: DataFrame, by: list[str] | None = None) -> DataFrame:
     return recalls.groupBy(*(by or [])).agg(F.count("*").alias("queries"), F.avg("recall").alias("recall"), F.count_if(F.col("recall") > 0).alias("queries_with_hit"))
 
 
+def pool_recalls(candidates: DataFrame, relevance: DataFrame, channels: list[str], union: str = "union") -> DataFrame:
+    """(pool, queries, recall, queries_with_hit) of each channel's candidates and of all together: the candidates of all channels are
+    summed up once, and met with the relevant items once."""
+    found = candidates.groupBy("query_id", "item_id").agg(*[F.max((F.col("channel") == c).cast("int")).alias(f"in_{c}") for c in channels])
+    met = relevance.select("query_id", "item_id").distinct().join(found, ["query_id", "item_id"], "left")
+    hits = {c: F.coalesce(F.col(f"in_{c}"), F.lit(0)) for c in channels}
+    pools = hits | {union: F.greatest(*hits.values()) if len(hits) > 1 else next(iter(hits.values()))}
+    per = met.groupBy("query_id").agg(*[F.avg(h).alias(f"pool_{c}") for c, h in pools.items()])
+    each = F.array(*[F.struct(F.lit(c).alias("pool"), F.col(f"pool_{c}").alias("recall")) for c in pools])
+    return summarize(per.select(F.inline(each)), ["pool"])
+
+
 def mode_mixture(metrics: DataFrame, by: list[str], metric: str = "recall", cold: float = COLD_SHARE, warm: float = WARM_SHARE) -> DataFrame:
     """(by..., cold, warm, mix): modes as columns, and their weighted mean."""
     wide = metrics.groupBy(*by).pivot("mode", ["cold", "warm"]).agg(F.avg(metric))

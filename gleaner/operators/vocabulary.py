@@ -1,79 +1,67 @@
-"""Vocabularies, term statistics and postings over (item_id, category, terms) documents.
+"""Vocabularies and term statistics over postings: (item_id, category, term, tf) rows.
 
-`terms` is an array of strings. Statistics cover the whole corpus; postings can then be limited to the
-terms that queries ask for, which changes no score.
+Postings are made once, in one pass over the texts, and written out (see plans.channels.build_index); all statistics are sums over
+them. Statistics cover the whole corpus; what is weighted can then be limited to the terms that queries ask for, which changes
+no score.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 
-def term_frequencies(docs: DataFrame) -> DataFrame:
-    """(term, df, cf): in how many documents a term occurs, and how often.
+def postings(docs: DataFrame, keys: tuple[str, ...] = ("item_id", "category")) -> DataFrame:
+    """(keys, term, tf) of documents with `terms` arrays."""
+    return docs.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
-    One pass: a document's terms are put in order, so that the first of equal ones can be told, and both
-    counts are summed on the map side; no (document, term) pairs are shuffled."""
-    ordered = docs.select(F.array_sort("terms").alias("terms"))
-    # each term beside the one before it
-    marked = F.zip_with(F.concat(F.array(F.lit(None).cast("string")), "terms"), F.concat("terms", F.array(F.lit(None).cast("string"))), lambda a, b: F.struct(b.alias("term"), (~a.eqNullSafe(b)).cast("int").alias("first")))
-    each = ordered.select(F.inline(marked)).filter(F.col("term").isNotNull())
-    return each.groupBy("term").agg(F.sum("first").alias("df"), F.count("*").alias("cf"))
 
+def gram_postings(docs: DataFrame, grams: Column, keys: tuple[str, ...] = ("item_id", "category")) -> DataFrame:
+    """(keys, term, tf) of the grams within words: `terms` are words, and `grams` an array made of one word in column `term`. A
+    document's equal words are cut into grams once."""
+    each = postings(docs, keys).select(*keys, "tf", F.explode(grams).alias("term"))
+    return each.groupBy(*keys, "term").agg(F.sum("tf").alias("tf"))
 
-def build_vocabulary(docs: DataFrame, min_df: int = 2, max_df: float = 1.0, max_features: int | None = None, n_docs: int | None = None) -> DataFrame:
+
+def term_frequencies(rows: DataFrame) -> DataFrame:
+    """(term, df, cf): in how many documents a term occurs, and how often."""
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def build_vocabulary(terms: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
     """(term, df, cf) of the terms that stay: in at least min_df documents and at most a share max_df of them, and
     of those the max_features most frequent in the corpus, ties by term."""
-    n = docs.count() if n_docs is None else n_docs
-    kept = term_frequencies(docs).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    kept = terms.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     return most_frequent(kept, max_features) if max_features else kept
 
 
 def most_frequent(terms: DataFrame, k: int) -> DataFrame:
     """The k terms of largest cf, ties by term, without sorting them all: how many terms have each cf (one row for
-    each different value) shows the cf at which the k-th lies; only the terms of that cf are put in order."""
-    terms = terms.persist()  # read up to three times, and small beside the texts it comes from
-    sizes = terms.groupBy("cf").agg(F.count("*").alias("n")).orderBy(F.desc("cf"))
-    before = 0
-    for r in sizes.toLocalIterator():
-        if before + r["n"] > k:
-            ties = terms.filter(F.col("cf") == r["cf"]).orderBy("term").limit(k - before)
-            return terms.filter(F.col("cf") > r["cf"]).unionByName(ties)
-        before += r["n"]
-    return terms
-
-
-def corpus_stats(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """One row (n_docs, n_terms, nnz, avg_len, idf_min, idf_max): lengths count terms of the vocabulary, over all documents,
-    empty ones too; idf as BM25 has it."""
-    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
-    kept = docs.select(F.explode("terms").alias("term")).join(vocabulary.select("term"), "term", "left_semi")
-    columns = ("n_docs", "n_terms", "nnz", "tokens", "df_min", "df_max")
+    each different value) shows the cf at which the k-th lies; only the terms of that cf are put in order. One plan, no jobs."""
+    sizes = terms.groupBy("cf").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("cf")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = sizes.withColumn("before", before).filter(F.col("before") < k).groupBy().agg(F.min("cf").alias("edge"), F.max("before").alias("above"))
+    # all terms above the edge; at the edge as many as are left, if they are too many
+    rows = terms.join(F.broadcast(edge))  # one row
+    ties = rows.filter(F.col("cf") == F.col("edge")).withColumn("place", F.row_number().over(Window.partitionBy("cf").orderBy("term"))).filter(F.col("place") + F.col("above") <= k)
+    return rows.filter(F.col("cf") > F.col("edge")).select("term", "df", "cf").unionByName(ties.select("term", "df", "cf"))
 
-    def part(rows: DataFrame, **have: Column) -> DataFrame:
-        return rows.agg(*[have.get(c, none if c.startswith("df") else zero).alias(c) for c in columns])
 
-    parts = part(docs, n_docs=F.count("*")).unionByName(part(kept, tokens=F.count("*"))).unionByName(
-        part(vocabulary, n_terms=F.count("*"), nnz=F.coalesce(F.sum("df"), zero), df_min=F.min("df"), df_max=F.max("df"))
-    )
-    total = parts.agg(*[(F.max if c.startswith("df") else F.sum)(c).alias(c) for c in columns])
-    idf = lambda df: F.log1p((F.col("n_docs") - F.col(df) + 0.5) / (F.col(df) + 0.5))
-    return total.select("n_docs", "n_terms", "nnz", F.try_divide("tokens", "n_docs").alias("avg_len"), idf("df_max").alias("idf_min"), idf("df_min").alias("idf_max"))
-
-
-def document_lengths(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def document_lengths(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(item_id, len): occurrences of vocabulary terms; documents without any are absent."""
-    kept = docs.select("item_id", F.explode("terms").alias("term")).join(vocabulary.select("term"), "term", "left_semi")
-    return kept.groupBy("item_id").agg(F.count("*").alias("len"))
+    return rows.join(vocabulary.select("term"), "term", "left_semi").groupBy("item_id").agg(F.sum("tf").alias("len"))
 
 
-def counts(docs: DataFrame, vocabulary: DataFrame, keys: tuple[str, ...] = ("item_id", "category")) -> DataFrame:
-    """(keys, term, df, tf) of the vocabulary's terms in each document."""
-    occurrences = docs.select(*keys, F.explode("terms").alias("term"))
-    return occurrences.join(vocabulary.select("term", "df"), "term").groupBy(*keys, "term", "df").agg(F.count("*").alias("tf"))
+def corpus_stats(lengths: DataFrame, vocabulary: DataFrame, n_docs: int) -> DataFrame:
+    """One row (n_docs, n_terms, nnz, avg_len, idf_min, idf_max): lengths count terms of the vocabulary, over all documents,
+    empty ones too; idf as BM25 has it."""
+    idf = lambda df: F.log1p((n_docs - df + 0.5) / (df + 0.5))
+    v = vocabulary.agg(F.count("*").alias("n_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("nnz"), idf(F.max("df")).alias("idf_min"), idf(F.min("df")).alias("idf_max"))
+    total = lengths.agg(F.try_divide(F.coalesce(F.sum("len"), F.lit(0)), F.lit(n_docs)).alias("avg_len"))
+    return v.join(F.broadcast(total)).select(F.lit(n_docs).cast("long").alias("n_docs"), "n_terms", "nnz", "avg_len", "idf_min", "idf_max")  # one row each
 
 
-def scalar(df: DataFrame, c: Column) -> float:
-    """One number that an aggregation gives."""
-    return df.agg(c.alias("v")).first()["v"]
+def counts(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Postings of the vocabulary's terms, with `df`."""
+    return rows.join(vocabulary.select("term", "df"), "term")

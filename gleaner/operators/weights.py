@@ -5,31 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.vocabulary import counts, document_lengths, scalar
+from gleaner.operators.vocabulary import counts
 
 K1, B = 1.5, 0.75
 
 
-def bm25_postings(docs: DataFrame, vocabulary: DataFrame, only: DataFrame | None = None, n_docs: int | None = None) -> DataFrame:
+def bm25_postings(rows: DataFrame, vocabulary: DataFrame, lengths: DataFrame, n_docs: int, only: DataFrame | None = None) -> DataFrame:
     """(item_id, category, term, weight), for the terms of `only` if it is given.
 
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); the weight is idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len / avg_len)).
     Lengths, their mean and N span the whole corpus, whatever `only` and the categories are.
     """
-    n = docs.count() if n_docs is None else n_docs
-    lengths = document_lengths(docs, vocabulary)
-    total = scalar(lengths, F.sum("len")) or 0
-    avg = total / n if n and total else 1.0
     wanted = vocabulary if only is None else vocabulary.join(only.select("term").distinct(), "term", "left_semi")
-    tf = counts(docs, wanted).join(lengths, "item_id")
-    idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / avg)
+    mean = lengths.agg((F.sum("len") / F.lit(n_docs)).alias("avg"))
+    tf = counts(rows, wanted).join(lengths, "item_id").join(F.broadcast(mean))  # one row
+    idf = F.log1p((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg"))
     return tf.select("item_id", "category", "term", (idf * F.col("tf") * (K1 + 1) / norm).alias("weight"))
 
 
-def tfidf_weights(docs: DataFrame, vocabulary: DataFrame, n_docs: int, keys: tuple[str, ...] = ("item_id", "category")) -> DataFrame:
+def tfidf_weights(rows: DataFrame, vocabulary: DataFrame, n_docs: int, keys: tuple[str, ...] = ("item_id", "category")) -> DataFrame:
     """(keys, term, weight): (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), divided by the row's L2 norm."""
-    raw = counts(docs, vocabulary, keys).withColumn("raw", (1 + F.log("tf")) * (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1))
+    raw = counts(rows, vocabulary).withColumn("raw", (1 + F.log("tf")) * (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1))
     norms = raw.groupBy(keys[0]).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")).withColumnRenamed(keys[0], "n_key")
     return raw.join(norms, F.col(keys[0]) == F.col("n_key")).select(*keys, "term", (F.col("raw") / F.col("norm")).alias("weight"))
 

@@ -16,8 +16,9 @@ from gleaner.functions.text import char_wb_ngrams, compose_item, compose_query,
 from gleaner.functions.vectors import sum_pool
 from gleaner.operators.fusion import FINAL, LOCATION_BONUS, mean_minmax, reciprocal_rank, select_fused, union_channels
 from gleaner.operators.retrieval import POOL, retrieve_dense, retrieve_sparse
-from gleaner.operators.vocabulary import build_vocabulary
+from gleaner.operators.vocabulary import build_vocabulary, document_lengths, gram_postings, postings, term_frequencies
 from gleaner.operators.weights import bm25_postings, binary_query_terms, tfidf_weights
+from gleaner.sources.scratch import scratch
 
 
 @dataclass(frozen=True)
@@ -46,9 +47,31 @@ def _terms(text: Column, spec: Sparse) -> Column:
     return word_ngrams(tokens(text), spec.low, spec.high)
 
 
-def item_terms(items: DataFrame, spec: Sparse) -> DataFrame:
+def _item_text(spec: Sparse) -> Column:
     parts = {c: normalize_text(F.col(c)) for c in ("title", "params", "description")}
-    return items.select("item_id", "category", _terms(compose_item(spec.variant, parts, spec.weighted), spec).alias("terms"))
+    return compose_item(spec.variant, parts, spec.weighted)
+
+
+def item_terms(items: DataFrame, spec: Sparse) -> DataFrame:
+    return items.select("item_id", "category", _terms(_item_text(spec), spec).alias("terms"))
+
+
+def item_postings(items: DataFrame, spec: Sparse, lemmas: DataFrame | None = None) -> DataFrame:
+    """(item_id, category, term, tf), from one pass over the texts."""
+    if spec.kind == "char":
+        words = F.filter(F.split(_item_text(spec), " "), lambda w: F.length(w) > 0)
+        docs = items.select("item_id", "category", words.alias("terms"))
+        return gram_postings(docs, char_wb_ngrams(F.col("term"), spec.low, spec.high))
+    if spec.words == "plain":
+        return postings(item_terms(items, spec))
+    plain = Sparse(kind="word", variant=spec.variant, weighted=spec.weighted)
+    docs = item_terms(items, plain)
+    if spec.high == 1:  # forms of a document's different tokens
+        formed = normalize_tokens(postings(docs).withColumnRenamed("term", "token"), spec.words, lemmas)
+        formed = formed.filter(F.length("token") > 1).groupBy("item_id", "category", F.col("token").alias("term"))
+        return formed.agg(F.sum("tf").alias("tf"))
+    docs = with_word_forms(docs, "item_id", spec.words, lemmas)
+    return postings(docs.withColumn("terms", word_ngrams(F.col("terms"), spec.low, spec.high)))
 
 
 def query_terms(queries: DataFrame, spec: Sparse) -> DataFrame:
@@ -68,22 +91,37 @@ def with_word_forms(rows: DataFrame, key: str, mode: str, lemmas: DataFrame | No
     return joined.select(*[F.coalesce("formed", "terms").alias("terms") if c == "terms" else rows[c] for c in rows.columns])
 
 
+@dataclass(frozen=True)
+class Index:
+    """A sparse channel's postings, vocabulary (term, df, cf) and lengths (item_id, len), and the number of documents."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+    lengths: DataFrame
+    n_docs: int
+
+
+def build_index(items: DataFrame, spec: Sparse = WORD, lemmas: DataFrame | None = None) -> Index:
+    """Postings, terms and lengths, each written out once: texts are read and taken apart a single time."""
+    n = items.count()
+    rows = scratch(item_postings(items, spec, lemmas), "postings")
+    vocabulary = scratch(build_vocabulary(scratch(term_frequencies(rows), "terms"), n, spec.min_df, spec.max_df, spec.max_features), "vocabulary")
+    return Index(rows, vocabulary, scratch(document_lengths(rows, vocabulary), "lengths"), n)
+
+
 def sparse_channel(items: DataFrame, queries: DataFrame, spec: Sparse = WORD, k: int = POOL, lemmas: DataFrame | None = None) -> DataFrame:
     """The k best items of each query by BM25 or TF-IDF over one composition of the texts."""
+    index = build_index(items, spec, lemmas)
     if spec.words == "plain":
-        docs, asked = item_terms(items, spec), query_terms(queries, spec)
+        asked = query_terms(queries, spec)
     else:
-        plain = Sparse(kind="word", variant=spec.variant, weighted=spec.weighted)
-        docs = with_word_forms(item_terms(items, plain), "item_id", spec.words, lemmas)
-        asked = with_word_forms(query_terms(queries, plain), "query_id", spec.words, lemmas)
-        docs, asked = (d.withColumn("terms", word_ngrams(F.col("terms"), spec.low, spec.high)) for d in (docs, asked))
-    n = items.count()
-    vocabulary = build_vocabulary(docs, spec.min_df, spec.max_df, spec.max_features, n)
+        asked = with_word_forms(query_terms(queries, Sparse(kind="word", variant=spec.variant, weighted=spec.weighted)), "query_id", spec.words, lemmas)
+        asked = asked.withColumn("terms", word_ngrams(F.col("terms"), spec.low, spec.high))
     if spec.scoring == "tfidf":
-        q = tfidf_weights(asked, vocabulary, n, ("query_id", "category"))
-        return retrieve_sparse(q, tfidf_weights(docs, vocabulary, n), k)
-    q = binary_query_terms(asked, vocabulary)
-    return retrieve_sparse(q, bm25_postings(docs, vocabulary, q, n), k)
+        q = tfidf_weights(postings(asked, ("query_id", "category")), index.vocabulary, index.n_docs, ("query_id", "category"))
+        return retrieve_sparse(q, tfidf_weights(index.postings, index.vocabulary, index.n_docs), k)
+    q = binary_query_terms(asked, index.vocabulary)
+    return retrieve_sparse(q, bm25_postings(index.postings, index.vocabulary, index.lengths, index.n_docs, q), k)
 
 
 def token_vectors(texts: DataFrame, vectors: DataFrame, key: str) -> DataFrame:

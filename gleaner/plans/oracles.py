@@ -83,7 +83,7 @@ def channel(name: str, item_terms: str, query_terms: str, scoring: str = "bm25",
 
 WORD = channel("word", words(ALL_TEXT), words("title"))
 TFIDF = channel("tfidf", words("title"), words("title"), "tfidf", max_df=1.0)
-CHAR = channel("chars", char_grams(normal("title"), 4), char_grams(normal("title"), 4), max_df=1.0, features=150_000)
+CHAR = channel("chars", char_grams(ALL_TEXT, 4), char_grams(normal("title"), 4), max_df=1.0, features=150_000)
 
 DENSE = f"""
 tokens_ AS (SELECT DISTINCT unnest({words("title")}) AS token FROM items),

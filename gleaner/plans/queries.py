@@ -14,7 +14,7 @@ from gleaner.operators import evaluation, fusion, popularity, profile, submissio
 from gleaner.operators.grid import evaluate_grid
 from gleaner.operators.ranking import top_k
 from gleaner.operators.retrieval import retrieve_dense, target_category
-from gleaner.operators.vocabulary import build_vocabulary, corpus_stats
+from gleaner.operators.vocabulary import corpus_stats
 from gleaner.plans import channels, tables
 from gleaner.plans.channels import CHAR, WORD, Sparse
 from gleaner.sources.io import fingerprint
@@ -24,7 +24,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 TFIDF = Sparse(scoring="tfidf", variant="title", max_df=1.0)
-CHAR_TITLE = Sparse(kind="char", low=4, high=4, variant="title", max_df=1.0, max_features=150_000)
 
 
 def query(f: Query) -> Query:
@@ -70,7 +69,7 @@ def weighted_composition_tfidf_topk(spark, sf):
 
 @query
 def char_bm25_topk(spark, sf):
-    return _ranked(_channel(spark, sf, CHAR_TITLE, 50))
+    return _ranked(_channel(spark, sf, CHAR, 50))
 
 
 @query
@@ -87,7 +86,7 @@ def pooled_cosine_topk(spark, sf):
 
 def _three(spark, sf) -> dict[str, DataFrame]:
     i, q = tables.items(spark, sf), tables.known_items(spark, sf)
-    return {"word": channels.sparse_channel(i, q, WORD), "char": channels.sparse_channel(i, q, CHAR_TITLE), "dense": channels.dense_channel(i, q, tables.title_vectors(spark, sf))}
+    return {"word": channels.sparse_channel(i, q, WORD), "char": channels.sparse_channel(i, q, CHAR), "dense": channels.dense_channel(i, q, tables.title_vectors(spark, sf))}
 
 
 @query
@@ -113,13 +112,13 @@ def location_boost(spark, sf):
 
 @query
 def weighted_blend(spark, sf):
-    blend = fusion.weighted_blend(_channel(spark, sf, TFIDF), _channel(spark, sf, CHAR_TITLE), 0.25)
+    blend = fusion.weighted_blend(_channel(spark, sf, TFIDF), _channel(spark, sf, CHAR), 0.25)
     return _ranked(top_k(blend, 50))
 
 
 @query
 def grid_eval(spark, sf):
-    g = evaluate_grid(_channel(spark, sf, WORD), _channel(spark, sf, CHAR_TITLE), tables.known_items(spark, sf), tables.items(spark, sf), tables.relevance(spark, sf), [0.0, 0.25, 1.0], [0.0, 0.5])
+    g = evaluate_grid(_channel(spark, sf, WORD), _channel(spark, sf, CHAR), tables.known_items(spark, sf), tables.items(spark, sf), tables.relevance(spark, sf), [0.0, 0.25, 1.0], [0.0, 0.5])
     return g.select("weight", "bonus", "queries", shown("recall").alias("recall"), "queries_with_hit")
 
 
@@ -132,13 +131,13 @@ def _word_docs(spark, sf) -> DataFrame:
 
 @query
 def vocabulary_prune(spark, sf):
-    return build_vocabulary(_word_docs(spark, sf), 2, 0.99, 200_000)
+    return channels.build_index(tables.items(spark, sf)).vocabulary
 
 
 @query
 def bm25_stats(spark, sf):
-    docs = _word_docs(spark, sf)
-    s = corpus_stats(docs, build_vocabulary(docs, 2, 0.99, 200_000))
+    index = channels.build_index(tables.items(spark, sf))
+    s = corpus_stats(index.lengths, index.vocabulary, index.n_docs)
     return s.select("n_docs", "n_terms", "nnz", *[shown(c).alias(c) for c in ("avg_len", "idf_min", "idf_max")])
 
 
@@ -318,16 +317,7 @@ def recall_summary(spark, sf):
 @query
 def pool_recall(spark, sf):
     """Recall of each channel's pool and of their union."""
-    pools, rel = _three(spark, sf), tables.relevance(spark, sf)
-    union = None
-    for rows in pools.values():
-        rows = rows.select("query_id", "item_id", F.lit(1).alias("rank"))
-        union = rows if union is None else union.unionByName(rows)
-    out = None
-    for name, rows in (pools | {"union": union.distinct()}).items():
-        part = evaluation.summarize(evaluation.recall_at_k(rows, rel, 500)).select(F.lit(name).alias("pool"), "queries", shown("recall").alias("recall"), "queries_with_hit")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return evaluation.pool_recalls(fusion.union_channels(_three(spark, sf)), tables.relevance(spark, sf), ["word", "char", "dense"]).select("pool", "queries", shown("recall").alias("recall"), "queries_with_hit")
 
 
 @query

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from gleaner.operators import evaluation, fusion, popularity, profile, submission
 from gleaner.operators.ranking import top_k
 from gleaner.operators.retrieval import retrieve_dense, retrieve_sparse, target_category
-from gleaner.operators.vocabulary import build_vocabulary, corpus_stats
+from gleaner.functions.text import char_wb_ngrams
+from gleaner.operators.vocabulary import build_vocabulary, corpus_stats, document_lengths, gram_postings, postings, term_frequencies
 from gleaner.operators.weights import binary_query_terms, bm25_postings, tfidf_weights
 from gleaner.plans.channels import WORD, Sparse, final_pipeline, sparse_channel
 from gleaner.plans.tables import hashed_vectors
@@ -32,24 +33,38 @@ def test_category_and_ties(spark):
 
 
 def test_vocabulary(spark):
-    d = docs(spark, "a a b", "a b c", "a d", "")
-    assert rows(build_vocabulary(d, 2, 1.0, None)) == [("a", 3, 4), ("b", 2, 2)]
-    assert rows(build_vocabulary(d, 1, 0.5, 2)) == [("b", 2, 2), ("c", 1, 1)]
-    s = corpus_stats(d, build_vocabulary(d, 2)).first()
+    terms = term_frequencies(postings(docs(spark, "a a b", "a b c", "a d", "")))
+    assert rows(build_vocabulary(terms, 4, 2, 1.0, None)) == [("a", 3, 4), ("b", 2, 2)]
+    assert rows(build_vocabulary(terms, 4, 1, 0.5, 2)) == [("b", 2, 2), ("c", 1, 1)]
+    for k in range(1, 6):  # ties at every place
+        assert rows(build_vocabulary(terms, 4, 1, 1.0, k)) == sorted([("a", 3, 4), ("b", 2, 2), ("c", 1, 1), ("d", 1, 1)][:k])
+    p, v = postings(docs(spark, "a a b", "a b c", "a d", "")), build_vocabulary(terms, 4, 2)
+    s = corpus_stats(document_lengths(p, v), v, 4).first()
     assert (s["n_docs"], s["n_terms"], s["nnz"], s["avg_len"]) == (4, 2, 5, 1.5)
 
 
+def test_gram_postings(spark):
+    """Grams made from a document's different words are those made from its text."""
+    texts = ["baba bab  abba", "", "a bab baba baba"]
+    df = spark.createDataFrame([(i, "c", x) for i, x in enumerate(texts)], "item_id long, category string, text string")
+    for low, high in ((4, 4), (2, 3)):
+        by_text = postings(df.select("item_id", "category", char_wb_ngrams(F.col("text"), low, high).alias("terms")))
+        words = df.select("item_id", "category", F.filter(F.split("text", " "), lambda w: F.length(w) > 0).alias("terms"))
+        assert rows(gram_postings(words, char_wb_ngrams(F.col("term"), low, high))) == rows(by_text)
+
+
 def test_bm25_by_hand(spark):
-    d = docs(spark, "a a b", "a b c", "a d", "")
-    v = build_vocabulary(d, 2)
-    got = {(r["item_id"], r["term"]): r["weight"] for r in bm25_postings(d, v).collect()}
+    p = postings(docs(spark, "a a b", "a b c", "a d", ""))
+    v = build_vocabulary(term_frequencies(p), 4, 2)
+    lengths = document_lengths(p, v)
+    got = {(r["item_id"], r["term"]): r["weight"] for r in bm25_postings(p, v, lengths, 4).collect()}
     lens, avg = {0: 3, 1: 2, 2: 1}, 6 / 4
     for (i, term), w in got.items():
         df, tf = {"a": 3, "b": 2}[term], 2 if (i, term) == (0, "a") else 1
         assert w == pytest.approx(math.log1p((4 - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * lens[i] / avg)))
     assert len(got) == 5
     q = spark.createDataFrame([(1, "c", ["a", "a", "zz"]), (2, "c", ["a"]), (3, "x", ["a"])], "query_id long, category string, terms array<string>")
-    found = retrieve_sparse(binary_query_terms(q, v), bm25_postings(d, v, binary_query_terms(q, v)))
+    found = retrieve_sparse(binary_query_terms(q, v), bm25_postings(p, v, lengths, 4, binary_query_terms(q, v)))
     by = {}
     for r in found.collect():
         by.setdefault(r["query_id"], []).append((r["item_id"], r["score"]))
@@ -57,8 +72,8 @@ def test_bm25_by_hand(spark):
 
 
 def test_tfidf_by_hand(spark):
-    d = docs(spark, "a a b", "a b")
-    got = {(r["item_id"], r["term"]): r["weight"] for r in tfidf_weights(d, build_vocabulary(d, 1), 2).collect()}
+    p = postings(docs(spark, "a a b", "a b"))
+    got = {(r["item_id"], r["term"]): r["weight"] for r in tfidf_weights(p, build_vocabulary(term_frequencies(p), 2, 1), 2).collect()}
     a, b = 1 + math.log(2), 1.0
     assert got[0, "a"] == pytest.approx(a / math.hypot(a, b)) and got[1, "a"] == pytest.approx(2**-0.5)
 
