@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.sources.scratch import drop, scratch  # noqa: F401
+
 #: A word, wherever the contracts count words.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
@@ -20,53 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names. A temporary folder of this machine only where none is named and driver and
-    executors are one process (tests); elsewhere executors would write where no other can read."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.fullmatch(r"local(\[[0-9*, ]+\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleaner-checkpoint-"))
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the checkpoint folder. It is deleted when the application ends, if not before."""
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder, on whatever file system it lies."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet into the checkpoint folder and read it again."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """Write a narrow frame out and read it back: later steps don't repeat the work before it, a lost executor costs a re-read,
-    not a recomputation, and Spark plans with the size it has, not with an estimate through all steps before."""
+    """Write a narrow frame out and read it back: it cuts the lineage (see scratch)."""
     return scratch(df, "cut")
 
 
-def drop(df: DataFrame | None) -> None:
-    """Delete what scratch() or cut() wrote for this very frame, once nothing reads it any more."""
-    if df is not None and getattr(df, "_scratch", None):
-        delete(df.sparkSession, df._scratch)
-
-
 def small_frame(spark: SparkSession, rows: pa.Table) -> DataFrame:
     """Driver-made rows as a local relation: Spark knows its size and broadcasts it only below its threshold."""
     return spark.createDataFrame(rows)
