@@ -113,9 +113,22 @@ def stable_hash(value: Column, seed: str = SEED) -> Column:
 
 
 def signature_text(*parts: Column) -> Column:
-    """A tuple of strings as Python prints it; exact for values without quotes, backslashes and control characters."""
-    shown = [F.concat(F.lit("'"), F.coalesce(p.cast("string"), F.lit("None")), F.lit("'")) for p in parts]
-    return F.concat(F.lit("("), F.concat_ws(", ", *shown), F.lit(",)" if len(parts) == 1 else ")"))
+    """A tuple of strings as Python prints it: in single quotes, or in double ones if it holds single quotes only; backslashes, the
+    quotes around it, line feeds, carriage returns, tabs and other control characters below 160 are escaped. Nulls read None."""
+
+    def printed(p: Column) -> Column:
+        c = p.cast("string")
+        double = F.contains(c, F.lit("'")) & ~F.contains(c, F.lit('"'))
+        c = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+        for char, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            c = F.replace(c, F.lit(char), F.lit(name))
+        # the rest of them are rare: only such strings are walked
+        odd = F.transform(F.split(c, ""), lambda x: F.when(x.rlike("[\\x00-\\x1f\\x7f-\\xa0\\xad]"), F.concat(F.lit("\\x"), F.lower(F.lpad(F.hex(F.ascii(x)), 2, "0")))).otherwise(x))
+        c = F.when(c.rlike("[\\x00-\\x1f\\x7f-\\xa0\\xad]"), F.array_join(odd, "")).otherwise(c)
+        quoted = F.when(double, F.concat(F.lit('"'), c, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("\\'")), F.lit("'")))
+        return F.coalesce(quoted, F.lit("'None'"))
+
+    return F.concat(F.lit("("), F.concat_ws(", ", *map(printed, parts)), F.lit(",)" if len(parts) == 1 else ")"))
 
 
 def utf8_length(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import SEED, signature_text, stable_hash
@@ -79,6 +79,16 @@ def bootstrap_weights(spark: SparkSession, n_queries: int, runs: int, seed: int)
     return spark.createDataFrame(pa.table({"run": run.astype(np.int32), "position": position.astype(np.int64), "weight": drawn[run, position].astype(np.int64)}))
 
 
+def bootstrap(recalls: DataFrame, runs: int, seed: int, query: str = "query_id") -> DataFrame:
+    """(mean, std, low, high) over multinomial runs; queries are numbered by their ids. The driver draws as many numbers a run as there
+    are queries, which a validation set bounds."""
+    n = recalls.count()
+    if not n:
+        return bootstrap_summary(recalls.select(F.lit(0).alias("run"), F.lit(1).alias("weight"), "recall"))
+    placed = recalls.select("recall", (F.row_number().over(Window.orderBy(query)) - 1).cast("long").alias("position"))
+    return bootstrap_summary(bootstrap_weights(recalls.sparkSession, n, runs, seed).join(placed, "position"))
+
+
 def hashed_weights(recalls: DataFrame, runs: int, seed: int, query: str = "query_id") -> DataFrame:
     """(run, query_id, recall, weight): a bootstrap that any engine can repeat, with weights from a hash: a Poisson(1)
     draw for each run and query, which is what multinomial draws tend to as queries grow."""
@@ -102,23 +112,34 @@ def bootstrap_summary(weighted: DataFrame) -> DataFrame:
 
 
 def random_negatives(pairs: DataFrame, items: DataFrame, seed: str = SEED, default_category=None) -> DataFrame:
-    """pairs (query_id, item_id, category) with `negative`: another item of the category, drawn by a hash.
-
-    Categories without two items use the default one, if given."""
-    sized = items.groupBy("category").agg(F.count("*").alias("n"))
+    """pairs (query_id, item_id, category) with `negative`: another item of the category, each equally likely, drawn by a hash.
+
+    Items are numbered within their category, by buckets of their ids' hashes; a pair's hash names one of the numbers but the pair's own
+    item's. Categories without another item use the default one, if given; without one such pairs have no row."""
+    number = lambda c: F.conv(F.substring(stable_hash(c, seed), 1, 12), 16, 10).cast("long")
+    # numbered bucket by bucket, so that no task orders a whole category
+    n = F.broadcast(items.agg(F.greatest(F.lit(1).cast("long"), F.floor(F.count("*") / 100_000)).alias("buckets")))  # one row
+    hashed = items.select("category", "item_id", number(F.col("item_id").cast("string")).alias("h")).join(n).withColumn("bucket", F.col("h") % F.col("buckets"))
+    held = hashed.groupBy("category", "bucket").agg(F.count("*").alias("held"))
+    w = Window.partitionBy("category")
+    held = held.select(F.col("category").alias("c"), F.col("bucket").alias("b"), (F.sum("held").over(w.orderBy("bucket")) - F.col("held")).alias("before"), F.sum("held").over(w).alias("n"))
+    inside = F.row_number().over(Window.partitionBy("category", "bucket").orderBy("h", "item_id"))
+    numbered = hashed.withColumn("inside", inside).join(held, (F.col("category") == F.col("c")) & (F.col("bucket") == F.col("b")))
+    numbered = numbered.select(F.col("category").alias("n_category"), F.col("item_id").alias("negative"), (F.col("before") + F.col("inside") - 1).alias("place"))
+    sizes = held.select(F.col("c").alias("s_category"), "n").distinct()
+    known = pairs.join(sizes, F.col("category") == F.col("s_category"), "left")
     if default_category is not None:
-        enough = sized.filter("n >= 2").select(F.col("category").alias("known"))
-        pairs = pairs.join(enough, F.col("category") == F.col("known"), "left").withColumn("category", F.when(F.col("known").isNull(), F.lit(default_category)).otherwise(F.col("category"))).drop("known")
-    # items of a category lie on a ring of hashes; a pair takes the first other item at or after its own hash, in its slot
-    slots = F.greatest(F.lit(1), F.col("n"))
-    place = lambda c: F.conv(F.substring(stable_hash(c, seed), 1, 12), 16, 10).cast("long")
-    ringed = items.join(sized, "category").select("category", F.col("item_id").alias("negative"), place(F.col("item_id").cast("string")).alias("at"), F.col("n"))
-    ringed = ringed.withColumn("slot", F.col("at") % slots)
-    drawn = pairs.join(sized, "category").withColumn("start", place(F.concat_ws("|", F.col("query_id").cast("string"), F.col("item_id").cast("string"))) % slots)
-    # a slot may be empty: look at the next few as well, and keep the nearest
-    look = drawn.withColumn("step", F.explode(F.sequence(F.lit(0), F.least(F.lit(63), (F.col("n") - 1).cast("int"))))).withColumn("slot", (F.col("start") + F.col("step")) % F.col("n"))
-    met = look.join(ringed.drop("n"), ["category", "slot"]).filter(F.col("negative") != F.col("item_id"))
-    return met.groupBy("query_id", "item_id", "category").agg(F.min_by("negative", F.struct("step", "at")).alias("negative"))
+        enough = F.coalesce(F.col("n") >= 2, F.lit(False))
+        known = pairs.select("query_id", "item_id", "category").join(known.filter(enough).select(F.col("category").alias("k")).distinct(), F.col("category") == F.col("k"), "left")
+        known = known.withColumn("category", F.when(F.col("k").isNull(), F.lit(default_category)).otherwise(F.col("category"))).drop("k").join(sizes, F.col("category") == F.col("s_category"), "left")
+    own = numbered.select(F.col("n_category").alias("o_category"), F.col("negative").alias("o_item"), F.col("place").alias("own"))
+    known = known.join(own, (F.col("category") == F.col("o_category")) & (F.col("item_id") == F.col("o_item")), "left")
+    # an item of the category itself is skipped: the numbers after it move down by one
+    choices = F.col("n") - F.col("own").isNotNull().cast("long")
+    drawn = known.filter(choices > 0).withColumn("place_", number(F.concat_ws("|", F.col("query_id").cast("string"), F.col("item_id").cast("string"))) % choices)
+    drawn = drawn.withColumn("place_", F.col("place_") + F.coalesce(F.col("place_") >= F.col("own"), F.lit(False)).cast("long"))
+    met = drawn.join(numbered, (F.col("category") == F.col("n_category")) & (F.col("place_") == F.col("place")))
+    return met.select("query_id", "item_id", "category", "negative")
 
 
 def best_config(metrics: DataFrame, config: list[str], metric: str = "mix", k: int = 20) -> DataFrame:

@@ -2,50 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions.text import contains_query, coverage, hyphen_tokens, normalize_text
+from gleaner.sources.scratch import scratch
 
 SHARES = (0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
 ID_PATTERN = "^[0-9a-f]{16}$"
+#: The names of the pair features.
+FEATURES = (
+    "title_query_coverage", "params_query_coverage", "description_query_coverage", "all_text_query_coverage", "params_filter_coverage", "exact_query_in_title", "exact_query_in_description",
+    "category_match", "location_match", "log_reviews", "rating", "phone_visible", "messages_allowed", "log_train_click_frequency",
+)
+
+
+def grouped_quantiles(values: DataFrame, by: list[str], shares: tuple[float, ...] = SHARES) -> DataFrame:
+    """(by..., share, quantile): exact quantiles of `value` in each group, linearly interpolated; nulls don't count, nor do groups without
+    any value.
+
+    Equal values are summed up on the map side and dealt into ranges in order; sums of the ranges show in which a rank lies, and only
+    such ranges are counted through. No task holds a column."""
+    spark = values.sparkSession
+    counts = values.filter(F.col("value").isNotNull()).groupBy(*by, "value").agg(F.count("*").alias("n"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = scratch(counts.repartitionByRange(parts, *by, "value").withColumn("part", F.spark_partition_id()), "ranges")
+    sums = counts.groupBy(*by, "part").agg(F.sum("n").alias("held"))
+    # one row for each group and range
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    sums = sums.withColumn("before", F.sum("held").over(group.orderBy("part")) - F.col("held")).withColumn("total", F.sum("held").over(group))
+    sums = sums.withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares]))).withColumn("at", F.col("share") * (F.col("total") - 1))
+    low, high = F.floor("at"), F.ceil("at")
+    ranks = sums.withColumn("rank", F.explode(F.array(low, high))).filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("held")))
+    ranks = ranks.select(*[F.col(c).alias(f"r_{c}") for c in by], F.col("part").alias("r_part"), "share", "at", "rank", (F.col("rank") - F.col("before")).alias("place")).distinct()
+
+    def same(a: str, b: str) -> Column:
+        out = F.col(f"{a}part") == F.col(f"{b}part")
+        for c in by:
+            out = out & F.col(f"{a}{c}").eqNullSafe(F.col(f"{b}{c}"))
+        return out
+
+    wanted = counts.join(ranks.select("r_part", *[f"r_{c}" for c in by]).distinct(), same("", "r_"), "left_semi")
+    wanted = wanted.withColumn("last", F.sum("n").over(Window.partitionBy(*by, "part").orderBy("value")))
+    met = wanted.join(ranks, same("", "r_") & (F.col("place") < F.col("last")) & (F.col("place") >= F.col("last") - F.col("n")))
+    low_value, high_value = F.min("value"), F.max("value")
+    return met.groupBy(*by, "share", "at").agg((low_value + (high_value - low_value) * (F.col("at") - F.floor("at"))).alias("quantile")).select(*by, "share", "quantile")
 
 
 def quantiles(df: DataFrame, c: Column, shares: tuple[float, ...] = SHARES) -> DataFrame:
-    """(share, value) rows of exact quantiles, linearly interpolated."""
-    at = F.array(*[F.lit(s) for s in shares])
-    return df.agg(F.percentile(c, at).alias("v")).select(F.explode(F.arrays_zip(at.alias("share"), F.col("v").alias("value"))).alias("x")).select("x.share", "x.value")
+    """(share, value) rows of exact quantiles, linearly interpolated; null where there is no value."""
+    found = grouped_quantiles(df.select(c.cast("double").alias("value")), [], shares).select(F.col("share").alias("q_share"), F.col("quantile").alias("value"))
+    asked = df.sparkSession.createDataFrame([(s,) for s in shares], "share double")
+    return asked.join(found, F.col("share") == F.col("q_share"), "left").select("share", "value")
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """(column, kind, row_count, nulls, distinct, low, median, high) of every column, in one aggregation.
-
-    Numbers are summed up by their values, strings by their lengths, booleans by 0 and 1; others by counts only."""
-    numeric = {f.name: isinstance(f.dataType, T.NumericType) for f in df.schema}
-    aggs: list[Column] = [F.count("*").alias("row_count")]
-    for f in df.schema:
-        c = F.col(f.name)
-        if isinstance(f.dataType, (T.NumericType, T.BooleanType)):
-            value = c.cast("double") if numeric[f.name] else c.cast("int").cast("double")
-        elif isinstance(f.dataType, T.StringType):
-            value = F.length(c).cast("double")
-        else:
-            value = F.lit(None).cast("double")
-        aggs += [
-            F.count_if(c.isNull()).alias(f"{f.name}__nulls"),
-            F.count_distinct(c).alias(f"{f.name}__distinct"),
-            F.percentile(value, F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))).alias(f"{f.name}__q"),
-        ]
-    wide = df.agg(*aggs)
-    rows = [
-        F.struct(
-            F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("kind"), F.col("row_count"), F.col(f"{f.name}__nulls").alias("nulls"),
-            F.col(f"{f.name}__distinct").alias("distinct"), F.col(f"{f.name}__q")[0].alias("low"), F.col(f"{f.name}__q")[1].alias("median"), F.col(f"{f.name}__q")[2].alias("high"),
-        )
-        for f in df.schema
-    ]
-    return wide.select(F.inline(F.array(*rows)))
+    """(column, kind, row_count, nulls, distinct, low, median, high) of every column.
+
+    Numbers are summed up by their values, strings by their lengths, booleans by 0 and 1; others by counts only. Columns become rows
+    (column, value) and are counted together: what is shuffled are different values."""
+    names, kinds = df.columns, {f.name: f.dataType for f in df.schema}
+
+    def number(name: str) -> Column:
+        c, kind = F.col(name), kinds[name]
+        if isinstance(kind, T.NumericType):
+            return c.cast("double")
+        if isinstance(kind, T.BooleanType):
+            return c.cast("int").cast("double")
+        return F.length(c).cast("double") if isinstance(kind, T.StringType) else F.lit(None).cast("double")
+
+    def text(name: str) -> Column:
+        c = F.col(name)
+        return (c + F.lit(0.0)).cast("string") if isinstance(kinds[name], (T.DoubleType, T.FloatType)) else c.cast("string") if isinstance(kinds[name], T.AtomicType) else F.to_json(F.struct(c))
+
+    wide = df.agg(F.count("*").alias("row_count"), *[F.count_if(F.col(c).isNull()).alias(f"nulls_{i}") for i, c in enumerate(names)])
+    rows = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(kinds[c].simpleString()).alias("kind"), F.col("row_count"), F.col(f"nulls_{i}").alias("nulls")) for i, c in enumerate(names)])))
+    each = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("d_column"), F.when(F.col(c).isNotNull(), text(c)).alias("text")) for c in names]))).filter(F.col("text").isNotNull())
+    different = each.distinct().groupBy("d_column").agg(F.count("*").alias("distinct"))
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("q_column"), number(c).alias("value")) for c in names])))
+    found = grouped_quantiles(values, ["q_column"], (0.0, 0.5, 1.0)).groupBy("q_column").pivot("share", [0.0, 0.5, 1.0]).agg(F.first("quantile"))
+    found = found.toDF("q_column", "low", "median", "high")
+    out = rows.join(different, F.col("column") == F.col("d_column"), "left").join(found, F.col("column") == F.col("q_column"), "left")
+    return out.select("column", "kind", "row_count", "nulls", F.coalesce("distinct", F.lit(0)).alias("distinct"), "low", "median", "high")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -81,10 +120,11 @@ def first_rows(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def pair_features(pairs: DataFrame) -> DataFrame:
-    """Fourteen features of (query, params, category, location; item fields) pairs, next to the columns given.
+    """FEATURES of (query, params, category, location; item fields) pairs, next to the columns given.
 
     Expects query, query_params, query_category, query_location, title, params, description, item_category,
-    item_location, reviews, rating, phone_hidden, message_forbidden, clicks."""
+    item_location, reviews, item_rating, phone_hidden, message_forbidden, clicks. Null and NaN numbers count as 0, null flags as
+    false, null texts as empty."""
     norm = pairs
     for c in ("query", "title", "description"):
         norm = norm.withColumn(f"n_{c}", normalize_text(F.col(c)))
@@ -104,10 +144,10 @@ def pair_features(pairs: DataFrame) -> DataFrame:
         "category_match": flag(F.col("query_category") == F.col("item_category")),
         "location_match": flag(F.col("query_location") == F.col("item_location")),
         "log_reviews": F.log1p(number("reviews")),
-        "rating_or_zero": number("rating"),
+        "rating": number("item_rating"),
         "phone_visible": flag(~F.col("phone_hidden")),
         "messages_allowed": flag(~F.col("message_forbidden")),
-        "log_clicks": F.log1p(number("clicks")),
+        "log_train_click_frequency": F.log1p(number("clicks")),
     }
     return norm.select(*pairs.columns, *[v.alias(k) for k, v in features.items()])
 

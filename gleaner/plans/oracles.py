@@ -38,13 +38,14 @@ def longer_char_grams(text: str, n: int) -> str:
 ITEMS = """
 items AS (
   SELECT doc_id AS item_id, lang AS category, source AS location, split_part(text, chr(10), 1) AS title,
-         substr(text, length(split_part(text, chr(10), 1)) + 2) AS description
+         coalesce(source, '') AS params, substr(text, length(split_part(text, chr(10), 1)) + 2) AS description
   FROM documents),
-asked AS (SELECT item_id AS query_id, category, location, title FROM items WHERE item_id % 100 = 0),
+asked AS (SELECT item_id AS query_id, category, location, title, params FROM items WHERE item_id % 100 = 0),
 relevant AS (
   SELECT q.doc_id AS query_id, d.doc_id AS item_id FROM documents q JOIN documents d ON q.text = d.text WHERE q.doc_id % 100 = 0)"""
 
-ALL_TEXT = normal("title") + " || ' ' || " + normal("description")
+ALL_TEXT = normal("title") + " || ' ' || " + normal("params") + " || ' ' || " + normal("description")
+ASKED_TEXT = normal("title") + " || ' ' || " + normal("params")
 
 
 def channel(name: str, item_terms: str, query_terms: str, scoring: str = "bm25", min_df: int = 2, max_df: float = 0.99, features: int = 200_000, k: int = 500) -> str:
@@ -81,9 +82,9 @@ def channel(name: str, item_terms: str, query_terms: str, scoring: str = "bm25",
   SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM {name}_s) WHERE rank <= {k})"""
 
 
-WORD = channel("word", words(ALL_TEXT), words("title"))
+WORD = channel("word", words(ALL_TEXT), words(ASKED_TEXT))
 TFIDF = channel("tfidf", words("title"), words("title"), "tfidf", max_df=1.0)
-CHAR = channel("chars", char_grams(ALL_TEXT, 4), char_grams(normal("title"), 4), max_df=1.0, features=150_000)
+CHAR = channel("chars", char_grams(ALL_TEXT, 4), char_grams(ASKED_TEXT, 4), max_df=1.0, features=150_000)
 
 DENSE = f"""
 tokens_ AS (SELECT DISTINCT unnest({words("title")}) AS token FROM items),
@@ -174,17 +175,26 @@ def coverage(a: str, b: str) -> str:
 
 
 PAIRS = f"""
-base AS (SELECT i.*, {hyphen_words("title")} AS tq, {hyphen_words("description")} AS td, {normal("title")} AS nq, {normal("description")} AS nd, l.quality, l.toxic
+base AS (SELECT i.*, l.quality, l.toxic, 'src0 ' || coalesce(category, '') AS asked_params,
+    array_to_string(string_split(description, ' ')[1:2], ' ') || ' ' || split_part(title, ' ', 1) AS query
   FROM items i LEFT JOIN labels l ON i.item_id = l.doc_id),
+cut_ AS (SELECT *, {hyphen_words("query")} AS tq, {hyphen_words("title")} AS tt, {hyphen_words("params")} AS tp, {hyphen_words("description")} AS td, {hyphen_words("asked_params")} AS ta,
+    {normal("query")} AS nq, {normal("title")} AS nt, {normal("description")} AS nd FROM base),
 features AS (
-  SELECT item_id, quality, {coverage("tq", "tq")} AS title_query_coverage, {coverage("tq", "td")} AS description_query_coverage,
-         CASE WHEN length(nq) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS exact_query_in_title,
+  SELECT item_id, quality, {coverage("tq", "tt")} AS title_query_coverage, {coverage("tq", "tp")} AS params_query_coverage, {coverage("tq", "td")} AS description_query_coverage,
+         {coverage("tq", "list_concat(tt, tp, td)")} AS all_text_query_coverage, {coverage("ta", "tp")} AS params_filter_coverage,
+         CASE WHEN length(nq) > 0 AND contains(nt, nq) THEN 1.0::DOUBLE ELSE 0.0 END AS exact_query_in_title,
          CASE WHEN length(nq) > 0 AND contains(nd, nq) THEN 1.0::DOUBLE ELSE 0.0 END AS exact_query_in_description,
          (coalesce(category = 'en', false))::INTEGER::DOUBLE AS category_match, (coalesce(location = 'src0', false))::INTEGER::DOUBLE AS location_match,
-         ln(1 + coalesce(length(description), 0)::DOUBLE) AS log_reviews,
+         ln(1 + coalesce(length(description), 0)::DOUBLE) AS log_reviews, coalesce(quality, 0)::DOUBLE AS rating,
          CASE WHEN toxic IS NULL OR toxic = 1 THEN 0.0::DOUBLE ELSE 1.0 END AS phone_visible,
-         CASE WHEN quality IS NULL THEN 0.0::DOUBLE ELSE 1.0 END AS messages_allowed
-  FROM base)"""
+         CASE WHEN quality IS NULL THEN 0.0::DOUBLE ELSE 1.0 END AS messages_allowed,
+         ln(1 + coalesce(length(title), 0)::DOUBLE) AS log_train_click_frequency
+  FROM cut_)"""
+FEATURES = (
+    "title_query_coverage", "params_query_coverage", "description_query_coverage", "all_text_query_coverage", "params_filter_coverage", "exact_query_in_title", "exact_query_in_description",
+    "category_match", "location_match", "log_reviews", "rating", "phone_visible", "messages_allowed", "log_train_click_frequency",
+)
 
 
 def separated(name: str) -> str:
@@ -258,10 +268,24 @@ per AS (SELECT run, sum(weight * recall) / sum(weight) AS r FROM weighted GROUP
 SELECT round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std, round(min(r), 6) AS low, round(max(r), 6) AS high FROM per"""
 
 BIGRAMS = channel("bi", f"list_concat({words('title')}, {grams(words('title'), 2)})", f"list_concat({words('title')}, {grams(words('title'), 2)})")
-HEAVY = channel("heavy", words(f"{normal('title')} || ' ' || {normal('title')} || ' ' || {ALL_TEXT}"), words("title || ' ' || title"), "tfidf")
+HEAVY = channel("heavy", words(f"{normal('title')} || ' ' || {normal('title')} || ' ' || {ALL_TEXT}"), words(f"title || ' ' || {ASKED_TEXT}"), "tfidf")
 RARE = channel("rare", words("title"), words("title"), min_df=6, max_df=0.9, k=50)
 
+NEGATIVES = """
+WITH h AS (SELECT doc_id, lang, ('0x' || substr(sha1('20260918|' || doc_id), 1, 12))::BIGINT AS h FROM documents),
+n AS (SELECT greatest(1, count(*) // 100000) AS buckets FROM documents),
+placed AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY h % buckets, h, doc_id) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM h, n),
+drawn AS (SELECT doc_id, lang, place, n, ('0x' || substr(sha1('20260918|' || doc_id || '|' || doc_id), 1, 12))::BIGINT % (n - 1) AS x FROM placed WHERE n > 1)
+SELECT d.doc_id AS query_id, d.doc_id AS item_id, d.lang AS category, p.doc_id AS negative
+FROM drawn d JOIN placed p ON d.lang = p.lang AND p.place = d.x + (d.x >= d.place)::INTEGER"""
+
+FINGERPRINT = """
+WITH h AS (SELECT ('0x' || substr(md5(coalesce(md5(doc_id::VARCHAR), 'null') || coalesce(md5(text), 'null')), 1, 15))::BIGINT AS h FROM documents)
+SELECT sha256('doc_id,text|' || count(*) || '|' || bit_xor(h) || '|' || sum(h)) AS fingerprint, count(*) AS n FROM h"""
+
 ORACLES: dict[str, str] = {
+    "data_fingerprint": FINGERPRINT,
+    "random_negatives": NEGATIVES,
     "word_bm25_topk": f"WITH {ITEMS}, {WORD} {ranked('word')}",
     "word_tfidf_topk": f"WITH {ITEMS}, {TFIDF} {ranked('tfidf')}",
     "word_bigram_bm25_topk": f"WITH {ITEMS}, {BIGRAMS} {ranked('bi')}",
@@ -292,7 +316,7 @@ length(trim(lower(coalesce(text, ''))))::BIGINT AS n_basic, strlen({normal("text
     "word_bigram_counts": f"SELECT * FROM (WITH {ITEMS}, w AS (SELECT {words(ALL_TEXT)} AS terms FROM items) SELECT gram, count(*) AS n FROM (SELECT unnest({grams('terms', 2)}) AS gram FROM w) GROUP BY gram) WHERE n >= 2",
     "char_wb_counts": f"WITH {ITEMS} SELECT gram, count(*) AS n FROM (SELECT unnest(list_concat({char_grams(normal('title'), 3)}, {longer_char_grams(normal('title'), 4)})) AS gram FROM items) GROUP BY gram",
     "stable_hashes": "SELECT doc_id, sha1('20260918|' || source || '|' || doc_id) AS digest FROM documents",
-    "token_coverage": f"WITH {ITEMS}, {PAIRS} SELECT item_id, round(description_query_coverage, 6) AS coverage FROM features",
+    "token_coverage": f"WITH {ITEMS}, t AS (SELECT item_id, {hyphen_words('title')} AS tt, {hyphen_words('description')} AS td FROM items) SELECT item_id, round({coverage('tt', 'td')}, 6) AS coverage FROM t",
     "l2_normalized": """WITH parts AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
 unit AS (SELECT vec_id, i, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM parts) SELECT vec_id, round(sum(x * (i + 1)), 6) AS checksum FROM unit GROUP BY vec_id""",
     "category_remap": "SELECT vec_id, CASE WHEN label = 0 THEN 114 ELSE label END AS category FROM embeddings",
@@ -339,9 +363,8 @@ SELECT * FROM (SELECT user_id, event_type, mix, (row_number() OVER (ORDER BY mix
 (SELECT count(DISTINCT d.doc_id) FROM documents d JOIN labels l ON d.doc_id = l.doc_id) AS both""",
     "malformed_ids": "SELECT c_custkey, c_name FROM customer WHERE NOT regexp_full_match(c_name, 'Customer#[0-9]*[02468]')",
     "first_row_distinct": "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS n FROM orders) WHERE n = 1",
-    "pair_features": f"""WITH {ITEMS}, {PAIRS} SELECT item_id, round(title_query_coverage, 6) AS title_query_coverage, round(description_query_coverage, 6) AS description_query_coverage,
-exact_query_in_title, exact_query_in_description, category_match, location_match, round(log_reviews, 6) AS log_reviews, phone_visible, messages_allowed FROM features""",
-    "feature_label_corr": f"WITH {ITEMS}, {PAIRS} " + " UNION ALL ".join(map(separated, ("description_query_coverage", "category_match", "location_match", "log_reviews"))),
+    "pair_features": f"WITH {ITEMS}, {PAIRS} SELECT item_id, " + ", ".join(f"round({f}, 6) AS {f}" for f in FEATURES) + " FROM features",
+    "feature_label_corr": f"WITH {ITEMS}, {PAIRS} " + " UNION ALL ".join(map(separated, ("title_query_coverage", "category_match", "location_match", "log_reviews", "log_train_click_frequency"))),
     "zero_vector_count": "SELECT count(*) AS n, count(*) FILTER (WHERE len(list_filter(embedding, lambda x: x <> 0)) = 0) AS zero FROM embeddings",
     "submission_format": f"""WITH {ITEMS}, {WORD} SELECT a.query_id::VARCHAR AS query_id, coalesce(string_agg(w.item_id::VARCHAR, ' ' ORDER BY w.rank), '') AS answer
 FROM asked a LEFT JOIN (SELECT * FROM word WHERE rank <= 50) w ON a.query_id = w.query_id GROUP BY a.query_id""",

@@ -348,6 +348,14 @@ def bootstrap_recall(spark, sf):
     return s.select(*[shown(c).alias(c) for c in ("mean", "std", "low", "high")])
 
 
+@query
+def bootstrap_recall_multinomial(spark, sf):
+    """As published: each run draws as many queries as there are, with replacement, by NumPy's generator; sums are divided by their
+    number. `bootstrap_recall` has weights from hashes instead, which SQL can repeat."""
+    e = tables.load(spark, sf, "labels", "doc_id", "quality").select(F.col("doc_id").alias("query_id"), F.col("quality").cast("double").alias("recall"))
+    return evaluation.bootstrap(e, 10, evaluation.BOOTSTRAP_SEEDS["cold"]).select(*[shown(c).alias(c) for c in ("mean", "std", "low", "high")])
+
+
 @query
 def random_negatives(spark, sf):
     i = tables.items(spark, sf).select("item_id", "category")
@@ -405,25 +413,24 @@ def first_row_distinct(spark, sf):
 def _pairs(spark, sf) -> DataFrame:
     i, lab = tables.items(spark, sf), tables.load(spark, sf, "labels", "doc_id", "quality", "toxic")
     p = i.join(lab, i.item_id == lab.doc_id, "left")
+    # two words of the description and one of the title ask for an item of source src0
+    asked = F.concat(F.substring_index("description", " ", 2), F.lit(" "), F.substring_index("title", " ", 1))
     return p.select(
-        "item_id", F.col("title").alias("query"), F.lit("").alias("query_params"), F.col("category").alias("query_category"), F.lit("src0").alias("query_location"),
+        "item_id", asked.alias("query"), F.concat(F.lit("src0 "), F.coalesce("category", F.lit(""))).alias("query_params"), F.col("category").alias("query_category"), F.lit("src0").alias("query_location"),
         F.col("title"), F.col("params"), F.col("description"), F.lit("en").alias("item_category"), F.col("location").alias("item_location"),
-        F.length("description").alias("reviews"), F.col("quality").alias("rating"), (F.col("toxic") == 1).alias("phone_hidden"), F.col("quality").isNull().alias("message_forbidden"), F.lit(0).alias("clicks"), "quality",
+        F.length("description").alias("reviews"), F.col("quality").alias("item_rating"), (F.col("toxic") == 1).alias("phone_hidden"), F.col("quality").isNull().alias("message_forbidden"), F.length("title").alias("clicks"), "quality",
     )
 
 
-FEATURES = ["title_query_coverage", "description_query_coverage", "exact_query_in_title", "exact_query_in_description", "category_match", "location_match", "log_reviews", "phone_visible", "messages_allowed"]
-
-
 @query
 def pair_features(spark, sf):
-    return profile.pair_features(_pairs(spark, sf)).select("item_id", *[shown(f).alias(f) for f in FEATURES])
+    return profile.pair_features(_pairs(spark, sf)).select("item_id", *[shown(f).alias(f) for f in profile.FEATURES])
 
 
 @query
 def feature_label_corr(spark, sf):
     rows = profile.pair_features(_pairs(spark, sf)).filter("quality is not null")
-    out = profile.separation(rows, ["description_query_coverage", "category_match", "location_match", "log_reviews"], "quality")
+    out = profile.separation(rows, ["title_query_coverage", "category_match", "location_match", "log_reviews", "log_train_click_frequency"], "quality")
     return out.select("feature", *[shown(c).alias(c) for c in ("mean_positive", "mean_negative", "difference", "correlation")])
 
 

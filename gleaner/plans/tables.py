@@ -16,19 +16,19 @@ def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as items: the first line is the title, the rest the description."""
+    """Documents as items: the first line is the title, the rest the description; the parameters name the source."""
     d = spread(load(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), "doc_id")
     title = F.substring_index("text", "\n", 1)
     return d.select(
         F.col("doc_id").alias("item_id"), F.col("lang").alias("category"), F.col("source").alias("location"),
-        title.alias("title"), F.lit("").alias("params"), F.col("text").substr(F.length(title) + 2, F.length("text")).alias("description"),
+        title.alias("title"), F.coalesce("source", F.lit("")).alias("params"), F.col("text").substr(F.length(title) + 2, F.length("text")).alias("description"),
     )
 
 
 def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search's stated query set: every document whose id is divisible by 100 asks with its title."""
+    """The search's stated query set: every document whose id is divisible by 100 asks with its title and parameters."""
     d = items(spark, sf_dir).filter(F.col("item_id") % 100 == 0)
-    return d.select(F.col("item_id").alias("query_id"), "category", "location", F.col("title").alias("query"), F.lit("").alias("params"))
+    return d.select(F.col("item_id").alias("query_id"), "category", "location", F.col("title").alias("query"), "params")
 
 
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:

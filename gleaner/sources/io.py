@@ -66,51 +66,64 @@ def _plain(x: Any) -> Any:
 
 
 def fingerprint(df: DataFrame, columns: Iterable[str] | None = None) -> str:
-    """A digest of a table's rows that doesn't depend on their order or partitions."""
+    """A digest of a table's rows that doesn't depend on their order or partitions: SHA-256 of the columns' names, the number of
+    rows, and the exclusive or and the sum of 60 bits of each row's MD5, which is that of its values' MD5s ("null" for none)."""
     cols = list(columns or df.columns)
-    h = F.xxhash64(*cols)
-    r = df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s")).first()
-    return hashlib.sha256(json.dumps([cols, r["n"], r["x"], str(r["s"])]).encode()).hexdigest()
+    row = F.concat(*[F.coalesce(F.md5(F.col(c).cast("string").cast("binary")), F.lit("null")) for c in cols])
+    h = F.conv(F.substring(F.md5(row.cast("binary")), 1, 15), 16, 10).cast("long")
+    r = df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("x"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
+    return hashlib.sha256(f"{','.join(cols)}|{r['n']}|{r['x']}|{r['s']}".encode()).hexdigest()
 
 
 class CandidateStore:
     """Candidates by (channel, mode) as Parquet, valid for one fingerprint of the data.
 
-    A table counts as complete once its _SUCCESS and a metadata row with the same fingerprint are there;
-    both are written by Spark, so any file system that Spark writes to will do."""
+    Every save writes a folder of its own; the metadata names it and is written last. So a save that breaks off leaves what was valid
+    before, or, if it breaks off in the metadata, nothing valid. A table counts as complete if its metadata has this fingerprint and the
+    folder that it names was finished (_SUCCESS). All is written by Spark, so any file system that Spark writes to will do."""
 
     def __init__(self, spark: SparkSession, root: str, data_fingerprint: str):
         self.spark, self.root, self.fingerprint = spark, root.rstrip("/"), data_fingerprint
 
-    def _data(self, channel: str, mode: str) -> str:
-        return f"{self.root}/{channel}/{mode}/candidates"
+    def _folder(self, channel: str, mode: str) -> str:
+        return f"{self.root}/{channel}/{mode}"
 
-    def _meta(self, channel: str, mode: str) -> str:
-        return f"{self.root}/{channel}/{mode}/metadata"
+    def _path(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def _data(self, channel: str, mode: str, write_id: str) -> str:
+        return f"{self._folder(channel, mode)}/candidates-{write_id}"
 
     def diagnostics(self, channel: str, mode: str) -> dict[str, Any] | None:
-        try:
-            rows = self.spark.read.json(self._meta(channel, mode)).collect()
-        except Exception as e:  # the reader raises if there is no such path
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
-            raise
+        files, where = self._path(f"{self._folder(channel, mode)}/metadata/_SUCCESS")
+        if not files.exists(where):
+            return None
+        rows = self.spark.read.json(f"{self._folder(channel, mode)}/metadata").collect()
         return rows[0].asDict(recursive=True) if rows else None
 
     def complete(self, channel: str, mode: str) -> bool:
         found = self.diagnostics(channel, mode)
-        return found is not None and found.get("fingerprint") == self.fingerprint
+        if found is None or found.get("fingerprint") != self.fingerprint:
+            return False
+        files, where = self._path(f"{self._data(channel, mode, found['write_id'])}/_SUCCESS")
+        return files.exists(where)
 
     def save(self, channel: str, mode: str, candidates: DataFrame, **diagnostics: Any) -> None:
-        """Write the candidates, then the metadata that makes them valid."""
-        candidates.write.mode("overwrite").parquet(self._data(channel, mode))
-        meta = json.dumps(diagnostics | {"fingerprint": self.fingerprint, "channel": channel, "mode": mode, "write_id": uuid.uuid4().hex})
-        self.spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(self._meta(channel, mode))
+        """Write the candidates to a new folder, then the metadata that makes it the valid one; older folders go afterwards."""
+        write_id = uuid.uuid4().hex
+        candidates.write.parquet(self._data(channel, mode, write_id))
+        meta = json.dumps(diagnostics | {"fingerprint": self.fingerprint, "channel": channel, "mode": mode, "write_id": write_id})
+        self.spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self._folder(channel, mode)}/metadata")
+        files, where = self._path(self._folder(channel, mode))
+        for f in files.listStatus(where):
+            if f.getPath().getName().startswith("candidates-") and not f.getPath().getName().endswith(write_id):
+                files.delete(f.getPath(), True)
 
     def load(self, channel: str, mode: str) -> DataFrame:
         if not self.complete(channel, mode):
             raise ValueError(f"no candidates of this data for {channel}, {mode}")
-        return self.spark.read.parquet(self._data(channel, mode))
+        return self.spark.read.parquet(self._data(channel, mode, self.diagnostics(channel, mode)["write_id"]))
 
 
 class EmbeddingCache:

@@ -66,6 +66,12 @@ def test_signature_text(spark):
     assert df.select(t.signature_text(F.col("a"))).first()[0] == repr(("a",))
 
 
+@pytest.mark.parametrize("value", ["it's", 'say "so"', """it's "so\"""", "back\\slash", "a\nb\tc\rd", "nul\x00\x1f\x7f\x85\xa0\xad", "é中\U0001f600", ""])
+def test_signature_text_prints_as_python(spark, value):
+    df = spark.createDataFrame([(value, "x")], "a string, b string")
+    assert df.select(t.signature_text(F.col("a"), F.col("b"))).first()[0] == repr((value, "x"))
+
+
 def test_composition(spark):
     df = spark.createDataFrame([("t", "p", "d", "q")], "title string, params string, description string, q string")
     parts = {c: F.col(c) for c in ("title", "params", "description")}

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,62 @@ def test_dense(spark):
     assert got == {(1, 1): (6, 1.0), (1, 2): (5, 0.0), (2, 1): (5, 0.0), (2, 2): (6, 0.0)}
 
 
+def test_a_save_that_breaks_off(spark, tmp_path):
+    """Neither a write that fails nor a crash before the metadata touches what was valid; a folder that isn't finished isn't loaded."""
+    df = spark.createDataFrame([(1, 2)], "query_id int, item_id int")
+    store = io.CandidateStore(spark, str(tmp_path / "s"), "f")
+    store.save("word", "cold", df)
+    with pytest.raises(Exception, match="broken"):
+        store.save("word", "cold", df.withColumn("item_id", F.raise_error(F.lit("broken")).cast("int")))
+    assert rows(store.load("word", "cold")) == [(1, 2)]
+    df.union(df).write.parquet(store._data("word", "cold", "half"))  # the metadata never came
+    assert rows(store.load("word", "cold")) == [(1, 2)]
+    store.save("word", "cold", df.union(df))
+    assert rows(store.load("word", "cold")) == [(1, 2)] * 2
+    assert len([f for f in (tmp_path / "s" / "word" / "cold").iterdir() if f.name.startswith("candidates-")]) == 1
+    next((tmp_path / "s" / "word" / "cold").glob("candidates-*/_SUCCESS")).unlink()
+    with pytest.raises(ValueError):
+        store.load("word", "cold")
+
+
+def test_dense_blocks(spark):
+    """Many small blocks, ties, and a category that holds most rows, against all products."""
+    rng = np.random.default_rng(1)
+    made = [(i, "c" if i % 10 else "d", (rng.integers(-3, 4, 4) / 2).tolist()) for i in range(300)]
+    items = spark.createDataFrame([*made, (1000, "c", None), (1001, None, [1.0] * 4)], "item_id long, category string, vector array<double>")
+    queries = items.filter("item_id % 7 = 0").withColumnRenamed("item_id", "query_id")
+    want = []
+    for q, c, v in made:
+        if q % 7 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), i) for i, d, x in made if d == c)[:5]
+            want += [(q, i, -s, r + 1) for r, (s, i) in enumerate(scored)]
+    for blocks in ((512, 4096), (3, 7)):
+        assert rows(retrieve_dense(queries, items, 5, *blocks), "query_id", "item_id", "score", "rank") == sorted(want)
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(2)
+    for values in ([3.0], [1.0, 2.0], rng.integers(0, 9, 200).astype(float).tolist(), rng.normal(size=333).tolist()):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+        got = {r["share"]: r["value"] for r in profile.quantiles(df, F.col("x")).collect()}
+        assert got == pytest.approx({s: float(np.quantile(values, s)) for s in profile.SHARES})
+    empty = profile.quantiles(spark.createDataFrame([], "x double"), F.col("x")).collect()
+    assert len(empty) == len(profile.SHARES) and all(r["value"] is None for r in empty)
+
+
+def test_column_profile(spark):
+    df = spark.createDataFrame([(1, "aa", True, None, [1]), (2, None, False, None, [1]), (2, "b", None, None, None)], "a int, b string, c boolean, d double, e array<int>")
+    got = {r["column"]: tuple(r)[1:] for r in profile.column_profile(df).collect()}
+    assert got == {"a": ("int", 3, 0, 2, 1.0, 2.0, 2.0), "b": ("string", 3, 1, 2, 1.0, 1.5, 2.0), "c": ("boolean", 3, 1, 2, 0.0, 0.5, 1.0), "d": ("double", 3, 3, 0, None, None, None), "e": ("array<int>", 3, 1, 1, None, None, None)}
+
+
+def test_pool_recalls(spark):
+    found = spark.createDataFrame([("a", 1, 5), ("b", 1, 5), ("b", 1, 6), ("a", 2, 9)], "channel string, query_id int, item_id int")
+    relevant = spark.createDataFrame([(1, 5), (1, 6), (2, 8), (3, 1)], "query_id int, item_id int")
+    got = {r["pool"]: (r["queries"], round(r["recall"], 6), r["queries_with_hit"]) for r in evaluation.pool_recalls(found, relevant, ["a", "b"]).collect()}
+    assert got == {"a": (3, 0.166667, 1), "b": (3, 0.333333, 1), "union": (3, 0.333333, 1)}
+
+
 def test_minmax(spark):
     c = spark.createDataFrame([("a", 1, 1, 2.0, 1), ("a", 1, 2, 2.0, 2), ("b", 1, 1, 7.0, 1), ("c", 1, 1, 3.0, 1), ("c", 1, 2, 1.0, 2), ("c", 1, 3, 2.0, 3)], CANDIDATES)
     assert rows(fusion.minmax(c), "channel", "item_id", "score") == [("a", 1, 0.0), ("a", 2, 0.0), ("b", 1, 0.0), ("c", 1, 1.0), ("c", 2, 0.0), ("c", 3, 0.5)]
@@ -158,6 +215,17 @@ def test_negatives(spark):
     assert len(got) == 40 and (got.negative != got.item_id).all() and (got.negative % 2 == got.item_id % 2).all() and got.negative.nunique() > 10
 
 
+def test_negatives_are_uniform(spark):
+    """Over many pairs every other item is drawn about equally often; a category of one item has no row, or the default's."""
+    items = spark.createDataFrame([(i, "c") for i in range(10)] + [(100, "lone")], "item_id long, category string")
+    pairs = items.withColumn("query_id", F.explode(F.sequence(F.lit(0), F.lit(999))))
+    got = evaluation.random_negatives(pairs, items)
+    n = {(r["item_id"], r["negative"]): r["count"] for r in got.groupBy("item_id", "negative").count().collect()}
+    assert len(n) == 90 and min(n.values()) > 70 and max(n.values()) < 160
+    assert got.filter("item_id = 100").count() == 0
+    assert evaluation.random_negatives(pairs, items, default_category="c").filter("item_id = 100").count() == 1000
+
+
 def test_submission(spark):
     q = spark.createDataFrame([("1" * 16,), ("2" * 16,)], "query_id string")
     i = spark.createDataFrame([("a" * 16,), ("b" * 16,)], "item_id string")
