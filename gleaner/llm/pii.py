@@ -94,8 +94,8 @@ def plain(text: str) -> list[Span]:
 # --- transducers ---
 
 #: Letters of other scripts and signs that look like the ASCII ones below them.
-_LOOKS = "аеорсухіјѕԁһӏѵԛԝүк" + "АВЕКМНОРСТХІЈЅ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρικυα" + "օոսհցյ" + "ıɑɡɩ" + "。·٠․﹒" + "﹫" + "‐‑‒–−﹣"
-_ASCII = "aeopcyxijsdhlvqwyk" + "ABEKMHOPCTXIJS" + "ABEZHIKMNOPTYXovpikua" + "onuhgj" + "iagi" + "....." + "@" + "------"
+_LOOKS = "аеорсухіјѕԁһӏѵԛԝүк" + "АВЕКМНОРСТХІЈЅ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρικυα" + "օոսհցյ" + "ıɑɡɩ" + "。․﹒" + "﹫" + "‐‑‒–−﹣"
+_ASCII = "aeopcyxijsdhlvqwyk" + "ABEKMHOPCTXIJS" + "ABEZHIKMNOPTYXovpikua" + "onuhgj" + "iagi" + "..." + "@" + "------"
 
 
 def _folds() -> dict[int, str]:
@@ -116,8 +116,22 @@ def _folds() -> dict[int, str]:
 _FOLD = _folds()
 #: Characters without a width of their own.
 _UNSEEN = "".join(chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) == "Cf") + "\u034f\u115f\u1160\u3164"
-_ODD = re.compile("[" + "".join(map(re.escape, sorted({*map(chr, _FOLD), *_UNSEEN}))) + "]")
-_GONE = re.compile(f"[{_UNSEEN}]+")
+
+
+def _class(chars: set[int]) -> str:
+    """A character class of ranges."""
+    parts = []
+    for c in sorted(chars):
+        if parts and parts[-1][1] == c - 1:
+            parts[-1][1] = c
+        else:
+            parts.append([c, c])
+    return "[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in parts) + "]"
+
+
+#: All beyond 16 bits is one range, as the expressions' engine tries ranges there in turn; translating changes nothing else.
+_ODD = re.compile(_class({*(c for c in _FOLD if c < 1 << 16), *(c for c in map(ord, _UNSEEN) if c < 1 << 16), *range(1 << 16, 1 << 17)}))
+_GONE = re.compile(_class(set(map(ord, _UNSEEN))) + "+")
 
 #: Digits as words, in English, German, French and Spanish.
 _DIGIT_WORDS = """zero oh one two three four five six seven eight nine
@@ -127,7 +141,16 @@ cero - uno dos tres cuatro cinco seis siete ocho nueve"""
 _WORDS = {w: str(max(i - 1, 0)) for line in _DIGIT_WORDS.split("\n") for i, w in enumerate(line.split()) if w != "-"}
 _ANY_WORD = "|".join(sorted(_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[\s,.-]{{1,3}})?(?:{_ANY_WORD})(?:[\s,.-]{{1,3}}(?:{_ANY_WORD}))" + r"{6,}(?!\w)", re.I)
-_SPELLED_HINT = re.compile(rf"\b(?:{_ANY_WORD})[\s,.-]{{1,3}}(?:{_ANY_WORD})[\s,.-]", re.I)
+
+
+def _tree(words: list[str]) -> str:
+    """Alternatives by their first letter."""
+    firsts = sorted({w[0] for w in words})
+    return "(?:" + "|".join(f + "(?:" + "|".join(w[1:] for w in sorted(words, key=len, reverse=True) if w[0] == f) + ")" for f in firsts) + ")"
+
+
+#: Whether a text, in lower case, can hold such a run: words by first letters, without folding case, which is many times faster.
+_SPELLED_HINT = re.compile(rf"\b{_tree([*_WORDS])}(?:[\s,.-]{{1,3}}{_tree([*_WORDS])}){{6}}")
 _WORD_IN = re.compile(rf"plus|{_ANY_WORD}", re.I)
 
 _LETTERED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl](?:[\x20-]?[0-9OoIl]){9,18}(?![A-Za-z0-9])")
@@ -144,7 +167,8 @@ _DOT_BEFORE = re.compile(rf"(?:{_BRACKET_DOT})\Z", re.I)
 _DOT_REACH = 20
 _GROUPS = re.compile(rf"(?<![0-9])(?<![0-9]\.)[0-9]{{1,3}}(?:(?:{_BRACKET_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _GROUP_DOT = re.compile(rf"{_BRACKET_DOT}|\.", re.I)
-_AT_HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:{_SAY_AT}|@|{_SAY_DOT}|\.)\s{{0,3}}[\])}}>]|\s{_SAY_DOT}\s", re.I)
+#: Whether a text, in lower case, can hold a disguised separator.
+_AT_HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:{_SAY_AT}|@|{_SAY_DOT}|\.)\s{{0,3}}[\])}}>]|\s{_SAY_DOT}\s")
 
 #: What a spoken address ends in ("name at host dot com"), as prose has "at the dot matrix"; with brackets or an @ any
 #: label may end it.
@@ -177,12 +201,12 @@ def _back(layer: Layer, start: int, end: int) -> tuple[int, int]:
 
 
 def _unseen(text: str) -> list[Edit]:
-    return [(m.start(), m.end(), "") for m in _GONE.finditer(text)]
+    return [] if text.isascii() else [(m.start(), m.end(), "") for m in _GONE.finditer(text)]
 
 
 def _spelled(text: str) -> list[Edit]:
     out: list[Edit] = []
-    if not _SPELLED_HINT.search(text):
+    if not _SPELLED_HINT.search(text.lower()):
         return out
     for run in _SPELLED.finditer(text):
         at = run.start()
@@ -218,14 +242,14 @@ def _dots_before(text: str, start: int, least: int) -> list[Edit]:
 
 def _dotted_groups(text: str) -> list[Edit]:
     """Disguised dots between four digit groups."""
-    if not _AT_HINT.search(text):
+    if not _AT_HINT.search(text.lower()):
         return []
     return [(d.start(), d.end(), ".") for m in _GROUPS.finditer(text) for d in _GROUP_DOT.finditer(text, m.start(), m.end()) if d.group() != "."]
 
 
 def _spoken(text: str) -> list[Edit]:
     out: list[Edit] = []
-    if not _AT_HINT.search(text):
+    if not _AT_HINT.search(text.lower()):
         return out
     done = 0
     for m in _AT.finditer(text):
@@ -272,7 +296,7 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
 
 
 def _bare_numbers(text: str) -> list[Span]:
-    if not _SPELLED_HINT.search(text):
+    if not _SPELLED_HINT.search(text.lower()):
         return []
     return [(m.start(), 3, m.end()) for m in _SPELLED.finditer(text) if 10 <= len(_WORD_IN.findall(m.group().lower().removeprefix("plus"))) <= 15]
 
