@@ -48,15 +48,15 @@ ALL_TEXT = normal("title") + " || ' ' || " + normal("params") + " || ' ' || " +
 ASKED_TEXT = normal("title") + " || ' ' || " + normal("params")
 
 
-def channel(name: str, item_terms: str, query_terms: str, scoring: str = "bm25", min_df: int = 2, max_df: float = 0.99, features: int = 200_000, k: int = 500) -> str:
-    """CTEs that end in <name>(query_id, item_id, score, rank)."""
+def channel(name: str, item_terms: str, query_terms: str, scoring: str = "bm25", min_df: int = 2, max_df: float = 0.99, features: int = 200_000, k: int = 500, cut: tuple[str, str] = ("NULL", "NULL")) -> str:
+    """CTEs that end in <name>(query_id, item_id, score, rank). `cut` gives items and queries a column `toks` for the terms to use."""
     n = "(SELECT count(*) FROM items)"
     sql = f"""
-{name}_occ AS (SELECT item_id, category, unnest({item_terms}) AS term FROM items),
+{name}_occ AS (SELECT item_id, category, unnest({item_terms}) AS term FROM (SELECT *, {cut[0]} AS toks FROM items)),
 {name}_tf AS (SELECT item_id, category, term, count(*) AS tf FROM {name}_occ GROUP BY item_id, category, term),
 {name}_all AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM {name}_tf GROUP BY term),
 {name}_vocab AS (SELECT term, df, cf FROM {name}_all WHERE df >= {min_df} AND df <= {max_df} * {n} ORDER BY cf DESC, term LIMIT {features}),
-{name}_qocc AS (SELECT query_id, category, unnest({query_terms}) AS term FROM asked),"""
+{name}_qocc AS (SELECT query_id, category, unnest({query_terms}) AS term FROM (SELECT *, {cut[1]} AS toks FROM asked)),"""
     if scoring == "bm25":
         sql += f"""
 {name}_len AS (SELECT item_id, sum(tf) AS len FROM {name}_tf JOIN {name}_vocab USING (term) GROUP BY item_id),
@@ -84,6 +84,7 @@ def channel(name: str, item_terms: str, query_terms: str, scoring: str = "bm25",
 
 WORD = channel("word", words(ALL_TEXT), words(ASKED_TEXT))
 TFIDF = channel("tfidf", words("title"), words("title"), "tfidf", max_df=1.0)
+WHOLE_TFIDF = channel("whole", words(ALL_TEXT), words(ASKED_TEXT), "tfidf", max_df=1.0)
 CHAR = channel("chars", char_grams(ALL_TEXT, 4), char_grams(ASKED_TEXT, 4), max_df=1.0, features=150_000)
 
 DENSE = f"""
@@ -267,7 +268,7 @@ weighted AS (SELECT run, recall, {_poisson()} AS weight FROM drawn),
 per AS (SELECT run, sum(weight * recall) / sum(weight) AS r FROM weighted GROUP BY run)
 SELECT round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std, round(min(r), 6) AS low, round(max(r), 6) AS high FROM per"""
 
-BIGRAMS = channel("bi", f"list_concat({words('title')}, {grams(words('title'), 2)})", f"list_concat({words('title')}, {grams(words('title'), 2)})")
+BIGRAMS = channel("bi", *[f"list_concat(toks, {grams('toks', 2)})"] * 2, cut=(words(ALL_TEXT), words(ASKED_TEXT)))
 HEAVY = channel("heavy", words(f"{normal('title')} || ' ' || {normal('title')} || ' ' || {ALL_TEXT}"), words(f"title || ' ' || {ASKED_TEXT}"), "tfidf")
 RARE = channel("rare", words("title"), words("title"), min_df=6, max_df=0.9, k=50)
 
@@ -283,11 +284,13 @@ FINGERPRINT = """
 WITH h AS (SELECT ('0x' || substr(md5(coalesce(md5(doc_id::VARCHAR), 'null') || coalesce(md5(text), 'null')), 1, 15))::BIGINT AS h FROM documents)
 SELECT sha256('doc_id,text|' || count(*) || '|' || bit_xor(h) || '|' || sum(h)) AS fingerprint, count(*) AS n FROM h"""
 
+ALL = normal("title || ' ' || description")
+
 ORACLES: dict[str, str] = {
     "data_fingerprint": FINGERPRINT,
     "random_negatives": NEGATIVES,
     "word_bm25_topk": f"WITH {ITEMS}, {WORD} {ranked('word')}",
-    "word_tfidf_topk": f"WITH {ITEMS}, {TFIDF} {ranked('tfidf')}",
+    "word_tfidf_topk": f"WITH {ITEMS}, {WHOLE_TFIDF} {ranked('whole')}",
     "word_bigram_bm25_topk": f"WITH {ITEMS}, {BIGRAMS} {ranked('bi')}",
     "weighted_composition_tfidf_topk": f"WITH {ITEMS}, {HEAVY} {ranked('heavy')}",
     "char_bm25_topk": f"WITH {ITEMS}, {CHAR} {ranked('chars')}",
@@ -314,7 +317,7 @@ round((SELECT max(ln(1 + ((SELECT count(*) FROM items) - df + 0.5) / (df + 0.5))
 length(trim(lower(coalesce(text, ''))))::BIGINT AS n_basic, strlen({normal("text")})::BIGINT AS n_bytes FROM documents""",
     "token_counts": f"SELECT doc_id, len({words('text')})::BIGINT AS n_tokens, len(list_distinct({words('text')}))::BIGINT AS n_distinct, len({hyphen_words('text')})::BIGINT AS n_hyphen FROM documents",
     "word_bigram_counts": f"SELECT * FROM (WITH {ITEMS}, w AS (SELECT {words(ALL_TEXT)} AS terms FROM items) SELECT gram, count(*) AS n FROM (SELECT unnest({grams('terms', 2)}) AS gram FROM w) GROUP BY gram) WHERE n >= 2",
-    "char_wb_counts": f"WITH {ITEMS} SELECT gram, count(*) AS n FROM (SELECT unnest(list_concat({char_grams(normal('title'), 3)}, {longer_char_grams(normal('title'), 4)})) AS gram FROM items) GROUP BY gram",
+    "char_wb_counts": f"WITH {ITEMS} SELECT gram, count(*) AS n FROM (SELECT unnest(list_concat({char_grams(ALL, 3)}, {longer_char_grams(ALL, 4)})) AS gram FROM items) GROUP BY gram",
     "stable_hashes": "SELECT doc_id, sha1('20260918|' || source || '|' || doc_id) AS digest FROM documents",
     "token_coverage": f"WITH {ITEMS}, t AS (SELECT item_id, {hyphen_words('title')} AS tt, {hyphen_words('description')} AS td FROM items) SELECT item_id, round({coverage('tt', 'td')}, 6) AS coverage FROM t",
     "l2_normalized": """WITH parts AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),

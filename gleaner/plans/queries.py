@@ -14,7 +14,7 @@ from gleaner.operators import evaluation, fusion, popularity, profile, submissio
 from gleaner.operators.grid import evaluate_grid
 from gleaner.operators.ranking import top_k
 from gleaner.operators.retrieval import retrieve_dense, target_category
-from gleaner.operators.vocabulary import corpus_stats
+from gleaner.operators.vocabulary import corpus_stats, gram_postings
 from gleaner.plans import channels, tables
 from gleaner.plans.channels import CHAR, WORD, Sparse
 from gleaner.sources.io import fingerprint
@@ -23,7 +23,8 @@ from gleaner.streaming.popularity import windowed_popularity
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-TFIDF = Sparse(scoring="tfidf", variant="title", max_df=1.0)
+#: The published blend takes TF-IDF over titles.
+TITLE_TFIDF = Sparse(scoring="tfidf", variant="title", max_df=1.0)
 
 
 def query(f: Query) -> Query:
@@ -54,12 +55,12 @@ def word_bm25_topk(spark, sf):
 
 @query
 def word_tfidf_topk(spark, sf):
-    return _ranked(_channel(spark, sf, TFIDF, 50))
+    return _ranked(_channel(spark, sf, Sparse(scoring="tfidf", max_df=1.0), 50))
 
 
 @query
 def word_bigram_bm25_topk(spark, sf):
-    return _ranked(_channel(spark, sf, Sparse(high=2, variant="title"), 50))
+    return _ranked(_channel(spark, sf, Sparse(high=2), 50))
 
 
 @query
@@ -112,7 +113,7 @@ def location_boost(spark, sf):
 
 @query
 def weighted_blend(spark, sf):
-    blend = fusion.weighted_blend(_channel(spark, sf, TFIDF), _channel(spark, sf, CHAR), 0.25)
+    blend = fusion.weighted_blend(_channel(spark, sf, TITLE_TFIDF), _channel(spark, sf, CHAR), 0.25)
     return _ranked(top_k(blend, 50))
 
 
@@ -166,8 +167,8 @@ def word_bigram_counts(spark, sf):
 
 @query
 def char_wb_counts(spark, sf):
-    t = normalize_text(F.col("title"))
-    return tables.items(spark, sf).select(F.explode(char_wb_ngrams(t, 3, 4)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    d = tables.items(spark, sf).select("item_id", "category", F.filter(F.split(normalize_text(F.concat_ws(" ", "title", "description")), " "), lambda w: F.length(w) > 0).alias("terms"))
+    return gram_postings(d, char_wb_ngrams(F.col("term"), 3, 4)).groupBy(F.col("term").alias("gram")).agg(F.sum("tf").alias("n"))
 
 
 @query
@@ -230,6 +231,7 @@ def query_history_priority(spark, sf):
 
 @query
 def fallback_fill(spark, sf):
+    """A channel of rare title words, as one over whole texts leaves hardly any query without candidates."""
     i, q = tables.items(spark, sf), tables.known_items(spark, sf)
     found = _channel(spark, sf, Sparse(variant="title", min_df=6, max_df=0.9), 50)
     return _ranked(popularity.fill_empty(found, q, i, 50))
