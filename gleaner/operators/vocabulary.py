@@ -24,6 +24,13 @@ def gram_postings(docs: DataFrame, grams: Column, keys: tuple[str, ...] = ("item
     return each.groupBy(*keys, "term").agg(F.sum("tf").alias("tf"))
 
 
+def gram_counts(docs: DataFrame, grams: Column) -> DataFrame:
+    """(term, n): how often the grams within words occur in all documents. Words are counted over the corpus first, so that a row
+    for each different word and task is dealt out, and each word is cut once."""
+    words = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("words"))
+    return words.select("words", F.explode(grams).alias("term")).groupBy("term").agg(F.sum("words").alias("n"))
+
+
 def term_frequencies(rows: DataFrame) -> DataFrame:
     """(term, df, cf): in how many documents a term occurs, and how often."""
     return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))

@@ -14,7 +14,7 @@ from gleaner.operators import evaluation, fusion, popularity, profile, submissio
 from gleaner.operators.grid import evaluate_grid
 from gleaner.operators.ranking import top_k
 from gleaner.operators.retrieval import retrieve_dense, target_category
-from gleaner.operators.vocabulary import corpus_stats, gram_postings
+from gleaner.operators.vocabulary import corpus_stats, gram_counts
 from gleaner.plans import channels, tables
 from gleaner.plans.channels import CHAR, WORD, Sparse
 from gleaner.sources.io import fingerprint
@@ -167,8 +167,8 @@ def word_bigram_counts(spark, sf):
 
 @query
 def char_wb_counts(spark, sf):
-    d = tables.items(spark, sf).select("item_id", "category", F.filter(F.split(normalize_text(F.concat_ws(" ", "title", "description")), " "), lambda w: F.length(w) > 0).alias("terms"))
-    return gram_postings(d, char_wb_ngrams(F.col("term"), 3, 4)).groupBy(F.col("term").alias("gram")).agg(F.sum("tf").alias("n"))
+    words = F.filter(F.split(normalize_text(F.concat_ws(" ", "title", "description")), " "), lambda w: F.length(w) > 0)
+    return gram_counts(tables.items(spark, sf).select(words.alias("terms")), char_wb_ngrams(F.col("term"), 3, 4)).select(F.col("term").alias("gram"), "n")
 
 
 @query
