@@ -11,6 +11,7 @@ from gleaner.functions.stemming import stem_tokens
 from gleaner.functions.text import char_wb_ngrams, coverage, hyphen_tokens, normalize_basic, normalize_text, stable_hash, tokens, word_ngrams
 from gleaner.functions.vectors import l2_normalize
 from gleaner.operators import evaluation, fusion, popularity, profile, submission
+from gleaner.operators.blocks import Cut, term_statistics
 from gleaner.operators.grid import evaluate_grid
 from gleaner.operators.ranking import top_k
 from gleaner.operators.retrieval import retrieve_dense, target_category
@@ -126,19 +127,15 @@ def grid_eval(spark, sf):
 # --- vocabulary ---
 
 
-def _word_docs(spark, sf) -> DataFrame:
-    return channels.item_terms(tables.items(spark, sf), WORD)
-
-
 @query
 def vocabulary_prune(spark, sf):
-    return channels.build_index(tables.items(spark, sf)).vocabulary
+    return channels.vocabulary(tables.items(spark, sf))[0]
 
 
 @query
 def bm25_stats(spark, sf):
-    index = channels.build_index(tables.items(spark, sf))
-    s = corpus_stats(index.lengths, index.vocabulary, index.n_docs)
+    vocabulary, n = channels.vocabulary(tables.items(spark, sf))
+    s = corpus_stats(vocabulary.select(F.col("cf").alias("len")), vocabulary, n)  # lengths add up to what the terms do
     return s.select("n_docs", "n_terms", "nnz", *[shown(c).alias(c) for c in ("avg_len", "idf_min", "idf_max")])
 
 
@@ -161,8 +158,8 @@ def token_counts(spark, sf):
 
 @query
 def word_bigram_counts(spark, sf):
-    d = _word_docs(spark, sf).select(F.explode(word_ngrams(F.col("terms"), 2, 2)).alias("gram"))
-    return d.groupBy("gram").agg(F.count("*").alias("n")).filter("n >= 2")
+    d = channels.text_rows(tables.items(spark, sf), Sparse(low=2, high=2))
+    return term_statistics(d, Cut("word", 2, 2)).filter("cf >= 2").select(F.col("term").alias("gram"), F.col("cf").alias("n"))
 
 
 @query
