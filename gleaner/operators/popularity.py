@@ -41,6 +41,23 @@ def by_priority(lists: list[DataFrame], k: int = 50) -> DataFrame:
     return top_rows(first, ["query_id"], [F.col("at.priority"), F.col("at.place"), F.col("item_id")], k).select("query_id", "item_id", "rank")
 
 
+def listed(ranked: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., items): each group's (item_id, rank) rows as one array, in order of rank."""
+    cells = ranked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("x"))
+    return cells.select(*by, F.col("x.item_id").alias("items"))
+
+
+def lists_by_priority(queries: DataFrame, lists: list[tuple[DataFrame, list[str]]], k: int = 50) -> DataFrame:
+    """(query_id, item_id, rank): what by_priority gives for (lists, keys) that queries meet by their keys, a list without keys being
+    everybody's. A query's lists come together in its row, so that a list which many queries share is not repeated before."""
+    rows, at = queries.distinct(), []
+    for i, (items, keys) in enumerate(lists):
+        rows = rows.join(items.withColumnRenamed("items", f"items_{i}"), keys, "left") if keys else rows.join(F.broadcast(items.withColumnRenamed("items", f"items_{i}")), how="left")
+        at.append(F.coalesce(f"items_{i}", F.array().cast(items.schema["items"].dataType)))
+    found = F.slice(F.array_distinct(F.concat(*at)), 1, k)
+    return rows.select("query_id", F.posexplode(found).alias("place", "item_id")).select("query_id", "item_id", (F.col("place") + 1).alias("rank"))
+
+
 def fallback_lists(items: DataFrame, by: list[str], k: int) -> DataFrame:
     """(by..., item_id, rank): the first k items of each group, by item."""
     return top_rows(items.select(*by, "item_id"), by, [F.asc("item_id")], k)

@@ -19,6 +19,7 @@ from gleaner.operators.vocabulary import corpus_stats, gram_counts
 from gleaner.plans import channels, tables
 from gleaner.plans.channels import CHAR, WORD, Sparse
 from gleaner.sources.io import fingerprint
+from gleaner.sources.scratch import scratch
 from gleaner.streaming.popularity import windowed_popularity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,11 +220,9 @@ def query_history_priority(spark, sf):
     c = tables.clicks(spark, sf)
     asked = tables.load(spark, sf, "customer", "c_custkey").select(F.col("c_custkey").alias("query_id"))
     asked = asked.withColumn("category", F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("query_id") % 3 + 1).cast("int")))
-    own = popularity.popular(c, ["customer"]).select(F.col("customer").alias("query_id"), "item_id", "rank").join(asked.select("query_id"), "query_id")
-    near = asked.join(popularity.popular(c, ["category"]), "category").select("query_id", "item_id", "rank")
-    overall = popularity.popular(c, []).select("item_id", "rank").withColumn("all", F.lit(1))
-    rest = asked.withColumn("all", F.lit(1)).join(F.broadcast(overall), "all").select("query_id", "item_id", "rank")  # 50 rows
-    return popularity.by_priority([own, near, rest])
+    own = popularity.listed(popularity.popular(c, ["customer"]).withColumnRenamed("customer", "query_id"), ["query_id"])
+    near, overall = (scratch(popularity.listed(popularity.popular(c, by), by), "popular") for by in (["category"], []))
+    return popularity.lists_by_priority(asked, [(own, ["query_id"]), (near, ["category"]), (overall, [])])
 
 
 @query
